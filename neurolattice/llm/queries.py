@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, sharding, url_filter
+from . import exact_dedup, lattice_lm, minhash, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_sharding, op7_packing, op8_exact_dedup, op9_url_filter)}
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_lattice_lm, op5_sharding, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
+ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
