@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lattice_lm, minhash, mixing, packing, sharding, url_filter
+from . import exact_dedup, lattice_lm, minhash, mixing, packing, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -42,5 +46,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_lattice_lm, op5_sharding, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
