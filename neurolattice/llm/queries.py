@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lattice_lm, line_dedup, minhash, mixing, packing, sharding, toxicity, url_filter
+from . import exact_dedup, lattice_lm, line_dedup, media, minhash, mixing, packing, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
 ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
