@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolattice.llm import exact_dedup, mixing, packing
+from neurolattice.llm import exact_dedup, minhash, mixing, packing, toxicity
 from neurolattice.llm.common import written
 from neurolattice.llm.queries import tokenizer_path
 
 
+def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, trained here on posterior labels, does not find toxic."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts, the one with the largest id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
+def deduplicate_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near copies, the one with the smallest id stays."""
+    return minhash.near_dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
@@ -24,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", deduplicate), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", filter_toxic), ("exact_dedup", deduplicate), ("minhash", deduplicate_near), ("mixing", mix), ("packing", pack)]
 #: Tokens and a trained classifier can't be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
