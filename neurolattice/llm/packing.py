@@ -16,38 +16,56 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Memo, each_text
+from .common import each_text
 
-CAPACITY, CLASSES, END = 4096, 64, 2
+CAPACITY, CLASSES, END, TOGETHER = 4096, 64, 2, 4 << 20
+assert sys.byteorder == "little" and array("I").itemsize == 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_class int"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_class"]
 
 
 class Words:
     """Token ids of whole texts, as little-endian 32-bit bytes. The tokenizer splits at white space and
-    its pieces never cross it, so a text's ids are those of its words; a word's are kept in a memo."""
+    its pieces never cross it, so a text's ids are those of its words. Words are kept in a bounded memo
+    for as long as the worker process lives; a batch's new words are encoded together."""
 
-    def __init__(self, path: str):
+    made: dict[str, Words] = {}
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self.word, 600_000)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, limit
+
+    @classmethod
+    def of(cls, path: str) -> Words:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
 
-    def word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def learn(self, words: set[bytes]) -> None:
+        new = [*(words - self.memo.keys())]
+        if len(self.memo) + len(new) > self.limit:
+            self.memo.clear()
+            new = [*words]
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.memo.update((w, array("I", x.ids).tobytes()) for w, x in zip(new, coded, strict=True))
 
-    def __call__(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # else a special token's name could come to be by lower-casing
-            text = text.lower()
-        return b"".join(map(self.memo.__getitem__, text.split()))
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        # with a special token's name in it, lower-casing could make one that was not there
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
 
 
 def pieces(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
@@ -110,6 +128,18 @@ class Bins:
         self.open = {}
 
 
+def coded(tokens: Words, column: pa.Array) -> Iterator[bytes]:
+    """The ids of each text, some texts at a time."""
+    held, size = [], 0
+    for text in each_text(column):
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield from tokens(held)
+            held, size = [], 0
+    yield from tokens(held)
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
     """One row per piece: SCHEMA. n_class is the piece's harmonic class. tokenizer: the path of a
     tokenizers file whose pre-tokenizer splits at white space, there on every machine."""
@@ -117,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, classes: int
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins, rows = Words(tokenizer), Bins(TaskContext.get().partitionId(), capacity, classes), []
+        tokens, bins, rows = Words.of(tokenizer), Bins(TaskContext.get().partitionId(), capacity, classes), []
 
         def flush() -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [()] * len(NAMES)
@@ -126,8 +156,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, classes: int
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), each_text(batch.column("text")), strict=True):
-                ids = tokens(text) + end
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), coded(tokens, batch.column("text")), strict=True):
+                ids = own + end
                 n, start = len(ids) // 4, 0
                 for length, n_class in pieces(n, capacity, classes):
                     rows += bins.add((doc_id, start, None, n, ids[4 * start : 4 * (start + length)]), n_class, length)
