@@ -1,0 +1,308 @@
+"""Queries on trials and channels."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import channels as C
+from ..operators import epochs as P
+from . import views as V
+from .registry import query, r6
+
+
+def rounded(df, *names):
+    return df.withColumns({n: r6(F.col(n)) for n in names or ("value",)})
+
+
+REJECTED = "good AS (SELECT * FROM epochs WHERE epoch NOT IN (SELECT epoch FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) WHERE p > 4.2))"
+
+
+@query("evoked_average", f"WITH {REJECTED}, b AS (SELECT epoch, condition, ch, t, value - avg(CASE WHEN t BETWEEN 0 AND 2 THEN value END) OVER (PARTITION BY epoch, ch) AS value FROM good) SELECT condition, ch, t, round(avg(value), 6) + 0.0 AS value, round(stddev_pop(value) / sqrt(count(*)), 6) + 0.0 AS se, count(*) AS nave FROM b GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(P.evoked_average(V.epochs(spark, d), 4.2, 0, 2), "value", "se")
+
+
+@query("drop_log", "SELECT epoch, coalesce(string_agg(ch::VARCHAR, ',' ORDER BY ch) FILTER (p > 4.0 OR p < 1.2), '') AS bad FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs WHERE ch <> 7 GROUP BY ALL) GROUP BY epoch", "epochs")
+def _(spark, d):
+    return P.drop_log(V.epochs(spark, d), 4.0, 1.2, (7,)).select("epoch", F.array_join(F.transform("bad", lambda x: x.cast("string")), ",").alias("bad"))
+
+
+@query("drop_log_stats", "SELECT round(100.0 * avg((p > 4.2)::INT), 6) AS percent FROM (SELECT epoch, max(p) AS p FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) GROUP BY epoch)", "epochs")
+def _(spark, d):
+    return P.drop_log(V.epochs(spark, d), 4.2, None).agg(F.round(F.avg(F.when(F.size("bad") > 0, 100.0).otherwise(0.0)), 6).alias("percent"))
+
+
+BASE = "avg(CASE WHEN t BETWEEN 1 AND 3 THEN value + 9 END) OVER w"
+SPREAD = "stddev_pop(CASE WHEN t BETWEEN 1 AND 3 THEN value + 9 END) OVER w"
+MODES = {"mean": f"value + 9 - {BASE}", "ratio": f"(value + 9) / {BASE}", "logratio": f"log10((value + 9) / {BASE})", "percent": f"(value + 9 - {BASE}) / {BASE}", "zscore": f"(value + 9 - {BASE}) / {SPREAD}"}
+for mode, formula in {**MODES, "zlogratio": ""}.items():
+    sql = f"SELECT epoch, condition, ch, t, round({formula}, 6) + 0.0 AS value FROM epochs WINDOW w AS (PARTITION BY epoch, ch)"
+    if mode == "zlogratio":
+        sql = f"WITH l AS (SELECT epoch, condition, ch, t, {MODES['logratio']} AS v FROM epochs WINDOW w AS (PARTITION BY epoch, ch)) SELECT epoch, condition, ch, t, round(v / stddev_pop(CASE WHEN t BETWEEN 1 AND 3 THEN v END) OVER (PARTITION BY epoch, ch), 6) + 0.0 AS value FROM l"
+
+    @query(f"baseline_{mode}", sql, "epochs")
+    def _(spark, d, mode=mode):
+        return rounded(P.apply_baseline(V.epochs(spark, d).withColumn("value", F.col("value") + 9), ["epoch", "ch"], 1, 3, mode))
+
+
+EVOKED = "evoked AS (SELECT condition, ch, t, avg(value) AS value, count(*) AS nave FROM epochs GROUP BY ALL)"
+
+
+def evoked(spark, d):
+    return P.average(V.epochs(spark, d))
+
+
+@query("average_median", "SELECT condition, ch, t, round(median(value), 6) + 0.0 AS value, count(*) AS nave FROM epochs GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(P.average(V.epochs(spark, d), method="median"))
+
+
+@query("standard_error", "SELECT condition, ch, t, round(stddev_pop(value) / sqrt(count(*)), 6) + 0.0 AS se, count(*) AS nave FROM epochs GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(P.standard_error(V.epochs(spark, d)), "se")
+
+
+@query("subtract_evoked", "SELECT epoch, condition, ch, t, round(value - avg(value) OVER (PARTITION BY ch, t), 6) + 0.0 AS value FROM epochs", "epochs")
+def _(spark, d):
+    return rounded(P.subtract_evoked(V.epochs(spark, d)))
+
+
+for how, weight in {"nave": "nave / (SELECT sum(nave) FROM (SELECT DISTINCT condition, nave FROM evoked))", "equal": "1.0 / (SELECT count(DISTINCT condition) FROM evoked)", "contrast": "CASE condition WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 END"}.items():
+
+    @query(f"combine_evoked_{how}", f"WITH {EVOKED}, w AS (SELECT *, {weight} AS w FROM evoked) SELECT ch, t, round(sum(w * value), 6) + 0.0 AS value, round(1 / sum(w * w / nave), 6) AS nave FROM w WHERE w IS NOT NULL GROUP BY ALL", "epochs")
+    def _(spark, d, how=how):
+        return rounded(P.combine_evoked(evoked(spark, d), {1: 1.0, 2: -1.0} if how == "contrast" else how), "value", "nave")
+
+
+@query("grand_average", f"WITH {EVOKED} SELECT ch, t, round(avg(value), 6) + 0.0 AS value, count(*) AS nave FROM evoked WHERE ch <> 3 GROUP BY ALL", "epochs")
+def _(spark, d):
+    ev = evoked(spark, d)
+    return rounded(P.grand_average(ev, ev.filter("ch = 3")))
+
+
+for mode, score in {"abs": "abs(value)", "pos": "value", "neg": "-value"}.items():
+
+    @query(f"get_peak_{mode}", f"WITH {EVOKED} SELECT condition, ch, t, round(value, 6) + 0.0 AS value FROM evoked QUALIFY row_number() OVER (PARTITION BY condition ORDER BY {score} DESC, ch, t) = 1", "epochs")
+    def _(spark, d, mode=mode):
+        return rounded(P.get_peak(evoked(spark, d), mode))
+
+
+@query("standardized_measurement_error", "SELECT condition, ch, round(stddev_pop(m) / sqrt(count(*)), 6) AS sme FROM (SELECT epoch, condition, ch, avg(value) AS m FROM epochs WHERE t BETWEEN 2 AND 5 GROUP BY ALL) GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(P.standardized_measurement_error(V.epochs(spark, d), 2, 5), "sme")
+
+
+@query("global_field_power", f"WITH {EVOKED} SELECT condition, t, round(stddev_pop(value), 6) AS gfp, round(sqrt(avg(value * value)), 6) AS rms FROM evoked GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(P.global_field_power(evoked(spark, d)), "gfp", "rms")
+
+
+@query("crop", "SELECT * FROM epochs WHERE t BETWEEN 2 AND 5", "epochs")
+def _(spark, d):
+    return V.epochs(spark, d).filter(P.time_mask(F.col("t") / 100.0, 0.02, 0.05, 100.0))
+
+
+@query("decimate", "SELECT * FROM epochs WHERE t % 3 = 1", "epochs")
+def _(spark, d):
+    return P.decimate(V.epochs(spark, d), 3, 4)
+
+
+@query("shift_time", "SELECT epoch, ch, t, t / 100.0 + 0.25 AS time FROM epochs", "epochs")
+def _(spark, d):
+    return V.epochs(spark, d).select("epoch", "ch", "t", (F.col("t") / 100.0 + 0.25).alias("time"))
+
+
+@query("time_as_index", "SELECT ch, samp, trunc(value * 7)::BIGINT AS i, round_even(value * 7, 0)::BIGINT AS rounded FROM signal", "signal")
+def _(spark, d):
+    return V.signal(spark, d).select("ch", "samp", (F.col("value") * 7).cast("long").alias("i"), F.rint(F.col("value") * 7).cast("long").alias("rounded"))
+
+
+@query("pick_channels", "SELECT * FROM epochs WHERE ch IN (1, 2, 5) AND ch NOT IN (2)", "epochs")
+def _(spark, d):
+    return C.pick_channels(V.epochs(spark, d), [1, 2, 5], [2])
+
+
+CHANNELS = "channels AS (SELECT s_suppkey AS ch, s_name AS ch_name, CASE s_nationkey % 4 WHEN 0 THEN 'eeg' WHEN 1 THEN 'mag' WHEN 2 THEN 'grad' ELSE 'eog' END AS kind, s_acctbal < 1000 AS bad FROM supplier)"
+
+
+def channel_table(spark, d):
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("eeg", "mag", "grad", "eog"))), F.col("s_nationkey") % 4 + 1)
+    return V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ch"), F.col("s_name").alias("ch_name"), kind.alias("kind"), (F.col("s_acctbal") < 1000).alias("bad"))
+
+
+@query("pick_channels_regexp", f"WITH {CHANNELS} SELECT ch, ch_name FROM channels WHERE regexp_matches(ch_name, '[05]$')")
+def _(spark, d):
+    return channel_table(spark, d).filter(F.col("ch_name").rlike("[05]$")).select("ch", "ch_name")
+
+
+@query("pick_types", f"WITH {CHANNELS} SELECT * FROM channels WHERE kind IN ('mag', 'grad') AND NOT bad")
+def _(spark, d):
+    return C.pick_types(channel_table(spark, d), ["mag", "grad"])
+
+
+@query("channel_indices_by_type", f"WITH {CHANNELS} SELECT kind, string_agg(ch::VARCHAR, ',' ORDER BY ch) AS chs FROM channels GROUP BY kind")
+def _(spark, d):
+    return channel_table(spark, d).groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list("ch")), lambda x: x.cast("string")), ",").alias("chs"))
+
+
+@query("rename_channels", f"WITH {CHANNELS} SELECT ch, CASE kind WHEN 'eog' THEN 'EOG' WHEN 'eeg' THEN 'EEG' ELSE kind END AS kind FROM channels")
+def _(spark, d):
+    return C.rename(channel_table(spark, d), {"eog": "EOG", "eeg": "EEG"}, "kind").select("ch", "kind")
+
+
+@query("make_ad_hoc_cov", f"WITH {CHANNELS} SELECT ch, CASE kind WHEN 'mag' THEN 400.0 WHEN 'grad' THEN 25.0 ELSE 0.04 END AS variance FROM channels WHERE kind <> 'eog'")
+def _(spark, d):
+    own = channel_table(spark, d).filter("kind <> 'eog'")
+    return own.select("ch", F.when(F.col("kind") == "mag", 400.0).when(F.col("kind") == "grad", 25.0).otherwise(0.04).alias("variance"))
+
+
+@query("reorder_channels", "SELECT epoch, ch, t, CASE ch WHEN 6 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 END::BIGINT AS place FROM epochs WHERE ch IN (6, 2, 4)", "epochs")
+def _(spark, d):
+    return C.reorder(V.epochs(spark, d), [6, 2, 4]).select("epoch", "ch", "t", "place")
+
+
+for method, f in {"mean": "avg", "median": "median", "std": "stddev_pop"}.items():
+
+    @query(f"combine_channels_{method}", f"SELECT CASE WHEN ch IN (0, 1, 2) THEN 'left' ELSE 'right' END AS \"group\", epoch, t, round({f}(value), 6) + 0.0 AS value FROM epochs WHERE ch <> 3 GROUP BY ALL", "epochs")
+    def _(spark, d, method=method):
+        return rounded(C.combine_channels(V.epochs(spark, d), {"left": [0, 1, 2], "right": [4, 5, 6, 7]}, method))
+
+
+@query("equalize_channels", "WITH e AS (SELECT * FROM epochs WHERE ch <> condition) SELECT * FROM e WHERE ch IN (SELECT ch FROM e GROUP BY ch HAVING count(DISTINCT condition) = (SELECT count(DISTINCT condition) FROM e))", "epochs")
+def _(spark, d):
+    return C.equalize_channels(V.epochs(spark, d).filter("ch <> condition"))
+
+
+@query("describe", "SELECT ch, min(value) AS low, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS high FROM signal GROUP BY ch", "signal")
+def _(spark, d):
+    return C.describe(V.signal(spark, d))
+
+
+@query("rescale", "SELECT epoch, ch, t, round(value * CASE WHEN ch < 4 THEN 1e3 ELSE 0.5 END, 6) + 0.0 AS value FROM epochs", "epochs")
+def _(spark, d):
+    return rounded(V.epochs(spark, d).select("epoch", "ch", "t", (F.col("value") * F.when(F.col("ch") < 4, 1e3).otherwise(0.5)).alias("value")))
+
+
+@query("set_eeg_reference_average", "SELECT epoch, condition, ch, t, round(value - avg(value) OVER (PARTITION BY epoch, t), 6) + 0.0 AS value FROM epochs", "epochs")
+def _(spark, d):
+    return rounded(C.reference(V.epochs(spark, d)))
+
+
+@query("set_eeg_reference_named", "SELECT epoch, condition, ch, t, round(value - avg(CASE WHEN ch IN (2, 5) THEN value END) OVER (PARTITION BY epoch, t), 6) + 0.0 AS value FROM epochs", "epochs")
+def _(spark, d):
+    return rounded(C.reference(V.epochs(spark, d), [2, 5]))
+
+
+@query("set_bipolar_reference", "SELECT pair, a.epoch, a.t, round(a.value - c.value, 6) + 0.0 AS value FROM (VALUES ('0-1', 0, 1), ('4-1', 4, 1)) p(pair, x, y) JOIN epochs a ON a.ch = x JOIN epochs c ON c.ch = y AND c.epoch = a.epoch AND c.t = a.t", "epochs")
+def _(spark, d):
+    return rounded(C.bipolar(V.epochs(spark, d), [(0, 1), (4, 1)]))
+
+
+@query("add_reference_channels", "SELECT epoch, ch, t, value FROM epochs UNION ALL SELECT DISTINCT epoch, 8, t, 0.0 FROM epochs", "epochs")
+def _(spark, d):
+    own = V.epochs(spark, d).select("epoch", "ch", "t", "value")
+    zero = own.filter("ch = 0").select("epoch", F.lit(8).cast("long").alias("ch"), "t", F.lit(0.0).alias("value"))
+    return own.unionByName(zero)
+
+
+#: A projector onto what is orthogonal to (1, ..., 1) / sqrt(8).
+PROJECTOR = np.eye(8) - np.full((8, 8), 1 / 8)
+
+
+@query("apply_proj", "SELECT r.i AS ch, epoch, t, round(sum((CASE WHEN r.i = ch THEN 1 ELSE 0 END - 0.125) * value), 6) + 0.0 AS value FROM epochs, range(8) r(i) GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(C.mix(V.epochs(spark, d), PROJECTOR.tolist()))
+
+
+@query("apply_inverse_kernel", "SELECT r.i AS ch, epoch, t, round(sum(((r.i * 3 + ch * 5) % 7 - 3) * 0.25 * value), 6) + 0.0 AS value FROM epochs, range(12) r(i) GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(C.mix(V.epochs(spark, d), [[((i * 3 + c * 5) % 7 - 3) * 0.25 for c in range(8)] for i in range(12)]))
+
+
+@query("epochs_covariance", "SELECT a.ch AS ch_i, b.ch AS ch_j, round(covar_samp(a.value, b.value), 6) + 0.0 AS value, count(*) AS n FROM epochs a JOIN epochs b USING (epoch, t) GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(C.covariance(V.epochs(spark, d)))
+
+
+@query("compute_bridged_electrodes", "SELECT ch_i, ch_j, round(median(v), 6) AS value FROM (SELECT epoch, a.ch AS ch_i, b.ch AS ch_j, var_pop(a.value - b.value) AS v FROM epochs a JOIN epochs b USING (epoch, t) WHERE a.ch < b.ch GROUP BY ALL) GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(C.bridged(V.epochs(spark, d)))
+
+
+@query("regress_artifact", "WITH c AS (SELECT *, value - avg(value) OVER (PARTITION BY epoch, ch) AS c FROM epochs), a AS (SELECT *, max(CASE WHEN ch = 7 THEN c END) OVER (PARTITION BY epoch, t) AS a FROM c), b AS (SELECT ch, sum(a * c) / sum(a * a) AS beta FROM a GROUP BY ch) SELECT epoch, t, ch, round(value - beta * a, 6) + 0.0 AS value FROM a JOIN b USING (ch) WHERE ch <> 7", "epochs")
+def _(spark, d):
+    return rounded(C.regress_artifact(V.epochs(spark, d), 7))
+
+
+for how, (m, s) in {"mean": ("avg(value) OVER w", "stddev_pop(value) OVER w"), "median": ("median(value) OVER w", "(quantile_cont(value, 0.75) OVER w - quantile_cont(value, 0.25) OVER w)")}.items():
+
+    @query(f"scaler_{how}", f"SELECT ch, epoch, condition, t, round((value - {m}) / {s}, 6) + 0.0 AS value FROM epochs WINDOW w AS (PARTITION BY ch)", "epochs")
+    def _(spark, d, how=how):
+        return rounded(C.scaled(V.epochs(spark, d), how))
+
+
+@query("detrend_constant", "SELECT epoch, condition, ch, t, round(value - avg(value) OVER (PARTITION BY epoch, ch), 6) + 0.0 AS value FROM epochs", "epochs")
+def _(spark, d):
+    return rounded(C.detrend(V.epochs(spark, d), ("epoch", "ch"), 0))
+
+
+@query("detrend_linear", "SELECT epoch, condition, ch, t, round(value - avg(value) OVER w - covar_pop(t, value) OVER w / var_pop(t) OVER w * (t - avg(t) OVER w), 6) + 0.0 AS value FROM epochs WINDOW w AS (PARTITION BY epoch, ch)", "epochs")
+def _(spark, d):
+    return rounded(C.detrend(V.epochs(spark, d), ("epoch", "ch")))
+
+
+@query("optical_density", "SELECT ch, samp, round(-ln(value / avg(value) OVER (PARTITION BY ch)), 6) + 0.0 AS value FROM signal", "signal")
+def _(spark, d):
+    return rounded(C.optical_density(V.signal(spark, d).select("ch", "samp", "value")))
+
+
+@query("beer_lambert_law", "WITH o AS (SELECT epoch AS pair, t, max(CASE WHEN ch = 0 THEN value END) AS w0, max(CASE WHEN ch = 1 THEN value END) AS w1 FROM epochs GROUP BY ALL) SELECT pair, t, round((0.7 * w0 - 1.5 * w1) / (0.9 * 0.7 - 1.5 * 2.1) / (0.03 * 6), 6) + 0.0 AS hbo, round((0.9 * w1 - 2.1 * w0) / (0.9 * 0.7 - 1.5 * 2.1) / (0.03 * 6), 6) + 0.0 AS hbr FROM o", "epochs")
+def _(spark, d):
+    od = C.wide(V.epochs(spark, d), [0, 1]).select(F.col("epoch").alias("pair"), "t", F.col("ch0").alias("w0"), F.col("ch1").alias("w1"))
+    return rounded(C.beer_lambert(od, ((0.9, 1.5), (2.1, 0.7)), F.lit(0.03)), "hbo", "hbr")
+
+
+@query("to_data_frame_wide", "SELECT epoch, t, max(CASE WHEN ch = 0 THEN value END) AS ch0, max(CASE WHEN ch = 5 THEN value END) AS ch5 FROM epochs GROUP BY ALL", "epochs")
+def _(spark, d):
+    return C.wide(V.epochs(spark, d), [0, 5])
+
+
+@query("to_data_frame_long", "SELECT epoch, t, 'ch' || ch AS channel, value FROM epochs WHERE ch IN (0, 5)", "epochs")
+def _(spark, d):
+    return C.long(C.wide(V.epochs(spark, d), [0, 5]), [0, 5])
+
+
+@query("match_event_names", "SELECT DISTINCT o_orderpriority || '/' || o_orderstatus || '/' || substr(o_orderpriority, 1, 1) AS name FROM orders WHERE o_orderstatus = 'F' AND substr(o_orderpriority, 1, 1) = '2'")
+def _(spark, d):
+    tags = V.table(spark, d, "orders").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("name")).distinct()
+    return C.match_event_names(tags, "2/F")
+
+
+@query("unify_bad_channels", "SELECT string_agg(DISTINCT ch::VARCHAR, ',' ORDER BY ch::VARCHAR) AS bads FROM (SELECT condition, ch FROM epochs GROUP BY ALL HAVING max(value) - min(value) > 5.5)", "epochs")
+def _(spark, d):
+    bads = V.epochs(spark, d).groupBy("condition", "ch").agg((F.max("value") - F.min("value")).alias("p")).filter("p > 5.5")
+    return bads.agg(F.array_join(F.sort_array(F.collect_set(F.col("ch").cast("string"))), ",").alias("bads"))  # at most the channels
+
+
+@query("stc_bin", "SELECT ch, (samp // 5)::BIGINT AS bin, round(avg(value), 6) AS value, count(*) AS n FROM signal GROUP BY ALL", "signal")
+def _(spark, d):
+    return rounded(V.signal(spark, d).groupBy("ch", F.floor(F.col("samp") / 5).alias("bin")).agg(F.avg("value").alias("value"), F.count("*").alias("n")))
+
+
+@query("center_of_mass", "SELECT epoch, round(sum(ch * abs(value)) / sum(abs(value)), 6) AS vertex, round(sum(t * abs(value)) / sum(abs(value)), 6) AS t FROM epochs GROUP BY epoch", "epochs")
+def _(spark, d):
+    v = F.abs("value")
+    return rounded(V.epochs(spark, d).groupBy("epoch").agg((F.sum(F.col("ch") * v) / F.sum(v)).alias("vertex"), (F.sum(F.col("t") * v) / F.sum(v)).alias("t")), "vertex", "t")
+
+
+@query("extract_label_time_course", "WITH l AS (SELECT ch AS vertex, CASE WHEN ch < 3 THEN 'front' WHEN ch < 6 THEN 'back' END AS label, CASE WHEN ch % 2 = 0 THEN 1 ELSE -1 END AS flip FROM range(8) r(ch)) SELECT label, epoch, t, round(avg(value), 6) + 0.0 AS mean, round(avg(flip * value), 6) + 0.0 AS mean_flip, round(max(abs(value)), 6) AS peak FROM epochs JOIN l ON vertex = ch WHERE label IS NOT NULL GROUP BY ALL", "epochs")
+def _(spark, d):
+    labels = spark.range(8).select(F.col("id").alias("ch"), F.when(F.col("id") < 3, "front").when(F.col("id") < 6, "back").alias("label"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("flip"))
+    own = V.epochs(spark, d).join(F.broadcast(labels.filter("label IS NOT NULL")), "ch")  # 8 rows
+    return rounded(own.groupBy("label", "epoch", "t").agg(F.avg("value").alias("mean"), F.avg(F.col("flip") * F.col("value")).alias("mean_flip"), F.max(F.abs("value")).alias("peak")), "mean", "mean_flip", "peak")
+
+
+@query("vector_magnitude", "SELECT epoch, t, round(sqrt(sum(value * value)), 6) AS value FROM epochs WHERE ch < 3 GROUP BY ALL", "epochs")
+def _(spark, d):
+    return rounded(V.epochs(spark, d).filter("ch < 3").groupBy("epoch", "t").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("value")))
