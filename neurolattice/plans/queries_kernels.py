@@ -1,0 +1,162 @@
+"""Queries of signal kernels. Where a kernel has a closed form in SQL, it has an oracle."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import dsp
+from ..operators import kernels as K
+from . import views as V
+from .registry import query, r6
+
+TRIAL = {"keys": ("epoch", "ch"), "order": "t"}
+
+
+def rounded(df, *names):
+    return df.withColumns({n: r6(F.col(n)) for n in names or ("value",)})
+
+
+def sig(spark, d):
+    return V.signal(spark, d).select("ch", "samp", "value")
+
+
+#: Three taps over reflected ends: the FIR path in closed form.
+TAPS = "WITH x AS (SELECT ch, samp, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM signal WINDOW w AS (PARTITION BY ch ORDER BY samp)) SELECT ch, samp, round(0.25 * coalesce(a, 2 * value - b) + 0.5 * value + 0.25 * coalesce(b, 2 * value - a), 6) + 0.0 AS value FROM x WHERE a IS NOT NULL OR b IS NOT NULL"
+
+
+@query("fir_smooth", TAPS, "signal")
+def _(spark, d):
+    long_enough = sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n > 1").drop("n")
+    return rounded(K.per_channel(long_enough, lambda x: dsp.fir(x, np.array([0.25, 0.5, 0.25]))))
+
+
+for name, low, high in (("lowpass", None, 20.0), ("highpass", 2.0, None), ("bandpass", 4.0, 20.0), ("bandstop", 20.0, 8.0)):
+
+    @query(f"filter_{name}")
+    def _(spark, d, low=low, high=high):
+        return rounded(K.filter_data(sig(spark, d), 100.0, low, high))
+
+
+@query("notch_filter")
+def _(spark, d):
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.notch(x, 100.0, [25.0], 2.0)))
+
+
+@query("iir_filter")
+def _(spark, d):
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.iir(x, 100.0, 1.0, 20.0) if len(x) > 3 else x))
+
+
+#: The analytic signal of 8 samples: the discrete transform, one-sided, and back.
+HILBERT = "WITH f AS (SELECT epoch, ch, k, sum(value * cos(2 * pi() * k * t / 8)) AS c, -sum(value * sin(2 * pi() * k * t / 8)) AS s FROM epochs, range(0, 5) r(k) GROUP BY ALL), g AS (SELECT *, CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END / 8.0 AS w FROM f) SELECT epoch, ch, i, round(sum(w * (c * cos(2 * pi() * k * i / 8) - s * sin(2 * pi() * k * i / 8))), 6) + 0.0 AS re, round(sum(w * (c * sin(2 * pi() * k * i / 8) + s * cos(2 * pi() * k * i / 8))), 6) + 0.0 AS im FROM g, range(0, 8) t(i) GROUP BY ALL"
+
+
+@query("apply_hilbert", HILBERT, "epochs")
+def _(spark, d):
+    return rounded(K.hilbert(V.epochs(spark, d), **TRIAL).drop("envelope"), "re", "im")
+
+
+@query("hilbert_envelope")
+def _(spark, d):
+    return rounded(K.hilbert(sig(spark, d)).select("ch", "i", "envelope"), "envelope")
+
+
+W = "(0.54 - 0.46 * cos(2 * pi() * t / 8))"
+WELCH = f"WITH m AS (SELECT epoch, ch, t, (value - avg(value) OVER (PARTITION BY epoch, ch)) * {W} AS v FROM epochs), p AS (SELECT epoch, ch, k, (sum(v * cos(2 * pi() * k * t / 8)) ** 2 + sum(v * sin(2 * pi() * k * t / 8)) ** 2) AS p FROM m, range(0, 5) r(k) GROUP BY ALL) SELECT epoch, ch, k * 12.5 AS freq, round(p / (100 * (SELECT sum({W} ** 2) FROM range(0, 8) r(t))) * CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END, 6) + 0.0 AS power FROM p"
+
+
+@query("psd_welch", WELCH, "epochs")
+def _(spark, d):
+    return rounded(K.psd(V.epochs(spark, d), 100.0, n_fft=8, **TRIAL), "power")
+
+
+@query("psd_welch_median")
+def _(spark, d):
+    return rounded(K.psd(sig(spark, d), 100.0, n_fft=16, overlap=8, average="median"), "freq", "power")
+
+
+@query("psd_multitaper")
+def _(spark, d):
+    return rounded(K.psd(sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n >= 16").drop("n"), 100.0, "multitaper"), "freq", "power")
+
+
+@query("tfr_morlet")
+def _(spark, d):
+    return rounded(K.tfr_morlet(V.epochs(spark, d), 100.0, [20.0, 35.0], 2.0, **TRIAL), "re", "im")
+
+
+@query("tfr_power_itc")
+def _(spark, d):
+    """Average power and phase locking over trials: aggregates of the complex coefficients."""
+    z = K.tfr_morlet(V.epochs(spark, d), 100.0, [20.0, 35.0], 2.0, **TRIAL)
+    size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
+    out = z.groupBy("ch", "freq", "i").agg(F.avg(size**2).alias("power"), F.sqrt(F.avg(F.col("re") / size) ** 2 + F.avg(F.col("im") / size) ** 2).alias("itc"))
+    return rounded(out, "power", "itc")
+
+
+@query("fwhm", "SELECT p_partkey, round(7.0 * sqrt(2 * ln(2)) / (pi() * p_size), 9) AS fwhm FROM part")
+def _(spark, d):
+    return V.table(spark, d, "part").select("p_partkey", F.round(7.0 * math.sqrt(2 * math.log(2)) / (math.pi * F.col("p_size")), 9).alias("fwhm"))
+
+
+FRAME = "(sin((t + 0.5) / 8 * pi()) / sqrt(sin((t % 4 + 0.5) / 8 * pi()) ** 2 + sin((t % 4 + 4.5) / 8 * pi()) ** 2))"
+STFT = f"WITH w AS (SELECT t, {FRAME} AS w FROM range(0, 8) r(t)), y AS (SELECT epoch, ch, bin, step, sum(coalesce(value, 0) * w * cos(2 * pi() * bin * w.t / 8)) AS re, -sum(coalesce(value, 0) * w * sin(2 * pi() * bin * w.t / 8)) AS im FROM (SELECT DISTINCT epoch, ch FROM epochs) k, range(0, 2) s(step), range(0, 5) b(bin), w LEFT JOIN epochs e USING (epoch, ch) WHERE e.t = w.t + 4 * step - 2 GROUP BY ALL) SELECT epoch, ch, bin, step, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM y"
+
+
+@query("stft", STFT.replace("FROM (SELECT DISTINCT epoch, ch FROM epochs) k, range(0, 2) s(step), range(0, 5) b(bin), w LEFT JOIN epochs e USING (epoch, ch) WHERE e.t = w.t + 4 * step - 2", "FROM epochs e, range(0, 2) s(step), range(0, 5) b(bin), w WHERE e.t = w.t + 4 * step - 2"), "epochs")
+def _(spark, d):
+    return rounded(K.stft(V.epochs(spark, d), 8, 4, **TRIAL), "re", "im")
+
+
+@query("stft_istft")
+def _(spark, d):
+    """Forth and back: the tight frame returns the signal."""
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.istft(dsp.stft(x, 16, 8), 16, 8, len(x))))
+
+
+@query("resample")
+def _(spark, d):
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.resample(x, 1.0, 2.0) if len(x) > 3 else x))
+
+
+@query("savgol_filter")
+def _(spark, d):
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.savgol(x, 11)))
+
+
+@query("temporal_derivative_distribution_repair")
+def _(spark, d):
+    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.tddr(x, 10.0) if len(x) > 3 else x))
+
+
+@query("peak_finder")
+def _(spark, d):
+    return K.events_of(sig(spark, d), dsp.peak_finder)
+
+
+@query("find_ecg_events")
+def _(spark, d):
+    return K.events_of(sig(spark, d), lambda x: dsp.qrs(x, 100.0))
+
+
+@query("fit_iir_model")
+def _(spark, d):
+    return rounded(K.table_of(sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n > 8").drop("n"), lambda x: {"k": np.arange(3), "coef": dsp.yule_walker(x, 2)}, "k long, coef double"), "coef")
+
+
+CSD = "WITH f AS (SELECT epoch, ch, k, sum(value * cos(2 * pi() * k * t / 8)) AS c, -sum(value * sin(2 * pi() * k * t / 8)) AS s FROM epochs, range(1, 4) r(k) GROUP BY ALL) SELECT a.k, a.ch AS ch_i, b.ch AS ch_j, round(avg(a.c * b.c + a.s * b.s), 6) + 0.0 AS re, round(avg(a.s * b.c - a.c * b.s), 6) + 0.0 AS im FROM f a JOIN f b ON a.epoch = b.epoch AND a.k = b.k AND a.ch <= b.ch GROUP BY ALL"
+
+
+@query("csd_fourier", CSD, "epochs")
+def _(spark, d):
+    """Cross-spectra of trials: transform natively as sums, pair channels per trial and bin."""
+    at = F.lit(2 * math.pi) * F.col("k") * F.col("t") / 8
+    f = V.epochs(spark, d).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")))).groupBy("epoch", "ch", "k").agg(F.sum(F.col("value") * F.cos(at)).alias("c"), (-F.sum(F.col("value") * F.sin(at))).alias("s"))
+    rows = f.groupBy("epoch", "k").agg(F.sort_array(F.collect_list(F.struct("ch", "c", "s"))).alias("x"))
+    pairs = rows.select("k", F.explode("x").alias("a"), "x").select("k", "a", F.explode("x").alias("b")).filter("a.ch <= b.ch")
+    a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
+    return rounded(pairs.groupBy("k", a("ch").alias("ch_i"), b("ch").alias("ch_j")).agg(F.avg(a("c") * b("c") + a("s") * b("s")).alias("re"), F.avg(a("s") * b("c") - a("c") * b("s")).alias("im")), "re", "im")
