@@ -6,8 +6,10 @@ the least and the largest permuted hash, so hash evaluations are half of what as
 band with a chance of about 1e-8.
 
 Sets that are equal are one node from the start. Buckets are never expanded into pairs:
-  1. each node is tried against the leader (least id) that it shares most bands with, on full sets;
-  2. components of these links follow; buckets within one component need nothing more;
+  1. a bucket's leader is the member with most neighbours in its buckets; each node is tried on full
+     sets against the leader it shares most bands with, then, while they are still in different
+     components, against the next few;
+  2. buckets within one component need nothing more;
   3. in every other bucket, blocks of members of different components are compared by one-byte
      sketches of the 192 values, and those that may reach the threshold are tried on full sets.
 Links are confirmed on the exact shingle sets (64-bit shingle hashes), so the result has no false
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import Memo, each_text, written
 from .components import components
 
-SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH = 5, 96, 2, 512, 2048
+SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS = 5, 96, 2, 512, 2048, 6
 BANDS = PERMUTATIONS // PER_BAND
-#: A sketch estimate this far under the threshold rules a pair out: over six standard errors.
-SLACK = 0.2
+#: A sketch estimate this far under the threshold rules a pair out: over five standard errors.
+SLACK = 0.16
 NULL_ID = -(1 << 63)
 _random = np.random.Generator(np.random.PCG64(20))
 TIMES = _random.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32, endpoint=False) | np.uint32(1)
@@ -138,6 +140,14 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return placed.select("a", "block", "role", "node", "text").mapInArrow(run, "a long, b long")
 
 
+def differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"in_{end}", F.coalesce(f"in_{end}", end))
+    return pairs.filter("in_a <> in_b").select("a", "b")
+
+
 def survivors(rows: DataFrame, percent: int) -> DataFrame:
     """rows: key, node, component, sketch, n_shingles of buckets with several components. Pairs of
     different components that may reach percent, by sketch; buckets are compared block by block."""
@@ -152,15 +162,14 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
         left, right = pdf[pdf.i == x], pdf[pdf.i == y]
         a, b = (np.frombuffer(b"".join(d.sketch), np.uint8).reshape(len(d), -1) if len(d) else np.zeros((0, 2 * PERMUTATIONS), np.uint8) for d in (left, right))
         ca, cb, na, nb, ia, ib = (d[c].to_numpy() for c in ("component", "n_shingles", "node") for d in (left, right))
-        out = []
-        for k in range(len(left)):
-            may = (ca[k] != cb) & (100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb))
-            if x == y:
-                may &= ia[k] < ib
-            at = np.flatnonzero(may)
-            at = at[(a[k] == b[at]).mean(1) >= least] if len(at) else at
-            out += [(min(ia[k], v), max(ia[k], v)) for v in ib[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        may = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))  # at most BLOCK x BLOCK
+        may &= (ia[:, None] < ib) if x == y else True
+        i, j = np.nonzero(may)
+        for at in range(0, len(i), 4 * BLOCK):  # a few sketches at a time
+            p, q = i[at : at + 4 * BLOCK], j[at : at + 4 * BLOCK]
+            may[p, q] = (a[p] == b[q]).sum(1) >= least * a.shape[1]
+        i, j = np.nonzero(may)
+        return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j])}, dtype="int64")
 
     return pieces.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
 
@@ -172,18 +181,28 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = written(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("node")))
     bands = rows.join(sets, ["node", "digest"], "left_semi")
     members = bands.select("node", F.explode("keys").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
-    shared = written(members.join(leaders, "key"))
-    most = shared.filter("node > leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    pairs = written(most.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("low"))).alias("m")).select((-F.col("m.low")).alias("a"), F.col("node").alias("b")))
-    found = written(verified(pairs, texts, percent))
+    sizes = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = written(members.join(sizes, "key"))
+    # a bucket's leader is the member with most neighbours in all its buckets: the text that others vary
+    many = shared.groupBy("node").agg(F.sum("m").alias("many"))
+    leaders = shared.join(many, "node").groupBy("key").agg(F.max("many").alias("many"), F.max_by("node", F.struct("many", F.bitwise_not("node"))).alias("leader")).drop("many")
+    tried = shared.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "leader"))  # at most BANDS rows a node
+    tried = written(tried.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select(F.col("leader").alias("a"), F.col("node").alias("b"), "rank"))
+    first = tried.filter("rank = 1").select("a", "b")
+    found = written(verified(first, texts, percent))
+    labels = components(found)
+    apart = written(differing(tried.filter("rank > 1").select("a", "b"), labels))
+    found = written(found.unionByName(verified(apart, texts, percent)))
     labels = components(found)
+    pairs = first.unionByName(apart)
     label = lambda df: df.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = label(shared)
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x < y").select("key")
     sketches = bands.select("node", "sketch", "n_shingles")
     rest = survivors(written(named.join(mixed_keys, "key").select("key", "node", "component").join(sketches, "node")), percent)
-    more = written(verified(written(rest.join(pairs, ["a", "b"], "left_anti")), texts, percent))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(verified(written(rest.join(done, ["a", "b"], "left_anti")), texts, percent))
     if not more.isEmpty():
         labels = components(found.unionByName(more))
     by_set = label(sets).select("digest", "component")
