@@ -22,9 +22,9 @@ def transition(low: float | None, high: float | None, sfreq: float) -> tuple[flo
     return (None if low is None else min(max(0.25 * low, 2.0), low), None if high is None else min(max(0.25 * high, 2.0), sfreq / 2 - high))
 
 
-def design_fir(sfreq: float, low: float | None, high: float | None, name: str = "hamming") -> np.ndarray:
-    """Odd, symmetric taps of a low-, high-, band-pass or (low > high) band-stop filter."""
-    a, b = transition(low, high, sfreq)
+def design_fir(sfreq: float, low: float | None, high: float | None, name: str = "hamming", width: float | None = None) -> np.ndarray:
+    """Odd, symmetric taps of a low-, high-, band-pass or (low > high) band-stop filter. width: of the transitions."""
+    a, b = transition(low, high, sfreq) if width is None else (None if low is None else width, None if high is None else width)
     widths = [x for x in (a, b) if x is not None]
     if not widths:
         return np.ones(1)
@@ -86,7 +86,7 @@ def filter_data(x: np.ndarray, sfreq: float, low: float | None, high: float | No
 def notch(x: np.ndarray, sfreq: float, freqs: list[float], width: float | None = None, trans: float = 1.0) -> np.ndarray:
     for f in freqs:
         half = (width or f / 200) / 2 + trans / 2
-        x = fir(x, design_fir(sfreq, f + half, max(f - half, 0.1)))
+        x = fir(x, design_fir(sfreq, f + half, max(f - half, 0.1), width=trans / 2))
     return x
 
 
