@@ -15,22 +15,22 @@ def rounded(df, *names):
     return df.withColumns({n: r6(F.col(n)) for n in names or ("value",)})
 
 
-REJECTED = "good AS (SELECT * FROM epochs WHERE epoch NOT IN (SELECT epoch FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) WHERE p > 4.2))"
+REJECTED = "good AS (SELECT * FROM epochs WHERE epoch NOT IN (SELECT epoch FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) WHERE p > 0.62))"
 
 
 @query("evoked_average", f"WITH {REJECTED}, b AS (SELECT epoch, condition, ch, t, value - avg(CASE WHEN t BETWEEN 0 AND 2 THEN value END) OVER (PARTITION BY epoch, ch) AS value FROM good) SELECT condition, ch, t, round(avg(value), 6) + 0.0 AS value, round(stddev_pop(value) / sqrt(count(*)), 6) + 0.0 AS se, count(*) AS nave FROM b GROUP BY ALL", "epochs")
 def _(spark, d):
-    return rounded(P.evoked_average(V.epochs(spark, d), 4.2, 0, 2), "value", "se")
+    return rounded(P.evoked_average(V.epochs(spark, d), 0.62, 0, 2), "value", "se")
 
 
-@query("drop_log", "SELECT epoch, coalesce(string_agg(ch::VARCHAR, ',' ORDER BY ch) FILTER (p > 4.0 OR p < 1.2), '') AS bad FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs WHERE ch <> 7 GROUP BY ALL) GROUP BY epoch", "epochs")
+@query("drop_log", "SELECT epoch, coalesce(string_agg(ch::VARCHAR, ',' ORDER BY ch) FILTER (p > 0.55 OR p < 0.2), '') AS bad FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs WHERE ch <> 7 GROUP BY ALL) GROUP BY epoch", "epochs")
 def _(spark, d):
-    return P.drop_log(V.epochs(spark, d), 4.0, 1.2, (7,)).select("epoch", F.array_join(F.transform("bad", lambda x: x.cast("string")), ",").alias("bad"))
+    return P.drop_log(V.epochs(spark, d), 0.55, 0.2, (7,)).select("epoch", F.array_join(F.transform("bad", lambda x: x.cast("string")), ",").alias("bad"))
 
 
-@query("drop_log_stats", "SELECT round(100.0 * avg((p > 4.2)::INT), 6) AS percent FROM (SELECT epoch, max(p) AS p FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) GROUP BY epoch)", "epochs")
+@query("drop_log_stats", "SELECT round(100.0 * avg((p > 0.62)::INT), 6) AS percent FROM (SELECT epoch, max(p) AS p FROM (SELECT epoch, ch, max(value) - min(value) AS p FROM epochs GROUP BY ALL) GROUP BY epoch)", "epochs")
 def _(spark, d):
-    return P.drop_log(V.epochs(spark, d), 4.2, None).agg(F.round(F.avg(F.when(F.size("bad") > 0, 100.0).otherwise(0.0)), 6).alias("percent"))
+    return P.drop_log(V.epochs(spark, d), 0.62, None).agg(F.round(F.avg(F.when(F.size("bad") > 0, 100.0).otherwise(0.0)), 6).alias("percent"))
 
 
 BASE = "avg(CASE WHEN t BETWEEN 1 AND 3 THEN value + 9 END) OVER w"
@@ -174,9 +174,9 @@ def _(spark, d):
     return C.equalize_channels(V.epochs(spark, d).filter("ch <> condition"))
 
 
-@query("describe", "SELECT ch, min(value) AS low, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS high FROM signal GROUP BY ch", "signal")
+@query("describe", "SELECT ch, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high FROM signal GROUP BY ch", "signal")
 def _(spark, d):
-    return C.describe(V.signal(spark, d))
+    return rounded(C.describe(V.signal(spark, d)), "q1", "median", "q3")
 
 
 @query("rescale", "SELECT epoch, ch, t, round(value * CASE WHEN ch < 4 THEN 1e3 ELSE 0.5 END, 6) + 0.0 AS value FROM epochs", "epochs")
@@ -279,9 +279,9 @@ def _(spark, d):
     return C.match_event_names(tags, "2/F")
 
 
-@query("unify_bad_channels", "SELECT string_agg(DISTINCT ch::VARCHAR, ',' ORDER BY ch::VARCHAR) AS bads FROM (SELECT condition, ch FROM epochs GROUP BY ALL HAVING max(value) - min(value) > 5.5)", "epochs")
+@query("unify_bad_channels", "SELECT string_agg(DISTINCT ch::VARCHAR, ',' ORDER BY ch::VARCHAR) AS bads FROM (SELECT condition, ch FROM epochs GROUP BY ALL HAVING max(value) - min(value) > 0.8)", "epochs")
 def _(spark, d):
-    bads = V.epochs(spark, d).groupBy("condition", "ch").agg((F.max("value") - F.min("value")).alias("p")).filter("p > 5.5")
+    bads = V.epochs(spark, d).groupBy("condition", "ch").agg((F.max("value") - F.min("value")).alias("p")).filter("p > 0.8")
     return bads.agg(F.array_join(F.sort_array(F.collect_set(F.col("ch").cast("string"))), ",").alias("bads"))  # at most the channels
 
 
