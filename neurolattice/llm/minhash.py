@@ -10,8 +10,9 @@ Sets that are equal are one node from the start. Buckets are never expanded into
      sets against the leader it shares most bands with, then, while they are still in different
      components, against the next few;
   2. buckets within one component need nothing more;
-  3. in every other bucket, blocks of members of different components are compared by one-byte
-     sketches of the 192 values, and those that may reach the threshold are tried on full sets.
+  3. in every other bucket, blocks of members of different components are compared, each pair in its
+     first common band only, by sketches of BINS bytes (the least hash of each bin of a one-permutation
+     sketch), and those that may reach the threshold are tried on full sets.
 Links are confirmed on the exact shingle sets (64-bit shingle hashes), so the result has no false
 link, and none is lost but by the chance above.
 
@@ -36,8 +37,8 @@ from .components import components
 
 SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS = 5, 96, 2, 512, 2048, 6
 BANDS = PERMUTATIONS // PER_BAND
-#: A sketch estimate this far under the threshold rules a pair out: over five standard errors.
-SLACK = 0.16
+#: Bins of a sketch; an estimate that is ERRORS standard errors and SLACK under the threshold rules a pair out.
+BINS, ERRORS, SLACK = 512, 5, 0.01
 NULL_ID = -(1 << 63)
 _random = np.random.Generator(np.random.PCG64(20))
 TIMES = _random.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32, endpoint=False) | np.uint32(1)
@@ -87,8 +88,27 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each bin of the sorted hashes, a byte of the least one in it, not 0; 0 where it is empty."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (shingles >> np.uint64(64 - 9)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = (shingles[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the rows' sketches allow the similarity. The bins that either fills are a sample of the
+    union without replacement, so the estimate's error falls with the share of the union that it is."""
+    same, filled = ((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1)
+    goal = percent / 100
+    union = (na + nb) / (1 + goal)
+    error = np.sqrt(goal * (1 - goal) / np.maximum(filled, 1) * np.clip(1 - filled / union, 0, 1))
+    return same >= (goal - ERRORS * error - SLACK) * filled
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """node (the id), n_shingles, digest of the set, band keys, sketch."""
+    """node (the id), n_shingles, digest of the set, band keys, sketch with 32 bits of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -101,7 +121,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     sig = signature(found)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                     keys.append(band_keys(sig))
-                    sketches.append(mixed(sig.astype(np.uint64).ravel()).astype(np.uint8).tobytes())
+                    sketches.append(sketch(found) + keys[-1].astype(np.uint32).tobytes())
                 else:
                     digests.append(None), keys.append(None), sketches.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "n_shingles", "digest", "keys", "sketch"])
@@ -116,7 +136,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(counts, "a").select("a", "b", (F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("block"))
     heads = counts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), F.lit(0).alias("role"))
     roles = dealt.select("a", F.col("b").alias("node"), "block", F.lit(1).alias("role")).unionByName(heads)
-    placed = roles.join(docs, "node").repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    placed = docs.join(roles.hint("shuffle_hash"), "node").repartition("a", "block").sortWithinPartitions("a", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, at, heads = word_memo(), None, []
@@ -149,26 +169,31 @@ def differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def survivors(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: key, node, component, sketch, n_shingles of buckets with several components. Pairs of
-    different components that may reach percent, by sketch; buckets are compared block by block."""
+    """rows: key, band, node, component, sketch, n_shingles of buckets with several components. Pairs of
+    different components that may reach percent; buckets are compared block by block."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
     cut = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
     spread = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pieces = spread.select("key", "node", "component", "sketch", "n_shingles", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i")
-    least = percent / 100 - SLACK
+    pieces = spread.select("key", "band", "node", "component", "sketch", "n_shingles", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.x.iloc[0], pdf.y.iloc[0]
+        x, y, band = pdf.x.iloc[0], pdf.y.iloc[0], int(pdf.band.iloc[0])
         left, right = pdf[pdf.i == x], pdf[pdf.i == y]
-        a, b = (np.frombuffer(b"".join(d.sketch), np.uint8).reshape(len(d), -1) if len(d) else np.zeros((0, 2 * PERMUTATIONS), np.uint8) for d in (left, right))
+        a, b = (np.frombuffer(b"".join(d.sketch), np.uint8).reshape(len(d), BINS + 4 * BANDS) for d in (left, right))
+        ka, kb = (np.ascontiguousarray(d[:, BINS:]).view(np.uint32)[:, :band] for d in (a, b))
+        a, b = a[:, :BINS], b[:, :BINS]
         ca, cb, na, nb, ia, ib = (d[c].to_numpy() for c in ("component", "n_shingles", "node") for d in (left, right))
         may = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))  # at most BLOCK x BLOCK
         may &= (ia[:, None] < ib) if x == y else True
         i, j = np.nonzero(may)
-        for at in range(0, len(i), 4 * BLOCK):  # a few sketches at a time
-            p, q = i[at : at + 4 * BLOCK], j[at : at + 4 * BLOCK]
-            may[p, q] = (a[p] == b[q]).sum(1) >= least * a.shape[1]
-        i, j = np.nonzero(may)
+        kept = []
+        for at in range(0, len(i), 8 * BLOCK):  # a few pairs at a time
+            p, q = i[at : at + 8 * BLOCK], j[at : at + 8 * BLOCK]
+            new = ~(ka[p] == kb[q]).any(1)  # else an earlier band has the pair
+            p, q = p[new], q[new]
+            reach = may_reach(a[p], b[q], na[p], nb[q], percent)
+            kept.append((p[reach], q[reach]))
+        i, j = (np.concatenate([k[n] for k in kept]) if kept else np.zeros(0, int) for n in (0, 1))
         return pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j])}, dtype="int64")
 
     return pieces.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
@@ -180,9 +205,11 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = written(signed(texts))
     sets = written(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("node")))
     bands = rows.join(sets, ["node", "digest"], "left_semi")
-    members = bands.select("node", F.explode("keys").alias("key"))
+    members = bands.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = written(members.join(sizes, "key"))
+    # whole texts are shuffled once: those of nodes that share a bucket
+    texts = written(texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"))
     # a bucket's leader is the member with most neighbours in all its buckets: the text that others vary
     many = shared.groupBy("node").agg(F.sum("m").alias("many"))
     leaders = shared.join(many, "node").groupBy("key").agg(F.max("many").alias("many"), F.max_by("node", F.struct("many", F.bitwise_not("node"))).alias("leader")).drop("many")
@@ -200,7 +227,7 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = label(shared)
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x < y").select("key")
     sketches = bands.select("node", "sketch", "n_shingles")
-    rest = survivors(written(named.join(mixed_keys, "key").select("key", "node", "component").join(sketches, "node")), percent)
+    rest = survivors(written(named.join(mixed_keys, "key").select("key", "band", "node", "component").join(sketches, "node")), percent)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(verified(written(rest.join(done, ["a", "b"], "left_anti")), texts, percent))
     if not more.isEmpty():
