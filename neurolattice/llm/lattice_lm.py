@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import each_text, mod_of_id, written
 
-MARK, BLOCK_BYTES, ROUNDS, SMOOTH, LONG, CLASSES = "▁", 8 << 20, 2, 0.1, 48, 16
+MARK, BLOCK_BYTES, ROUNDS, SMOOTH, LONG, CLASSES, TOGETHER = "▁", 4 << 20, 2, 0.1, 48, 16, 50_000
+BASE, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
+CHOICES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 BLOCK = "block long, doc_ids array<long>, held binary, ends binary, tokens binary, words binary, counts binary"
 
 
@@ -115,15 +117,112 @@ class Pieces:
 
 
 class Lattice:
-    """Sums over segmentations under one set of piece probabilities for each class."""
+    """Sums over segmentations under one set of piece probabilities for each class.
+
+    many() and expect_many() take words of one length together, as arrays; edges(), score() and
+    _expect_long() do the same for one word of any length."""
 
     def __init__(self, number: dict, byte_numbers: dict, longest: int, weights: list[np.ndarray]):
         self.number, self.byte_numbers, self.longest = number, byte_numbers, longest
         self.log = [np.log(np.maximum(w, 1e-300)).tolist() for w in weights]
-        scale = np.ones(len(weights[0]))
+        self.size, self.logs = len(weights[0]), np.array(self.log).T
+        scale = np.ones(self.size)
         for text, i in number.items():
             scale[i] = 8.0 ** len(text)  # keeps the sums of a word's lattice near 1
-        self.scaled = [(w * scale).tolist() for w in weights]
+        self.scaled = np.array(weights).T * scale[:, None]
+        self.tables()
+
+    def tables(self) -> None:
+        """Two-choice hash tables of the pieces' hashes, so a lookup is two array reads."""
+        self.keys, own = np.zeros(self.size + 1, np.uint64), {}
+        with np.errstate(over="ignore"):
+            for text, i in self.number.items():
+                h = np.uint64(0)
+                for c in text:
+                    h = h * BASE + np.uint64(ord(c))
+                self.keys[i] = h
+                own[i] = tuple(int((h * m) >> np.uint64(64 - TABLE_BITS)) for m in CHOICES)
+        self.slots = np.full((2, 1 << TABLE_BITS), self.size, np.int64)
+        for i in own:
+            for turn in range(1000):
+                side = turn % 2
+                at = own[i][side]
+                i, self.slots[side, at] = int(self.slots[side, at]), i
+                if i == self.size:
+                    break
+            else:
+                raise ValueError("the pieces' hashes do not fit the tables")
+
+    def found(self, words: list[str]) -> tuple[list[tuple[int, int, np.ndarray]], list[str], int]:
+        """(start, end, piece number by word) for words of one length; characters that are no piece
+        have numbers from size on; where there is no piece stands the last number."""
+        n, length = len(words), len(words[0]) + 1
+        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64)
+        out, other = [], {}
+        hashes = np.zeros((n, length), np.uint64)
+        for k in range(1, min(self.longest, length) + 1):
+            hashes = hashes[:, : length - k + 1] * BASE + codes[:, k - 1 :]
+            numbers = np.full(hashes.shape, self.size, np.int64)
+            for m, slots in zip(CHOICES, self.slots, strict=True):
+                may = slots[(hashes * m) >> np.uint64(64 - TABLE_BITS)]
+                numbers = np.where((self.keys[may] == hashes) & (may < self.size), may, numbers)
+            if k == 1:
+                strange = numbers == self.size
+                kinds, which = np.unique(codes[strange], return_inverse=True)
+                other = [chr(int(c)) for c in kinds]
+                numbers[strange] = self.size + which
+                none = self.size + len(other)
+            else:
+                numbers[numbers == self.size] = none
+            out += [(i, i + k, np.ascontiguousarray(numbers[:, i])) for i in range(length - k + 1) if k == 1 or (numbers[:, i] != none).any()]
+        return out, other, none
+
+    def bytes_of(self, char: str) -> list[int]:
+        return [self.byte_numbers[b] for b in char.encode("utf-8", "replace")]
+
+    def many(self, words: list[str]) -> np.ndarray:
+        """(words, classes): natural logs of the sums over all segmentations, forward in log space."""
+        if len(words[0]) > LONG:
+            return np.array([[self.score(e, k) for k in range(len(self.log))] for e in map(self.edges, words)])
+        arcs, other, _ = self.found(words)
+        extra = [self.logs[self.bytes_of(c)].sum(0) for c in other]
+        weight = np.vstack([self.logs, *extra, np.full(len(self.log), -np.inf)])
+        into: list[list] = [[] for _ in range(len(words[0]) + 2)]
+        for i, j, numbers in arcs:
+            into[j].append((i, numbers))
+        ahead = [np.zeros((len(words), len(self.log)))]
+        for own in into[1:]:
+            terms = np.stack([ahead[i] + weight[numbers] for i, numbers in own])
+            top = terms.max(0)
+            ahead.append(top + np.log(np.exp(terms - top).sum(0)))
+        return ahead[-1]
+
+    def expect_many(self, words: list[str], counted: np.ndarray, into: np.ndarray) -> None:
+        """Adds each piece's expected uses in the words that counted (words, classes) marks to into (classes, pieces)."""
+        if len(words[0]) > LONG:
+            for word, own in zip(words, counted, strict=True):
+                for k in np.flatnonzero(own):
+                    self._expect_long(self.edges(word), k, into[k])
+            return
+        arcs, other, none = self.found(words)
+        extra = [8.0 * np.exp(self.logs[self.bytes_of(c)].sum(0)) for c in other]
+        weight = np.vstack([self.scaled, *extra, np.zeros(len(self.log))])
+        shape = (len(words), len(self.log))
+        n = len(words[0]) + 1
+        ahead, back = [np.ones(shape), *(np.zeros(shape) for _ in range(n))], [*(np.zeros(shape) for _ in range(n)), np.ones(shape)]
+        arcs = [(i, j, numbers, weight[numbers]) for i, j, numbers in arcs]
+        for i, j, _, w in sorted(arcs, key=lambda x: x[0]):
+            ahead[j] += ahead[i] * w
+        for i, j, _, w in sorted(arcs, key=lambda x: -x[0]):
+            back[i] += w * back[j]
+        share = np.where(counted > 0, 1 / np.maximum(ahead[n], 1e-290), 0)
+        every = np.concatenate([numbers for _, _, numbers, _ in arcs])
+        for k in range(shape[1]):
+            uses = np.bincount(every, np.concatenate([ahead[i][:, k] * share[:, k] * w[:, k] * back[j][:, k] for i, j, _, w in arcs]), none + 1)
+            into[k] += uses[: self.size]
+            for c, u in zip(other, uses[self.size : none], strict=True):
+                for b in self.bytes_of(c):
+                    into[k][b] += u
 
     def edges(self, word: str) -> list[list[tuple]]:
         """For each start: (end, number); a character that is no piece has its bytes' numbers."""
@@ -155,28 +254,6 @@ class Lattice:
         top = max(terms)
         return top + log(sum([exp(x - top) for x in terms]))
 
-    def expect(self, edges: list, k: int, into: list[float]) -> None:
-        """Adds the expected uses of each piece in the word, under class k."""
-        n = len(edges)
-        if n > LONG:
-            return self._expect_long(edges, k, into)
-        weight = self.scaled[k]
-        whole = [[(j, x, weight[x] if x.__class__ is int else 8.0 * math.prod(weight[b] for b in x)) for j, x in own] for own in edges]
-        ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-        ahead[0] = back[n] = 1.0
-        for i in range(n):
-            if a := ahead[i]:
-                for j, _, w in whole[i]:
-                    ahead[j] += a * w
-        for i in range(n - 1, -1, -1):
-            back[i] = sum([w * back[j] for j, _, w in whole[i]])
-        if not ahead[n]:
-            return self._expect_long(edges, k, into)
-        for i in range(n):
-            if a := ahead[i] / ahead[n]:
-                for j, x, w in whole[i]:
-                    self._give(x, a * w * back[j], into)
-
     @staticmethod
     def _give(x, share: float, into: list[float]) -> None:
         if x.__class__ is int:
@@ -203,8 +280,28 @@ class Lattice:
                 self._give(x, math.exp(min(0.0, ahead[i] + w + back[j] - ahead[n])), into)
 
 
-def texts_of(batch: pa.RecordBatch) -> Iterator[str]:
-    return (w.decode("utf-8", "replace") for w in batch.column("word").to_pylist())
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[np.ndarray, list[str]]]]]:
+    """Some batches as one table, and its words by length: (positions, words), TOGETHER words at most."""
+    held: list[pa.RecordBatch] = []
+
+    def group() -> tuple:
+        whole = pa.Table.from_batches(held)
+        words = [w.decode("utf-8", "replace") for w in whole.column("word").to_pylist()]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        parts = []
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            parts += [(x, [words[i] for i in x]) for x in np.array_split(at, min(len(at), -(-len(at) * (int(n) + 1) // TOGETHER)))]
+        return whole, parts
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield group()
+            held.clear()
+    if held:
+        yield group()
 
 
 def fitted(words: DataFrame, pieces: Pieces, classes: int, rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -216,16 +313,13 @@ def fitted(words: DataFrame, pieces: Pieces, classes: int, rounds: int = ROUNDS)
         held = spark.sparkContext.broadcast((pieces.number, pieces.bytes, pieces.longest, share))  # as large as the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], held=held, size=pieces.size) -> Iterator[pa.RecordBatch]:
-            lattice, sums = Lattice(*held.value), [[0.0] * size for _ in range(classes)]
-            for batch in batches:
-                for word, *counts in zip(texts_of(batch), *(batch.column(x).to_pylist() for x in names), strict=True):
-                    edges = lattice.edges(word)
-                    for k, c in enumerate(counts):
-                        if c:
-                            lattice.expect(edges, k, sums[k])
-            used = [(k, i, x) for k in range(classes) for i, x in enumerate(sums[k]) if x]
-            columns = zip(*used, strict=True) if used else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["class", "piece", "uses"])
+            lattice, sums = Lattice(*held.value), np.zeros((classes, size))
+            for whole, parts in by_length(batches):
+                counts = np.stack([whole.column(x).to_numpy() for x in names], 1)
+                for at, own in parts:
+                    lattice.expect_many(own, counts[at], sums)
+            k, used = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(used.astype(np.int32)), pa.array(sums[k, used])], ["class", "piece", "uses"])
 
         uses = np.zeros((classes, pieces.size))
         for r in trained.mapInArrow(run, "class int, piece int, uses double").groupBy("class", "piece").agg(F.sum("uses").alias("uses")).collect():
@@ -266,19 +360,18 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> D
     go_on = [math.log1p(-e) for e in end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, exp, log = Lattice(*held.value), math.exp, math.log
-        for batch in batches:
-            found: list[list[float]] = [[] for _ in range(classes)]
-            counts = [batch.column(x).to_pylist() for x in names]
-            for w, *own in zip(texts_of(batch), *counts, strict=True):
-                edges = lattice.edges(w)
-                for k, c in enumerate(own):
-                    x = rest[k] + lattice.score(edges, k)
-                    if c:  # the arc of the whole word
-                        y = log((c - off[k]) / n_words[k])
-                        x = max(x, y) + math.log1p(exp(-abs(x - y)))
-                    found[k].append(x + go_on[k])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.sum([np.array(c, np.int64) for c in counts], 0)), *(pa.array(f, pa.float64()) for f in found)], ["word", "c", *(f"s{k}" for k in range(classes))])
+        lattice = Lattice(*held.value)
+        for whole, parts in by_length(batches):
+            counts = np.stack([whole.column(x).to_numpy() for x in names], 1)
+            found = np.zeros(counts.shape)
+            for at, words_ in parts:
+                found[at] = lattice.many(words_)
+            with np.errstate(divide="ignore"):
+                whole_word = np.log(np.maximum(counts - np.array(off), 0) / np.maximum(n_words, 1))  # the arc of the word itself
+            found = np.logaddexp(found + np.array(rest), whole_word) + np.array(go_on)
+            for k in range(0, len(counts), 1 << 16):
+                p = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([whole.column("word")[p].combine_chunks(), pa.array(counts[p].sum(1)), *(pa.array(f) for f in found[p].T)], ["word", "c", *(f"s{k}" for k in range(classes))])
 
     own = [f"s{k}" for k in range(classes)]
     scored = words.select("word", *names).mapInArrow(run, ", ".join(["word binary, c long", *(f"{x} double" for x in own)]))
