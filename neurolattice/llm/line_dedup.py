@@ -8,7 +8,8 @@ can need (the multi-match-aware windows). Candidates are verified with Spark's l
 threshold, which computes a band of the table and stops beyond it; there is no bit-parallel variant
 among the built-in functions.
 
-Only keys and line numbers are shuffled for the join; texts meet for candidates alone.
+Only keys, line numbers and eight counts of characters are shuffled for the join, whose condition
+drops pairs that the counts already hold apart; texts meet for candidates alone.
 
 Defined results: a null text has no lines; blank lines take no part; lines of under LEAST characters
 match only when equal; a null id is the smallest; repeated rows count as further copies; an empty
@@ -24,6 +25,8 @@ from .common import written
 from .components import components
 
 THRESHOLD, LEAST = 2, 16
+#: Kinds of characters that are counted: frequent letters that seldom replace each other, and the rest.
+KINDS = ("eE", "aAàâä", "iIoO", "nNmM", "rRlL", "tTdD", "sScC", "hHuU")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -65,6 +68,24 @@ def probe_keys(line: Column, n: Column, threshold: int) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def counts_of(line: Column) -> Column:
+    """How often the line has characters of each of eight kinds, modulo 256, packed into a long."""
+    out = F.lit(0).cast("long")
+    for i, kind in enumerate(KINDS):
+        n = F.length("line") - F.length(F.translate(line, kind, ""))
+        out = out.bitwiseOR(F.shiftleft((n % 256).cast("long"), 8 * i))
+    return out
+
+
+def counts_differ(a: Column, b: Column) -> Column:
+    """The sum of the kinds' differences. An edit changes it by two at most."""
+    total = F.lit(0).cast("long")
+    for i in range(8):
+        d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """line_id, line, first_doc_id, n_copies; a table, so that line_id stands."""
     each = lines_of(docs).groupBy("line").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_copies"))
@@ -74,12 +95,15 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 def links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """a < b: the line_ids of every two distinct lines within threshold edits. lines: line_id, line."""
     near = lines.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= max(least, threshold + 1))
-    index = near.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("x"))
-    probes = near.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("y"))
-    found = index.join(probes, "key").filter("x <> y")
+    near = near.withColumn("kinds", counts_of(F.col("line")))
+    index = near.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("x"), F.col("kinds").alias("x_kinds"))
+    probes = near.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("y"), F.col("kinds").alias("y_kinds"))
+    # a condition of the join itself: lines that share a segment and little else never become rows
+    alike = counts_differ(F.col("x_kinds"), F.col("y_kinds")) <= 2 * threshold
+    found = index.withColumnRenamed("key", "x_key").join(probes, (F.col("x_key") == F.col("key")) & (F.col("x") != F.col("y")) & alike)
     pairs = written(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = written(lines.select("line_id", "line").join(wanted, "line_id", "left_semi"))
+    texts = written(lines.select("line_id", "line").join(wanted.hint("shuffle_hash"), "line_id", "left_semi"))
     with_a = pairs.join(texts.withColumnsRenamed({"line_id": "a", "line": "line_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"line_id": "b", "line": "line_b"}), "b")
     return both.filter(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b")
