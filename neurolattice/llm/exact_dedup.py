@@ -127,7 +127,8 @@ def groups(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     rows = written(recipes(docs.select("doc_id", "text"), ["doc_id"]))
-    return rows.join(groups(rows), RECIPE).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
+    kept = written(groups(rows))  # a table, so that both sides are shuffled for the join alone and a hot recipe can be split
+    return rows.join(kept, RECIPE).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
