@@ -16,9 +16,12 @@ Sets that are equal are one node from the start. Buckets are never expanded into
 Links are confirmed on the exact shingle sets (64-bit shingle hashes), so the result has no false
 link, and none is lost but by the chance above.
 
+Nodes are pairs of id and text (by a 64-bit hash, as shingles are); an id only names a component.
+
 Defined results: null, empty and wordless texts have no shingles and are alone; fewer words than a
-shingle has are one shingle; equal ids count as linked, a null id being one id; an empty table gives
-an empty result; extra columns are left alone.
+shingle has are one shingle; texts of one id, or of a null id, are linked only if they are near copies;
+a component's name is its least id, null being the least; an empty table gives an empty result; extra
+columns are left alone. near_dedup leaves out a wordless row where a text of the same id stays.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, each_text, written
@@ -39,7 +42,6 @@ SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS = 5, 96, 2, 512, 2048, 6
 BANDS = PERMUTATIONS // PER_BAND
 #: Bins of a sketch; an estimate that is ERRORS standard errors and SLACK under the threshold rules a pair out.
 BINS, ERRORS, SLACK = 512, 5, 0.01
-NULL_ID = -(1 << 63)
 _random = np.random.Generator(np.random.PCG64(20))
 TIMES = _random.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32, endpoint=False) | np.uint32(1)
 PLUS = _random.integers(0, 1 << 32, (PERMUTATIONS, 1), np.uint32, endpoint=False)
@@ -108,7 +110,7 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """node (the id), n_shingles, digest of the set, band keys, sketch with 32 bits of each key."""
+    """doc_id, node, n_shingles, digest of the set, band keys, sketch with 32 bits of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -124,9 +126,9 @@ def signed(docs: DataFrame) -> DataFrame:
                     sketches.append(sketch(found) + keys[-1].astype(np.uint32).tobytes())
                 else:
                     digests.append(None), keys.append(None), sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "n_shingles", "digest", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "node long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 if not role:
                     heads.append(own)
                     continue
-                for head in heads:  # one, unless an id is repeated
+                for head in heads:  # one
                     both = len(np.intersect1d(head, own, assume_unique=True))
                     if 100 * both >= percent * (len(head) + len(own) - both) and both:
                         out.append((a, node))
@@ -199,17 +201,24 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
     return pieces.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), "text")
+def node_of(docs: DataFrame) -> Column:
+    """One node for each pair of id and text."""
+    return F.xxhash64(F.lit(20), F.col("doc_id").cast("long"), F.col("text"))
+
+
+def near_nodes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per row of docs: doc_id, node, n_shingles, component_id, kept (of one node a component)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(docs).alias("node"), "text")
     rows = written(signed(texts))
-    sets = written(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("node")))
-    bands = rows.join(sets, ["node", "digest"], "left_semi")
+    first = F.struct("doc_id", "node")  # null ids come first
+    sets = written(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(first).alias("first")).select("digest", "first", "first.node"))
+    bands = rows.join(sets.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
     members = bands.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = written(members.join(sizes, "key"))
     # whole texts are shuffled once: those of nodes that share a bucket
-    texts = written(texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"))
+    texts = texts.select("node", "text").join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
+    texts = written(texts.dropDuplicates(["node"]))
     # a bucket's leader is the member with most neighbours in all its buckets: the text that others vary
     many = shared.groupBy("node").agg(F.sum("m").alias("many"))
     leaders = shared.join(many, "node").groupBy("key").agg(F.max("many").alias("many"), F.max_by("node", F.struct("many", F.bitwise_not("node"))).alias("leader")).drop("many")
@@ -232,20 +241,32 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = written(verified(written(rest.join(done, ["a", "b"], "left_anti")), texts, percent))
     if not more.isEmpty():
         labels = components(found.unionByName(more))
-    by_set = label(sets).select("digest", "component")
-    return rows.join(by_set, "digest", "left").select(
-        F.expr(f"nullif(node, {NULL_ID})").alias("doc_id"),
+    by_set = label(sets)
+    names = by_set.groupBy("component").agg(F.min("first").alias("name"))
+    named_sets = by_set.join(names, "component").select("digest", "name")
+    return rows.join(named_sets, "digest", "left").select(
+        "doc_id",
+        "node",
         "n_shingles",
-        F.expr(f"nullif(coalesce(component, node), {NULL_ID})").alias("component_id"),
-        (F.coalesce("component", "node") == F.col("node")).alias("kept"),
+        F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("component_id"),
+        F.coalesce(F.col("name.node") == F.col("node"), F.lit(True)).alias("kept"),
     )
 
 
+def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    return near_nodes(docs, percent).drop("node")
+
+
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that stay: those of the least id of their group, one of them if the id repeats."""
+    """The rows of docs that stay: of each group one row of the least id, and every row that is alone."""
     assert "__node" not in docs.columns and "__n" not in docs.columns
-    keep = near_groups(docs, percent).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__node")).distinct()
-    own = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    kept = written(near_nodes(docs, percent).filter("kept").select("doc_id", "node", "n_shingles").distinct())
+    texts, blank = kept.filter("n_shingles > 0"), kept.filter("n_shingles = 0")
+    ids = texts.select(F.col("doc_id").alias("id")).distinct()
+    blank = blank.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    keep = texts.unionByName(blank).select(F.col("node").alias("__node"))
+    own = docs.withColumn("__node", node_of(docs))
     first = F.row_number().over(Window.partitionBy("__node").orderBy("__node"))
     return own.join(keep, "__node").withColumn("__n", first).filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 

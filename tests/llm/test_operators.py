@@ -142,6 +142,21 @@ def test_chains_without_a_hub(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_ids_do_not_link(spark):
+    """Different texts under a null or a repeated id stay, and so does what is near to none that stays."""
+    rng = random.Random(11)
+    texts = [prose(rng, 60) for _ in range(8)]
+    near = texts[1].replace("river", "ocean", 1)
+    rows = [(None, t) for t in texts[:4]] + [(None, near), (7, texts[4]), (7, texts[5]), (8, texts[6]), (8, texts[0]), (9, texts[7]), (9, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 4 * len(shingles(texts[1]) & shingles(near)) >= 3 * len(shingles(texts[1]) | shingles(near)) and near != texts[1]
+    left = Counter(tuple(r) for r in minhash.near_dedup(df).collect())
+    assert left[(None, texts[1])] + left[(None, near)] == 1
+    assert {k: n for k, n in left.items() if k[1] not in (texts[1], near)} == {(i, t): 1 for i, t in rows if t not in (texts[1], near) and (i, t) != (8, texts[0])}
+    got = minhash.near_groups(df).collect()
+    assert len(got) == len(rows) and Counter(r["component_id"] for r in got) == {None: 6, 7: 2, 8: 1, 9: 2}
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
