@@ -4,9 +4,10 @@ Documents are aggregated by the set of sources they belong to. The flow runs fro
 each pattern in layers, one per copy of its documents (the k-th copy of a token costs k, so repeats
 are convex), on to each of the pattern's sources, and on to the end within the source's quota. It is
 solved on the driver: its size is patterns x sources, never documents, and is checked. A pattern that
-gets q copies and a rest takes every document q times and, for the rest, documents in the order of a
-seeded hash: whole hash buckets up to the one in which the rest ends (histograms of at most 2^11
-buckets a pattern, refined until that bucket is small), and there each document that still fits.
+gets q copies and a rest takes every document q times and, for the rest, each document that still fits,
+in the order of a seeded hash: whole hash buckets up to the one in which the rest ends (histograms of
+at most 2^11 buckets a pattern, refined until that bucket is small), there one by one, and then on in
+the same way among the later documents that are no longer than what is left, until none is.
 
 Defined results: a null or wordless text has size 0 and takes part with it; a null source is a source
 of its own, last; repeated rows (same id and text) are taken or left together; an empty table gives an
@@ -100,6 +101,52 @@ def seeded(doc_id: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - HASH_BITS)
 
 
+class Rest:
+    """What is left to take from a pattern's documents of hashes in [low, end) and sizes up to longest, in
+    order of hashes. until, if not 0: documents below it are few and next looked at one by one. Taken are
+    the hashes in chosen, and documents of hashes from low to high and sizes up to longest in ranges."""
+
+    def __init__(self, left: int, longest: int, shift: int):
+        self.left, self.longest, self.shift, self.top, self.low, self.end, self.until = left, longest, shift, shift, 0, 1 << HASH_BITS, 0
+        self.ranges, self.chosen = [], []
+
+    def walk(self, cells: dict) -> None:
+        """Takes whole buckets (sum, rows) up to the first that is more than what is left, which is next
+        looked at one by one, with more of them up to FINE rows, or else cut finer."""
+        order, start = sorted(cells), self.low
+        if not self.shift:
+            return self.pick([(b, cells[b][0]) for b in order])
+        for k, b in enumerate(order):
+            (s, count), end = cells[b], b + 1
+            if s > self.left:
+                self.low = max(self.low, b << self.shift)
+                self.ranges.append((start, self.low, self.longest))
+                if count > FINE:
+                    self.end, self.shift = min(self.end, end << self.shift), max(0, self.shift - LEVEL_BITS)
+                    return None
+                for x in order[k + 1 :]:
+                    if count + cells[x][1] > FINE:
+                        break
+                    count, end = count + cells[x][1], x + 1
+                self.until = min(self.end, end << self.shift)
+                return None
+            self.left -= s
+        self.ranges.append((start, self.end, self.longest))
+        return self._onward(self.end)
+
+    def pick(self, found: list[tuple[int, int]]) -> None:
+        """Takes those of (hash, words), in order, that fit."""
+        for h, s in found:
+            if s <= self.left:
+                self.chosen.append(h)
+                self.left -= s
+        self._onward(self.until or self.end)
+
+    def _onward(self, low: int) -> None:
+        """To all later hashes, and to documents that still fit."""
+        self.low, self.end, self.until, self.shift, self.longest = low, 1 << HASH_BITS, 0, self.top, self.left
+
+
 class Mix:
     """The plan of a mix: sizes and targets by source, and which documents of each pattern are taken."""
 
@@ -129,75 +176,46 @@ class Mix:
         total = sum(self.capacity)
         self.targets = targets(self.sizes, w, repeats) if sum(self.sizes) == total else [t * total / max(1, sum(self.sizes)) for t in targets(self.sizes, w, repeats)]
         self.given = route(self.capacity, members, [round(t) for t in self.targets], repeats)
-        # copies of all, and the hash below which one more is taken; then what is left to take from one bucket
-        self.full, self.below, self.chosen = [], [], {i: [] for i in range(len(self.patterns))}
-        open_: dict[int, tuple[int, int, int]] = {}
+        # copies of all, and what is taken once more
+        self.full, self.rests = [], []
         for i, p in enumerate(self.patterns):
             q, rest = divmod(self.given[i], self.capacity[i]) if self.capacity[i] else (0, 0)
             self.full.append(q)
-            low, bucket, left, count = self._walk(by[p], rest, 0, shift)
-            self.below.append(low)
-            if bucket is not None and left:
-                open_[i] = (bucket, left, count)
-        while open_:
-            deep = {i: x for i, x in open_.items() if x[2] > FINE and shift > 0}
-            shallow = {i: x for i, x in open_.items() if i not in deep}
-            if shallow:
+            self.rests.append(Rest(rest, self.capacity[i], shift))
+            self.rests[i].walk(by[p])
+        going = lambda: {i: x for i, x in enumerate(self.rests) if x.left and x.low < x.end}
+        while open_ := going():
+            if few := {i: x for i, x in open_.items() if x.until}:
                 found: dict[int, list] = {}
-                for r in self._within(rows, shallow, shift).groupBy("__pattern", "__h").agg(F.sum("__size").alias("s")).toLocalIterator():
+                for r in self._within(rows, few).groupBy("__pattern", "__h").agg(F.sum("__size").alias("s")).toLocalIterator():
                     found.setdefault(at[tuple(r["__pattern"])], []).append((r["__h"], r["s"]))
-                for i, x in shallow.items():
-                    left = x[1]
-                    for h, s in sorted(found.get(i, [])):
-                        if s <= left:
-                            self.chosen[i].append(h)
-                            left -= s
-            open_ = {}
-            if deep:
-                finer, cells = max(0, shift - LEVEL_BITS), {}
-                for r in self._within(rows, deep, shift).groupBy("__pattern", F.shiftrightunsigned("__h", finer).alias("b")).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).toLocalIterator():
-                    cells.setdefault(at[tuple(r["__pattern"])], {})[r["b"]] = (r["s"], r["n"])
-                for i, (bucket, left, _) in deep.items():
-                    low, end, left, count = self._walk(cells[i], left, bucket[0] << shift, finer)
-                    self.below[i] = low
-                    if end is not None and left:
-                        open_[i] = (end, left, count)
-                shift = finer
-
-    @staticmethod
-    def _walk(cells: dict, left: int, low: int, shift: int) -> tuple:
-        """(hash up to which all is taken, the buckets in which it ends, what is left there, their rows).
-        More buckets follow the first until they have a quarter of FINE rows, so something fits."""
-        order = sorted(cells)
-        for k, b in enumerate(order):
-            if cells[b][0] > left:
-                count, end = cells[b][1], b + 1
-                for x in order[k + 1 :]:
-                    if count + cells[x][1] > FINE // 4:
-                        break
-                    count, end = count + cells[x][1], x + 1
-                return b << shift, (b, end), left, count
-            left -= cells[b][0]
-            low = (b + 1) << shift
-        return low, None, 0, 0
-
-    def _within(self, rows: DataFrame, open_: dict, shift: int) -> DataFrame:
-        """Rows of the given buckets: one range a pattern, so the small side is bounded by the patterns."""
-        schema = "__pattern array<string>, __low long, __end long"
-        small = rows.sparkSession.createDataFrame([(list(self.patterns[i]), x[0][0], x[0][1]) for i, x in open_.items()], schema)
-        b = F.shiftrightunsigned("__h", shift)
-        return rows.join(F.broadcast(small), "__pattern").filter((b >= F.col("__low")) & (b < F.col("__end"))).select("__pattern", "__size", "__h")
+                for i, x in few.items():
+                    x.pick(sorted(found.get(i, [])))
+            if open_ := going():
+                cells = {i: {} for i in open_}
+                b = F.expr("shiftrightunsigned(__h, __shift)").alias("b")
+                for r in self._within(rows, open_).groupBy("__pattern", b).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).toLocalIterator():
+                    cells[at[tuple(r["__pattern"])]][r["b"]] = (r["s"], r["n"])
+                for i, x in open_.items():
+                    x.walk(cells[i])
+
+    def _within(self, rows: DataFrame, open_: dict) -> DataFrame:
+        """Rows that can still be taken: one range a pattern, so the small side is bounded by the patterns."""
+        schema = "__pattern array<string>, __shift int, __low long, __end long, __longest long"
+        small = rows.sparkSession.createDataFrame([(list(self.patterns[i]), x.shift, x.low, x.until or x.end, x.longest) for i, x in open_.items()], schema)
+        may = (F.col("__h") >= F.col("__low")) & (F.col("__h") < F.col("__end")) & F.col("__size").between(1, F.col("__longest"))
+        return rows.join(F.broadcast(small), "__pattern").filter(may)
 
     def plan(self, spark) -> DataFrame:
-        """One row per pattern, at most MOST_PATTERNS: __pattern, source_size, target, __full, __below, __chosen."""
+        """One row per pattern, at most MOST_PATTERNS: __pattern, source_size, target, __full, __ranges, __chosen."""
         own = {s: i for i, s in enumerate(self.sources)}
-        schema = "__pattern array<string>, source_size long, target double, __full int, __below long, __chosen array<long>"
-        rows = [(list(p), self.sizes[own[p[0]]], self.targets[own[p[0]]], self.full[i], self.below[i], self.chosen[i]) for i, p in enumerate(self.patterns) if p]
+        schema = "__pattern array<string>, source_size long, target double, __full int, __ranges array<struct<low: long, high: long, longest: long>>, __chosen array<long>"
+        rows = [(list(p), self.sizes[own[p[0]]], self.targets[own[p[0]]], self.full[i], [x for x in self.rests[i].ranges if x[0] < x[1]], self.rests[i].chosen) for i, p in enumerate(self.patterns) if p]
         return spark.createDataFrame(rows, schema)
 
 
 def prepared(docs: DataFrame, pattern: Column, seed: int) -> DataFrame:
-    clash = {"__pattern", "__size", "__h", "__full", "__below", "__chosen", "source_size", "target", "copies"} & set(docs.columns)
+    clash = {"__pattern", "__size", "__h", "__full", "__ranges", "__chosen", "source_size", "target", "copies"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns of these names are added: {sorted(clash)}")
     return docs.withColumns({"__pattern": pattern, "__size": size_of(F.col("text")), "__h": seeded(F.col("doc_id"), F.col("text"), seed)})
@@ -206,8 +224,9 @@ def prepared(docs: DataFrame, pattern: Column, seed: int) -> DataFrame:
 def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
     """rows with source_size, target and copies: how often the mix takes the row's document."""
     plan = mix.plan(rows.sparkSession)
-    one = (F.col("__h") < F.col("__below")) | F.array_contains("__chosen", F.col("__h"))
-    return rows.join(F.broadcast(plan), "__pattern").withColumn("copies", F.col("__full") + F.when(one, 1).otherwise(0)).drop("__full", "__below", "__chosen")
+    within = F.exists("__ranges", lambda x: (F.col("__h") >= x["low"]) & (F.col("__h") < x["high"]) & (F.col("__size") <= x["longest"]))
+    one = within | F.array_contains("__chosen", F.col("__h"))
+    return rows.join(F.broadcast(plan), "__pattern").withColumn("copies", F.col("__full") + F.when(one, 1).otherwise(0)).drop("__full", "__ranges", "__chosen")
 
 
 def mix_documents(docs: DataFrame, sources: Column | None = None, weights=None, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
