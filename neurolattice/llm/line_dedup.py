@@ -11,8 +11,10 @@ among the built-in functions.
 Only keys, line numbers and eight counts of characters are shuffled for the join, whose condition
 drops pairs that the counts already hold apart; texts meet for candidates alone.
 
-Defined results: a null text has no lines; blank lines take no part; lines of under LEAST characters
-match only when equal; a null id is the smallest; repeated rows count as further copies; an empty
+Lines too short for the segments are compared with all that are short enough for a link.
+
+Defined results: a null text has no lines; blank lines take no part; lines of under least characters
+(LEAST unless given; the query gives 1, so that all are met) match only when equal; a null id is the smallest; repeated rows count as further copies; an empty
 table gives an empty result; other columns are ignored (dedup_lines keeps them).
 """
 
@@ -94,7 +96,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """a < b: the line_ids of every two distinct lines within threshold edits. lines: line_id, line."""
-    near = lines.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= max(least, threshold + 1))
+    all_ = lines.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= least)
+    near = all_.filter(F.col("n") > threshold)
     near = near.withColumn("kinds", counts_of(F.col("line")))
     index = near.select(F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("x"), F.col("kinds").alias("x_kinds"))
     probes = near.select(F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"), F.col("line_id").alias("y"), F.col("kinds").alias("y_kinds"))
@@ -106,7 +109,14 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> D
     texts = written(lines.select("line_id", "line").join(wanted.hint("shuffle_hash"), "line_id", "left_semi"))
     with_a = pairs.join(texts.withColumnsRenamed({"line_id": "a", "line": "line_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"line_id": "b", "line": "line_b"}), "b")
-    return both.filter(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b")
+    out = both.filter(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b")
+    if least > threshold:
+        return out
+    short = all_.filter(F.col("n") <= threshold).select(F.col("line_id").alias("x"), F.col("line").alias("x_line"))
+    other = all_.filter(F.col("n") <= 2 * threshold).select(F.col("line_id").alias("y"), F.col("line").alias("y_line"), "n")
+    once = (F.col("n") > threshold) | (F.col("x") < F.col("y"))
+    direct = other.join(F.broadcast(short), once & (F.levenshtein("x_line", "y_line", threshold) >= 0))  # distinct lines of so few characters
+    return out.unionByName(direct.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

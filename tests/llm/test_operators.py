@@ -13,7 +13,7 @@ import pytest
 
 from neurolattice.llm import components as cc
 from neurolattice.llm import exact_dedup, lattice_lm, line_dedup, minhash, mixing, packing, sharding, toxicity, url_filter
-from neurolattice.llm.queries import tokenizer_path
+from neurolattice.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone lamp glass ember cloud sorrow window candle harbor meadow winter silver garden thunder copper violet".split()
@@ -228,6 +228,14 @@ def test_lines(spark):
     assert max(kept.values()) == 1 and len(left) == len({r[0] for r in rows if r[0] not in (None, 3)})
 
 
+def test_short_lines(spark, tmp_path):
+    """The query links lines of every length."""
+    own = ["Read more", "Read more.", "Page 1 of 9", "Page 2 of 9", "a", "b", "cd", "xyz", "xyzw", "cdef", "ef", "é🙂", "five6", "fifteen letters", "fifteen letters!", "other words that stand alone", "qqq", "rrrrr"]
+    spark.createDataFrame([(k, x) for k, x in enumerate(own)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["first_doc_id"]: r["n_links"] for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {k: sum(distance(x, y) <= 2 for y in own) - 1 for k, x in enumerate(own)}
+
+
 # --- mixing
 
 
