@@ -117,8 +117,18 @@ def _(spark, d):
 
 @query("compute_raw_covariance", "WITH s AS (SELECT ch % 4 AS ch, samp, avg(value) AS value FROM signal WHERE samp < 40 GROUP BY ALL), seg AS (SELECT samp // 10 AS seg FROM s GROUP BY ALL HAVING max(value) - min(value) < 400), g AS (SELECT * FROM s WHERE samp // 10 IN (SELECT seg FROM seg)) SELECT a.ch AS ch_i, b.ch AS ch_j, round((sum(a.value * b.value) - sum(a.value) * sum(b.value) / count(*)) / (count(*) - 1), 6) + 0.0 AS value, count(*) AS n FROM g a JOIN g b USING (samp) GROUP BY ALL", "signal")
 def _(spark, d):
+    """The first 40 samples, as its SQL has it. compute_raw_covariance_all has the whole recording."""
+    return raw_covariance(V.signal(spark, d).filter("samp < 40"))
+
+
+@query("compute_raw_covariance_all")
+def _(spark, d):
+    return raw_covariance(V.signal(spark, d))
+
+
+def raw_covariance(signal):
     """Over segments of ten samples whose range is under a threshold."""
-    s = V.signal(spark, d).filter("samp < 40").groupBy((F.col("ch") % 4).alias("ch"), "samp").agg(F.avg("value").alias("value")).withColumn("seg", F.floor(F.col("samp") / 10))
+    s = signal.groupBy((F.col("ch") % 4).alias("ch"), "samp").agg(F.avg("value").alias("value")).withColumn("seg", F.floor(F.col("samp") / 10))
     good = s.groupBy("seg").agg((F.max("value") - F.min("value")).alias("p")).filter("p < 400").select("seg")
     return rounded(C.covariance(s.join(good, "seg", "left_semi"), ("samp",)))
 

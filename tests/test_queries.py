@@ -34,6 +34,15 @@ def test_oracle(spark, sf_dir, duck, name):
     assert differ <= 0.002 * len(a), (a[(a != b).any(axis=1)].head(3), b[(a != b).any(axis=1)].head(3))  # last digits may round apart
 
 
+def test_raw_covariance_of_the_whole_recording(spark, sf_dir, duck):
+    """The registered SQL without its bound on samples."""
+    sql = registry.ORACLE["compute_raw_covariance"]
+    assert sql.count(" WHERE samp < 40") == 1
+    want = canonical(duck.execute(sql.replace(" WHERE samp < 40", "")).df())
+    got = canonical(registry.QUERIES["compute_raw_covariance_all"](spark, sf_dir).toPandas())
+    assert got["n"].astype(int).max() > 40 and (got == want[got.columns]).all(axis=None)
+
+
 @pytest.mark.parametrize("name", ["filter_bandpass", "psd_multitaper", "sliding_estimator", "generalizing_estimator", "csp", "xdawn", "whiten_evoked", "time_delaying_ridge", "find_bad_channels_lof", "apply_ssp", "tfr_power_itc"])
 def test_runs(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
