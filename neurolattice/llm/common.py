@@ -13,26 +13,44 @@ from pyspark.sql import functions as F
 
 #: A word, wherever a contract speaks of words: a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='neurolattice-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
+    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors. The
+    shuffle files of the write are removed as soon as it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

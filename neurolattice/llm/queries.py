@@ -55,4 +55,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
+ORACLE = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
