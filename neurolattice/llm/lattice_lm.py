@@ -14,11 +14,17 @@ the lattice of pieces, so probabilities of all words sum to 1 at most.
 
 Texts are coded once into blocks (a block's distinct words, and each text's word numbers), written
 to the shared folder. Distinct words of blocks, not words of texts, are shuffled: to count them, and
-to bring counts and word scores back to their blocks.
+to bring a count and word scores (one packed value of 16 bytes and 4 for each class) back to their
+blocks. A word's scores travel as 32-bit floats and are summed as 64-bit ones.
 
-Defined results: a null or wordless text is the end token alone; a null id counts as the empty text
-in the split; repeated rows count and are scored each; an empty table gives an empty result; without
-training texts the first scores stand; a table without lang has one class; other columns are ignored.
+score is that of the whole model; lattice_score is that of the pieces alone, without arcs of words:
+each word's marginal under the classes' lattices, weighed by the classes' shares.
+
+Defined results: a null or wordless text is the end token alone; texts of any length are scored whole,
+a block holding at least one; a null id counts as the empty text in the split; repeated rows count and
+are scored each; an empty table gives an empty result; without training texts the first scores stand; a
+table without lang has one class; the 15 most frequent languages of the training texts have a class
+each, all others share one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import each_text, mod_of_id, written
 
-MARK, BLOCK_BYTES, ROUNDS, SMOOTH, LONG, CLASSES, TOGETHER = "▁", 4 << 20, 2, 0.1, 48, 16, 50_000
+MARK, BLOCK_BYTES, ROUNDS, SMOOTH, LONG, CLASSES, TOGETHER = "▁", 8 << 20, 2, 0.1, 48, 16, 50_000
 BASE, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 CHOICES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 BLOCK = "block long, doc_ids array<long>, held binary, ends binary, tokens binary, words binary, counts binary"
@@ -46,6 +52,23 @@ class Ids(dict):
         return value
 
 
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with all their low bytes first, and so on: small ones leave only zeros in the rest."""
+    return packed(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, classes: int) -> DataFrame:
     """Rows of BLOCK. docs: doc_id, text, held_out, class. counts has a row of classes for each word."""
 
@@ -56,7 +79,12 @@ def blocks(docs: DataFrame, classes: int) -> DataFrame:
             all_ = np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int32)
             ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
             train = np.concatenate([*(t.astype(np.int64) * classes + k for t, h, k in zip(tokens, held, kind, strict=True) if not h), np.zeros(0, np.int64)])
-            row = [number, doc_ids[:], np.array(held, np.uint8).tobytes(), ends.tobytes(), all_.tobytes(), b"\n".join(ids), np.bincount(train, minlength=len(ids) * classes).astype(np.int64).tobytes()]
+            order = np.argsort(-np.bincount(all_, minlength=len(ids)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(ids), np.int32)
+            rank[order] = np.arange(len(ids), dtype=np.int32)
+            counts, names = np.bincount(train, minlength=len(ids) * classes).astype(np.int32).reshape(-1, classes)[order], list(ids)
+            words = packed(b"\n".join([names[i] for i in order.tolist()]))
+            row = [number, doc_ids[:], np.array(held, np.uint8).tobytes(), ends.tobytes(), planes(rank[all_]), words, planes(counts)]
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["block", "doc_ids", "held", "ends", "tokens", "words", "counts"])
 
@@ -84,8 +112,8 @@ def block_words(coded: DataFrame, classes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
-                n = np.frombuffer(counts, np.int64).reshape(-1, classes)
-                held = words.split(b"\n") if len(n) else []
+                n = from_planes(counts).reshape(-1, classes).astype(np.int64)
+                held = unpacked(words).split(b"\n") if len(n) else []
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), *(pa.array(n[:, k]) for k in range(classes))], ["word", "block", "at", *names])
 
     return coded.select("block", "words", "counts").mapInArrow(run, ", ".join(["word binary, block long, at int", *(f"{x} long" for x in names)]))
@@ -331,7 +359,7 @@ def fitted(words: DataFrame, pieces: Pieces, classes: int, rounds: int = ROUNDS)
 
 
 def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row."""
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (mod_of_id() == 1).alias("held_out"), lang.alias("lang"))
@@ -358,6 +386,10 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> D
     end = [(d + 0.5) / (n + d + 1) for d, n in zip(sizes, n_words, strict=True)]
     prior = [math.log((d + 0.5) / (train_docs + 0.5 * classes)) + math.log(e) for d, e in zip(sizes, end, strict=True)]
     go_on = [math.log1p(-e) for e in end]
+    shares = np.log([(d + 0.5) / (train_docs + 0.5 * classes) for d in sizes])
+    pure_end = np.logaddexp.reduce([s + math.log(e) for s, e in zip(shares, end, strict=True)])
+    pure_on = math.log1p(-math.exp(pure_end))
+    record = np.dtype([("c", "<i8"), ("pure", "<f4"), ("own", "<f4", (classes,))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*held.value)
@@ -368,25 +400,31 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> D
                 found[at] = lattice.many(words_)
             with np.errstate(divide="ignore"):
                 whole_word = np.log(np.maximum(counts - np.array(off), 0) / np.maximum(n_words, 1))  # the arc of the word itself
+            pure = np.logaddexp.reduce(found + shares, 1)
             found = np.logaddexp(found + np.array(rest), whole_word) + np.array(go_on)
+            rows = np.zeros(len(counts), record)
+            rows["c"], rows["pure"], rows["own"] = counts.sum(1), pure, found
+            words_ = whole.column("word").combine_chunks()
             for k in range(0, len(counts), 1 << 16):
-                p = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([whole.column("word")[p].combine_chunks(), pa.array(counts[p].sum(1)), *(pa.array(f) for f in found[p].T)], ["word", "c", *(f"s{k}" for k in range(classes))])
+                part = rows[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([words_[k : k + (1 << 16)], pa.array([x.tobytes() for x in part], pa.binary())], ["word", "scores"])
 
-    own = [f"s{k}" for k in range(classes)]
-    scored = words.select("word", *names).mapInArrow(run, ", ".join(["word binary, c long", *(f"{x} double" for x in own)]))
-    back = spread.select("word", "block", "at").join(scored, "word").select("block", "at", "c", *own)
+    scored = words.select("word", *names).mapInArrow(run, "word binary, scores binary")
+    place = F.concat(F.unhex(F.lpad(F.hex("at"), 8, "0")), "scores")  # 4 bytes of the word's number, then the record
+    back = spread.select("word", "block", "at").join(scored, "word").select("block", place.alias("scores"))
+    placed = np.dtype([("at", ">u4"), *record.descr])
     low = total + 0.5 * (kinds + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(left.column("at").to_numpy())
-        c = left.column("c").to_numpy()[order]
-        base, known = np.log10((c + 0.5) / low), (c > 0).astype(np.int64)
-        by_class = [left.column(x).to_numpy()[order] for x in own]
+        rows = np.frombuffer(b"".join(left.column("scores").to_pylist()), placed)
+        rows = rows[np.argsort(rows["at"])]
+        c = rows["c"]
+        base, known, pure = np.log10((c + 0.5) / low), (c > 0).astype(np.int64), rows["pure"].astype(np.float64)
+        by_class = [rows["own"][:, k].astype(np.float64) for k in range(classes)]
         out = []
         for r in range(right.num_rows):
             doc_ids, held_, ends, tokens = (right.column(k)[r].as_py() for k in ("doc_ids", "held", "ends", "tokens"))
-            at, stops = np.frombuffer(tokens, np.int32), np.frombuffer(ends, np.int64)
+            at, stops = from_planes(tokens), np.frombuffer(ends, np.int64)
             starts = np.concatenate([[0], stops[:-1]])
 
             def add(x: np.ndarray) -> np.ndarray:  # sums by text
@@ -394,9 +432,9 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS) -> D
                 return s[stops] - s[starts]  # noqa: B023
 
             score = np.logaddexp.reduce([add(x) + p for x, p in zip(by_class, prior, strict=True)], 0) / math.log(10)
-            columns = [pa.array(doc_ids, pa.int64()), np.frombuffer(held_, np.uint8).astype(bool), stops - starts + 1, add(known) + int(train_docs > 0), np.full(len(stops), total, np.int64), add(base) + math.log10((train_docs + 0.5) / low), score]
-            out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            columns = [pa.array(doc_ids, pa.int64()), np.frombuffer(held_, np.uint8).astype(bool), stops - starts + 1, add(known) + int(train_docs > 0), np.full(len(stops), total, np.int64), add(base) + math.log10((train_docs + 0.5) / low), score, (add(pure) + (stops - starts) * pure_on + pure_end) / math.log(10)]
+            out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"]))
         return pa.concat_tables(out)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return back.groupBy("block").cogroup(coded.select("block", "doc_ids", "held", "ends", "tokens").groupBy("block")).applyInArrow(finish, schema)
