@@ -1,13 +1,16 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text's bytes are cut where a rolling hash of the last 32 bytes is zero in its top bits, so equal
-passages are cut alike wherever they stand. A chunk's identifier is its SHA-256, which verifies its
-content, with its length; a recipe is the ordered list of identifiers. Rows are equal when their
-recipes are: only recipes move between machines, never texts.
-
-Defined results: a null text counts as empty (a recipe without chunks); rows with null ids take part,
-a null id being the smallest; repeated rows of one id and text are one group, and filtering keeps one
-of them; an empty table gives an empty result; extra columns are left alone.
+passages are cut alike wherever they stand. A chunk's digest is its SHA-256 with its length. Chunks are
+deduplicated into a table where a chunk's bytes are compared with all others of its digest (each task
+sends a chunk once), and a digest that holds gets a number; two contents under one digest stop the job.
+A recipe is the ordered list of a text's chunk numbers, and rows are equal when their recipes are.
+Texts never move for the comparison; exact_dedup moves each row once, to the decision on it.
+
+Defined results: a null text counts as empty (a recipe without chunks); texts of any length are chunked
+whole; rows with null ids take part, a null id being the smallest; repeated rows of one id and text are
+one group, and filtering keeps one of them; an empty table gives an empty result; extra columns of any
+name are left alone.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import fresh, text_bytes, unwritten, written
 
 WINDOW, LEAST, MOST, BITS, STEP = 32, 512, 8192, 11, 4 << 20
-#: Names this module adds to rows; they are unlikely to clash and are checked.
-RECIPE = "__recipe"
+#: Bytes of a digest: SHA-256 and the length.
+DIGEST = 36
 
 
 def _table() -> np.ndarray:
@@ -88,57 +91,65 @@ def recipe(chunks: list) -> bytes:
     return b"".join(hashlib.sha256(x).digest() + len(x).to_bytes(4, "little") for x in chunks)
 
 
-def recipes(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """columns of docs with RECIPE, text_sha256 and n_chunks."""
-    picked = docs.select(*dict.fromkeys([*columns, "text"]))
-    keep = [f for f in picked.schema.fields if f.name in columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"{RECIPE} binary, text_sha256 string, n_chunks int"])
+def recipes(docs: DataFrame) -> DataFrame:
+    """row, doc_id, digests (one after the other), text_sha256, n_chunks. docs: row, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(recipe(c), hashlib.sha256(t).hexdigest(), len(c)) for t, c in chunked(batch.column("text"))]
             a, b, c = zip(*made, strict=True) if made else ((), (), ())
-            own = [batch.column(f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(a, pa.binary()), pa.array(b, pa.string()), pa.array(c, pa.int32())], [*(f.name for f in keep), RECIPE, "text_sha256", "n_chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(a, pa.binary()), pa.array(b, pa.string()), pa.array(c, pa.int32())], ["row", "doc_id", "digests", "text_sha256", "n_chunks"])
 
-    return picked.mapInArrow(run, schema)
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, digests binary, text_sha256 string, n_chunks int")
 
 
 def chunk_store(docs: DataFrame) -> DataFrame:
-    """One row per distinct chunk: its identifier, length, occurrences and bytes. n_contents is 1 where
-    comparing the bytes themselves confirms the identifier."""
+    """One row per distinct chunk: digest, content, n_uses. The bytes of all chunks of a digest are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bytes(c) for _, cs in chunked(batch.column("text")) for c in cs]
-            yield pa.RecordBatch.from_arrays([pa.array([recipe([c]) for c in found], pa.binary()), pa.array(found, pa.binary())], ["chunk_id", "content"])
-
-    found = docs.select("text").mapInArrow(run, "chunk_id binary, content binary")
-    each = found.groupBy("chunk_id", "content").agg(F.count("*").alias("n"))
-    return each.groupBy("chunk_id").agg(F.first("content").alias("content"), F.sum("n").alias("n_uses"), F.count("*").alias("n_contents"), F.first(F.length("content")).alias("n_bytes"))
-
-
-def groups(rows: DataFrame) -> DataFrame:
-    """One row per recipe: keep_id, group_size, and how often the kept id stands there. Ids are pre-aggregated."""
-    each = rows.groupBy(RECIPE, "doc_id").agg(F.count("*").alias("n"))
-    return each.groupBy(RECIPE).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+            uses: dict[bytes, int] = {}
+            for _, chunks in chunked(batch.column("text")):
+                for c in map(bytes, chunks):
+                    uses[c] = uses.get(c, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([recipe([c]) for c in uses], pa.binary()), pa.array(uses.keys(), pa.binary()), pa.array(uses.values(), pa.int64())], ["digest", "content", "n"])
+
+    found = docs.select("text").mapInArrow(run, "digest binary, content binary, n long")
+    each = found.groupBy("digest").agg(F.min("content").alias("content"), F.max("content").alias("other"), F.sum("n").alias("n_uses"))
+    held = F.when(F.col("content") == F.col("other"), F.col("content")).otherwise(F.raise_error(F.lit("two contents under one digest")).cast("binary"))
+    return each.select("digest", held.alias("content"), "n_uses")
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text_sha256, n_chunks, recipe (the list of verified chunk numbers). docs: row, doc_id, text."""
+    made = written(recipes(docs))
+    chunks = written(chunk_store(docs).select("digest", F.length("content").alias("n_bytes"), F.monotonically_increasing_id().alias("number")))
+    parts = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: F.substr("digests", i * DIGEST + 1, F.lit(DIGEST)))
+    used = made.filter("n_chunks > 0").select("row", F.posexplode(parts).alias("at", "digest")).join(chunks.filter("n_bytes > 0"), "digest")
+    lists = used.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("x")).select("row", F.col("x.number").alias("recipe"))
+    none = F.array().cast("array<long>")
+    out = written(made.drop("digests").join(lists, "row", "left").withColumn("recipe", F.coalesce("recipe", none)))
+    unwritten(made), unwritten(chunks)
+    return out
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    rows = written(recipes(docs.select("doc_id", "text"), ["doc_id"]))
-    kept = written(groups(rows))  # a table, so that both sides are shuffled for the join alone and a hot recipe can be split
-    return rows.join(kept, RECIPE).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
+    rows = listed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    each = rows.groupBy("recipe", "doc_id").agg(F.count("*").alias("n"))
+    kept = written(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))  # a table, so that both sides are shuffled for the join alone and a hot recipe can be split
+    return rows.join(kept, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns. Joined by recipe and id, so no key is hot."""
-    assert RECIPE not in docs.columns and "__keep" not in docs.columns
+    """The rows of docs that stay, with their own columns: of equal texts the largest id's, and of several such rows the first."""
     names = docs.columns
-    keep = groups(written(recipes(docs.select("doc_id", "text"), ["doc_id"]))).select(RECIPE, F.coalesce("keep_id", F.lit(-(1 << 63))).alias("__keep"))
-    own = recipes(docs, names).drop("text_sha256", "n_chunks").withColumn("__keep", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    first = F.row_number().over(Window.partitionBy(RECIPE, "__keep").orderBy("__keep"))
-    return own.join(keep, [RECIPE, "__keep"]).withColumn("__n", first).filter("__n = 1").select(*(F.col(f"`{c}`") for c in names))
+    row = fresh(names, "row")
+    placed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = listed(placed.select(F.col(f"`{row}`").alias("row"), "doc_id", "text"))
+    best = F.max(F.struct("doc_id", (-F.col("row")).alias("row")))  # a null id is the smallest
+    keep = rows.groupBy("recipe").agg(best.alias("best")).select((-F.col("best.row")).alias(row))
+    return placed.join(keep, row, "left_semi").select(*(F.col(f"`{c}`") for c in names))
 
 
 ORACLE_SQL = """
