@@ -194,15 +194,15 @@ def class_sizes(counted: DataFrame, model: LabelModel, m: int) -> np.ndarray:
     return np.array([r["a"] or 0.0, r["b"] or 0.0])
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last column is the constant."""
+def regression(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the last column is the constant. Row i stands n[i] times."""
     w = np.zeros(x.shape[1])
     w[-1] = -2.0
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (n * (p - y)) + keep * w)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -236,13 +236,12 @@ def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[li
     rows = sample.mapInArrow(features, "mask long, x binary").groupBy("mask", "x").agg(F.count("*").alias("n")).collect()
     if not rows:
         x = np.eye(len(entries) + PATTERNS + 1)[-1:]
-        return entries, regression(x, np.array([PRIOR]))
+        return entries, regression(x, np.array([PRIOR]), np.ones(1))
     rows.sort(key=lambda r: (r["mask"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
     n = np.array([r["n"] for r in rows], np.float64)
     y = model.posterior(firing(np.array([r["mask"] for r in rows]), voters.m))
-    times = np.repeat(np.arange(len(rows)), np.minimum(n, 10_000).astype(int))
-    return entries, regression(x[times], y[times])
+    return entries, regression(x, y, n)
 
 
 def scorer(entries: list[str], weights: np.ndarray):
