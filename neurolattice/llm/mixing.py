@@ -10,8 +10,9 @@ at most 2^11 buckets a pattern, refined until that bucket is small), there one b
 the same way among the later documents that are no longer than what is left, until none is.
 
 Defined results: a null or wordless text has size 0 and takes part with it; a null source is a source
-of its own, last; repeated rows (same id and text) are taken or left together; an empty table gives an
-empty result; extra columns are left alone.
+of its own, last; a document whose membership is null or empty is in the null source; texts of any
+length count whole; repeated rows (same id and text) are taken or left together; an empty table gives
+an empty result; extra columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -215,10 +216,10 @@ class Mix:
 
 
 def prepared(docs: DataFrame, pattern: Column, seed: int) -> DataFrame:
-    clash = {"__pattern", "__size", "__h", "__full", "__ranges", "__chosen", "source_size", "target", "copies"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns of these names are added: {sorted(clash)}")
-    return docs.withColumns({"__pattern": pattern, "__size": size_of(F.col("text")), "__h": seeded(F.col("doc_id"), F.col("text"), seed)})
+    """own (a row of docs, so that no name clashes), __pattern, __size, __h. No membership is that of no source."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    held = F.when(F.size(pattern) > 0, pattern).otherwise(F.array(F.lit(None).cast("string")))
+    return docs.select(own, held.alias("__pattern"), size_of(F.col("text")).alias("__size"), seeded(F.col("doc_id"), F.col("text"), seed).alias("__h"))
 
 
 def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -231,15 +232,15 @@ def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mix_documents(docs: DataFrame, sources: Column | None = None, weights=None, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it. sources: an array of the sources a document is in."""
-    pattern = F.array_sort(sources) if sources is not None else F.array(F.col("source").cast("string"))
+    pattern = F.array_sort(F.array_distinct(sources.cast("array<string>"))) if sources is not None else F.array(F.col("source").cast("string"))
     rows = prepared(docs, pattern, seed)
     mix = Mix(written(rows.select("__pattern", "__size", "__h")), weights, repeats)
     out = with_copies(rows, mix).filter("copies > 0")
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
 
 
 def mix_report(docs: DataFrame, weights=None, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    rows = written(prepared(docs.select("doc_id", "source", "text"), F.array(F.col("source").cast("string")), seed).select("doc_id", "__pattern", "__size", "__h"))
+    rows = written(prepared(docs.select("doc_id", "source", "text"), F.array(F.col("source").cast("string")), seed).select("own.doc_id", "__pattern", "__size", "__h"))
     out = with_copies(rows, Mix(rows, weights, repeats))
     return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"), "copies")
