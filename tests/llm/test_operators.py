@@ -84,8 +84,14 @@ def test_chunks_follow_content():
 
 def test_chunk_store(docs, odd):
     store = exact_dedup.chunk_store(docs).collect()
-    assert all(r["n_contents"] == 1 and r["n_bytes"] == len(r["content"]) for r in store)
-    assert sum(r["n_bytes"] * r["n_uses"] for r in store) == sum(len((r[1] or "").encode()) for r in odd)
+    assert all(exact_dedup.recipe([bytes(r["content"])]) == bytes(r["digest"]) for r in store) and len(store) == len({bytes(r["content"]) for r in store})
+    assert sum(len(r["content"]) * r["n_uses"] for r in store) == sum(len((r[1] or "").encode()) for r in odd)
+
+
+def test_exact_filter_keeps_one_of_equal_rows(spark):
+    rows = [(None, "a", 1), (2, "a", 2), (2, "a", 3), (None, None, 4), (None, "", 5), (1, "b", 6)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, row long")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (1, "b"), (2, "a")]
 
 
 # --- near duplicates
@@ -276,8 +282,17 @@ def test_mix(docs, odd):
     assert mixing.mix_report(docs.limit(0)).count() == 0 == mixing.mix_documents(docs.limit(0)).count()
     out = mixing.mix_documents(docs.withColumnRenamed("n_chars", "size"))
     assert out.columns == ["doc_id", "text", "lang", "source", "size"] and out.count() == sum(r["copies"] for r in got)
-    with pytest.raises(ValueError):
-        mixing.mix_documents(docs.withColumnRenamed("n_chars", "copies"))
+    assert mixing.mix_documents(docs.withColumnsRenamed({"n_chars": "copies", "lang": "target"})).columns == ["doc_id", "text", "target", "source", "copies"]
+
+
+def test_mix_without_membership(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "a b c", "en", None if k % 3 == 0 else "x", k) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    given = F.when(F.col("n_chars") % 3 == 0, F.lit(None)).when(F.col("n_chars") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), F.lit("x")))
+    taken = Counter(r["doc_id"] for r in mixing.mix_documents(df, given).collect())
+    assert sum(taken.values()) > 20 and max(taken.values()) <= 3 and {k % 3 for k in taken} == {0, 1, 2}
 
 
 def test_mix_is_near_targets(spark):
@@ -323,6 +338,38 @@ def test_overlapping_sources(spark):
     assert 0 < mixing.mix_documents(df, both).count() <= 270
 
 
+# --- line distance
+
+
+def test_banded_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng, pairs = random.Random(3), []
+    for _ in range(800):
+        x = [rng.choice("ab é😀") for _ in range(rng.randrange(1, rng.choice([4, 30])))]
+        y = x[:]
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = [rng.choice("abc")] * rng.randrange(2)
+        x, y = sorted((x, y), key=len)
+        if x and len(y) - len(x) <= 3:
+            pairs.append(("".join(x), "".join(y)))
+    long = "".join(rng.choice("abcdef") for _ in range(100_000))
+    pairs += [(long, long), (long, long[:70_000] + "zz" + long[70_000:]), (long[1:] + "zz", "z" + long + "y")]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for k in (2, 3):
+        near = df.filter(F.length("y") - F.length("x") <= k)
+        got = near.select(line_dedup.edit_distance(F.col("x"), F.col("y"), k).alias("own"), F.levenshtein("x", "y", k).alias("want"), line_dedup.may_link(F.col("x"), F.length("x"), F.col("y"), k).alias("may")).collect()
+        assert all((r["own"] if r["own"] <= k else -1) == r["want"] and (r["may"] or r["want"] < 0) for r in got)
+
+
+def test_dedup_lines_keeps_rows_of_one_id_apart(spark):
+    rows = [(None, "first line here\nshared line of text", 1), (3, "shared line of text\nown line of three", 2), (3, "another row of three\n\nshared line of text!", 3), (None, None, 4), (5, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = {r["row"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "first line here\nshared line of text", 2: "own line of three", 3: "another row of three\n", 4: None, 5: ""}
+
+
 # --- language model
 
 
@@ -372,6 +419,25 @@ def test_lm_beats_the_base_on_held_out(spark, sf_dir):
     assert r["s"] > r["b"]
 
 
+def test_lattice_scores_are_a_brute_force_sum(spark):
+    """lattice_score from the fitted pieces, by the sum over all segmentations of each word."""
+    pieces = lattice_lm.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    rows = [(k, t, "en") for k, t in enumerate(["ab abc", "abc", "", "ab\tcab", None, "abc ab", "ab"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = Counter(w for k, t, _ in rows if zlib.crc32(str(k).encode()) % 5 != 1 for w in words(t))
+    table = spark.createDataFrame([(w.encode(), n) for w, n in counts.items()], "word binary, n0 long")
+    (share,) = lattice_lm.fitted(table, pieces, 1)
+
+    def total(s):
+        return 1.0 if not s else sum(share[pieces.number[s[:n]]] * total(s[n:]) for n in range(1, len(s) + 1) if s[:n] in pieces.number)
+
+    n_train, docs_train = sum(counts.values()), sum(zlib.crc32(str(k).encode()) % 5 != 1 for k, _, _ in rows)
+    end = (docs_train + 0.5) / (n_train + docs_train + 1)
+    for r in lattice_lm.score_documents(docs, tokenizer_path("piece_bpe_32k.model")).collect():
+        want = math.log10(end) + sum(math.log10(total("\u2581" + w) * (1 - end)) for w in words(rows[r["doc_id"]][1]))
+        assert r["lattice_score"] == pytest.approx(want, rel=1e-5)
+
+
 # --- sharding
 
 
