@@ -3,8 +3,7 @@ grouped aggregates; what couples the cells (hats, maximum statistics) is one mor
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ("ch", "t")
@@ -52,28 +51,28 @@ def linear_regression(df: DataFrame, x: str) -> DataFrame:
     return s.select(*CELL, "beta", "intercept", se.alias("stderr"), (F.col("beta") / se).alias("t_value"))
 
 
-def sign_table(spark, n: int, seed: int, observations: int) -> DataFrame:
-    """perm, sign (an array by observation number): the observed order first, then seeded flips. The
-    product n x observations is a parameter of the test and is checked."""
-    if n * observations > 50_000_000:
-        raise ValueError("a sign table has at most 50 million signs")
-    signs = np.random.default_rng(seed).integers(0, 2, (n, observations)) * 2 - 1
-    signs[0] = 1
-    return spark.createDataFrame([(k, row) for k, row in enumerate(signs.tolist())], "perm int, signs array<int>")
+def drawn(draw: Column, number: Column) -> Column:
+    """A number below 2^31 - 1 for a draw and an observation: a product with a squaring, so that the draws
+    do not repeat each other. Both are whole numbers that are not negative."""
+    prime = (1 << 31) - 1
+    x = (number.cast("long") % prime * 48271 + draw.cast("long") * 104729 + 1) % prime
+    return (x * x + draw.cast("long") * 7919) % prime * 16807 % prime
 
 
-def permutation_t(df: DataFrame, signs: DataFrame, number: str = "number") -> DataFrame:
-    """ch, t, t_value, p_value by sign flips and the maximum statistic (two tails); the observed order
-    counts. Each observation carries its cell's value against all signs: sums are kept per permutation."""
+def permutation_t(df: DataFrame, n: int, number: str = "number") -> DataFrame:
+    """ch, t, t_value, p_value by sign flips and the maximum statistic (two tails); the observed order is
+    draw 0 and counts. An observation's sign comes from its own number, so observations of any number
+    need no table of signs; sums of each draw are aggregated before the shuffle."""
     cells = df.groupBy(*CELL).agg(F.sum(F.col("value") ** 2).alias("q"), F.count("*").alias("n"))
-    flips = signs.select("perm", F.posexplode("signs").alias("number", "sign"))
-    sums = df.select(*CELL, F.col(number).alias("number"), "value").join(F.broadcast(flips), "number").groupBy("perm", *CELL).agg(F.sum(F.col("sign") * F.col("value")).alias("s"))  # sign_table bounds it
+    each = df.select(*CELL, F.col(number).alias("number"), "value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
+    flip = (F.col("perm") > 0) & (F.floor(drawn(F.col("perm"), F.col("number")) / 65536) % 2 == 1)
+    sums = each.groupBy("perm", *CELL).agg(F.sum(F.when(flip, -F.col("value")).otherwise(F.col("value"))).alias("s"))
     m = F.col("s") / F.col("n")
     t = m / F.sqrt((F.col("q") - F.col("n") * m * m) / (F.col("n") - 1) / F.col("n"))
     stats = sums.join(cells, list(CELL)).select("perm", *CELL, t.alias("t_value"))
     top = stats.groupBy("perm").agg(F.max(F.abs("t_value")).alias("top"))
     tops = top.agg(F.sort_array(F.collect_list("top")).alias("tops"))  # one number a permutation
-    over = F.size(F.filter("tops", lambda x: x >= F.abs(F.col("t_value"))))
+    over = F.size(F.filter("tops", lambda x: x >= F.abs(F.col("t_value")) * (1 - 1e-12)))
     return stats.filter("perm = 0").crossJoin(F.broadcast(tops)).select(*CELL, "t_value", (over / F.size("tops")).alias("p_value"))
 
 
@@ -105,10 +104,17 @@ def clusters(cells: DataFrame, threshold: float) -> DataFrame:
     return runs.groupBy("ch", "sign", "island").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.sum("t_value").alias("mass")).drop("island")
 
 
-def bootstrap_ci(df: DataFrame, draws: DataFrame, ci: float = 0.95) -> DataFrame:
-    """draws: boot, number, times. The percentile interval of the resampled means of each cell."""
-    own = df.join(F.broadcast(draws), "number")  # as many rows as the test's parameters say
-    means = own.groupBy("boot", *CELL).agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
+#: How many of 1,000 draws take an observation 0, 1, 2 ... times at most: the Poisson law of mean 1.
+POISSON = (368, 736, 920, 981, 996, 999)
+
+
+def bootstrap_ci(df: DataFrame, n: int, number: str = "number", ci: float = 0.95) -> DataFrame:
+    """The percentile interval of n resampled means of each cell. How often a draw takes an observation
+    comes from the observation's own number (Poisson resampling), so nothing is broadcast."""
+    each = df.select(*CELL, "value", F.col(number).alias("number"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("boot"))
+    x = F.floor(drawn(F.col("boot"), F.col("number")) / 65536) % 1000
+    each = each.withColumn("times", sum((F.when(x >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0)))
+    means = each.groupBy("boot", *CELL).agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return means.groupBy(*CELL).agg(q.alias("q")).select(*CELL, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

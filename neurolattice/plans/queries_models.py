@@ -36,8 +36,9 @@ def _(spark, d):
 def _(spark, d):
     own = V.epochs(spark, d)
     white = M.whitener(M.shrunk(M.matrix(C.covariance(own), 8), 0.1))
-    average = own.groupBy("epoch", "ch", "t").agg(F.avg("value").alias("value"))
-    return rounded(C.mix(average, M.signed(white).tolist()))
+    # the mean of a condition's trials, scaled by the root of their number, as its noise is less by that
+    average = own.groupBy("condition", "ch", "t").agg((F.avg("value") * F.sqrt(F.count("*"))).alias("value"))
+    return rounded(C.mix(average, white.tolist(), ("condition", "t")))
 
 
 @query("ica_fit")

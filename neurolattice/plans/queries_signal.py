@@ -169,9 +169,9 @@ for method, f in {"mean": "avg", "median": "median", "std": "stddev_pop"}.items(
         return rounded(C.combine_channels(V.epochs(spark, d), {"left": [0, 1, 2], "right": [4, 5, 6, 7]}, method))
 
 
-@query("equalize_channels", "WITH e AS (SELECT * FROM epochs WHERE ch <> condition) SELECT * FROM e WHERE ch IN (SELECT ch FROM e GROUP BY ch HAVING count(DISTINCT condition) = (SELECT count(DISTINCT condition) FROM e))", "epochs")
+@query("equalize_channels", "WITH e AS (SELECT * FROM epochs WHERE NOT (ch = 3 AND condition = 2)) SELECT * FROM e WHERE ch IN (SELECT ch FROM e GROUP BY ch HAVING count(DISTINCT condition) = (SELECT count(DISTINCT condition) FROM e))", "epochs")
 def _(spark, d):
-    return C.equalize_channels(V.epochs(spark, d).filter("ch <> condition"))
+    return C.equalize_channels(V.epochs(spark, d).filter("NOT (ch = 3 AND condition = 2)"))
 
 
 @query("describe", "SELECT ch, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high FROM signal GROUP BY ch", "signal")

@@ -82,21 +82,20 @@ def _(spark, d):
     return rounded(S.anova_rm(own, "subject", "level"), "f_value")
 
 
-#: Signs and draws by a rule that both engines can follow: bits of a product of permutation and observation.
-SIGN = "CASE WHEN p = 0 OR ((p * 7919 + number * 104729) * 31 // 64) % 2 = 0 THEN 1 ELSE -1 END"
+#: Signs and resampling by a rule that both engines can follow, of the draw k and the epoch.
+X = "(epoch % 2147483647 * 48271 + k * 104729 + 1) % 2147483647"
+DRAWN = f"(({X}) * ({X}) + k * 7919) % 2147483647 * 16807 % 2147483647 // 65536"
+FLIPS, BOOTS = 256, 200
 
 
-@query("permutation_t_test", f"WITH o AS (SELECT *, epoch % 500 AS number FROM epochs WHERE condition = 3), c AS (SELECT ch, t, sum(value * value) AS q, count(*) AS n FROM o GROUP BY ALL), s AS (SELECT p, ch, t, sum({SIGN} * value) AS s FROM o, range(64) r(p) GROUP BY ALL), x AS (SELECT p, ch, t, s / n / sqrt((q - s * s / n) / (n - 1) / n) AS x FROM s JOIN c USING (ch, t)), top AS (SELECT p, max(abs(x)) AS top FROM x GROUP BY p) SELECT ch, t, round(x, 6) + 0.0 AS t_value, (SELECT count(*) FROM top WHERE top >= abs(x)) / 64.0 AS p_value FROM x WHERE p = 0", "epochs")
+@query("permutation_t_test", f"WITH c AS (SELECT ch, t, sum(value * value) AS q, count(*) AS n FROM epochs GROUP BY ALL), s AS (SELECT k, ch, t, sum(CASE WHEN k > 0 AND {DRAWN} % 2 = 1 THEN -value ELSE value END) AS s FROM epochs, range({FLIPS}) r(k) GROUP BY ALL), x AS (SELECT k, ch, t, s / n / sqrt((q - s * s / n) / (n - 1) / n) AS x FROM s JOIN c USING (ch, t)), top AS (SELECT k, max(abs(x)) AS top FROM x GROUP BY k) SELECT ch, t, round(x, 6) + 0.0 AS t_value, (SELECT count(*) FROM top WHERE top >= abs(x) * (1 - 1e-12)) / {FLIPS}.0 AS p_value FROM x WHERE k = 0", "epochs")
 def _(spark, d):
-    own = V.epochs(spark, d).filter("condition = 3").withColumn("number", (F.col("epoch") % 500).cast("int"))
-    p = F.col("id")
-    signs = spark.range(64).select(p.cast("int").alias("perm"), F.transform(F.sequence(F.lit(0), F.lit(499)), lambda number: F.when((p == 0) | (F.floor((p * 7919 + number * 104729) * 31 / 64) % 2 == 0), 1).otherwise(-1)).alias("signs"))
-    return rounded(S.permutation_t(own, signs), "t_value")
+    return rounded(S.permutation_t(V.epochs(spark, d), FLIPS, "epoch"), "t_value")
 
 
-@query("bootstrap_confidence_interval", "WITH o AS (SELECT *, epoch % 500 AS number FROM epochs WHERE condition = 3), b AS (SELECT boot, ch, t, sum(((boot * 31 + number * 17) % 5) * value) / sum((boot * 31 + number * 17) % 5) AS m FROM o, range(40) r(boot) GROUP BY ALL) SELECT ch, t, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM b GROUP BY ALL", "epochs")
+TIMES = " + ".join(f"({DRAWN} % 1000 >= {limit})::INT" for limit in S.POISSON)
+
+
+@query("bootstrap_confidence_interval", f"WITH o AS (SELECT k, ch, t, value, {TIMES} AS times FROM epochs, range({BOOTS}) r(k)), b AS (SELECT k, ch, t, sum(times * value) / sum(times) AS m FROM o GROUP BY ALL) SELECT ch, t, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM b GROUP BY ALL", "epochs")
 def _(spark, d):
-    own = V.epochs(spark, d).filter("condition = 3").withColumn("number", F.col("epoch") % 500)
-    draws = spark.range(40).select(F.col("id").alias("boot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("number"))
-    draws = draws.withColumn("times", (F.col("boot") * 31 + F.col("number") * 17) % 5)
-    return rounded(S.bootstrap_ci(own, draws), "low", "high")
+    return rounded(S.bootstrap_ci(V.epochs(spark, d), BOOTS, "epoch"), "low", "high")
