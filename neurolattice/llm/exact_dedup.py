@@ -28,6 +28,8 @@ from .common import fresh, text_bytes, unwritten, written
 WINDOW, LEAST, MOST, BITS, STEP = 32, 512, 8192, 11, 4 << 20
 #: Bytes of a digest: SHA-256 and the length.
 DIGEST = 36
+#: Chunks that a worker holds before it sends them on.
+HELD = 1024
 
 
 def _table() -> np.ndarray:
@@ -106,13 +108,19 @@ def recipes(docs: DataFrame) -> DataFrame:
 def chunk_store(docs: DataFrame) -> DataFrame:
     """One row per distinct chunk: digest, content, n_uses. The bytes of all chunks of a digest are compared."""
 
+    def rows(uses: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([recipe([c]) for c in uses], pa.binary()), pa.array(uses.keys(), pa.binary()), pa.array(uses.values(), pa.int64())], ["digest", "content", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: dict[bytes, int] = {}
         for batch in batches:
-            uses: dict[bytes, int] = {}
             for _, chunks in chunked(batch.column("text")):
                 for c in map(bytes, chunks):
                     uses[c] = uses.get(c, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([recipe([c]) for c in uses], pa.binary()), pa.array(uses.keys(), pa.binary()), pa.array(uses.values(), pa.int64())], ["digest", "content", "n"])
+                    if len(uses) >= HELD:  # small batches keep the worker small
+                        yield rows(uses)
+                        uses = {}
+        yield rows(uses)
 
     found = docs.select("text").mapInArrow(run, "digest binary, content binary, n long")
     each = found.groupBy("digest").agg(F.min("content").alias("content"), F.max("content").alias("other"), F.sum("n").alias("n_uses"))
