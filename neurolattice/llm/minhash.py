@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Memo, each_text, written
 from .components import components
 
-SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS = 5, 96, 2, 512, 2048, 6
+SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS, SHARES = 5, 96, 2, 512, 2048, 6, 64
 BANDS = PERMUTATIONS // PER_BAND
 #: Bins of a sketch; an estimate that is ERRORS standard errors and SLACK under the threshold rules a pair out.
 BINS, ERRORS, SLACK = 512, 5, 0.01
@@ -134,9 +134,12 @@ def signed(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach percent. Texts of a and its b's meet in blocks: a's goes to
     each block of BLOCK b's, and comes first there, so a worker keeps one set at a time."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(counts, "a").select("a", "b", (F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("block"))
-    heads = counts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), F.lit(0).alias("role"))
+    # only heads of more than one block need their number, so a head's pairs meet it by shares of its b's
+    salt, shares = F.pmod(F.xxhash64(F.lit(3), "b"), F.lit(SHARES)), F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).withColumn("salt", F.explode(shares))
+    salted = pairs.withColumn("salt", salt).join(many, ["a", "salt"], "left")
+    dealt = salted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK)).alias("block"))
+    heads = dealt.select("a", F.col("a").alias("node"), "block", F.lit(0).alias("role")).distinct()
     roles = dealt.select("a", F.col("b").alias("node"), "block", F.lit(1).alias("role")).unionByName(heads)
     placed = docs.join(roles.hint("shuffle_hash"), "node").repartition("a", "block").sortWithinPartitions("a", "block", "role")
 

@@ -568,3 +568,13 @@ def test_digests_survive_collisions(tmp_path, monkeypatch):
     assert d.judge(["http://example.org/es/1"])[0][2:] == ("example.org/es/", "block") and d.judge(["http://sample.com/zz/"])[0][2:] == (None, "allow")
     with pytest.raises(ValueError):
         url_filter.Digests.build([("a", "/", "allow"), ("a", "/", "block")])
+
+
+def test_verified_deals_a_large_head_to_blocks(spark):
+    """A head of more pairs than a block holds, beside small ones: every pair is tried once."""
+    many = 2 * minhash.BLOCK + 100
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(0, text), *((i, f"{text} x{i}" if i % 3 else f"other words {i} entirely as they stand") for i in range(1, many)), (many, "a b c d e f"), (many + 1, "a b c d e f")]
+    pairs = [(0, i) for i in range(1, many)] + [(many, many + 1)]
+    found = minhash.verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(docs, "node long, text string"), 75).collect()
+    assert sorted(map(tuple, found)) == sorted([(0, i) for i in range(1, many) if i % 3] + [(many, many + 1)])
