@@ -21,7 +21,9 @@ Nodes are pairs of id and text (by a 64-bit hash, as shingles are); an id only n
 Defined results: null, empty and wordless texts have no shingles and are alone; fewer words than a
 shingle has are one shingle; texts of one id, or of a null id, are linked only if they are near copies;
 a component's name is its least id, null being the least; an empty table gives an empty result; extra
-columns are left alone. near_dedup leaves out a wordless row where a text of the same id stays.
+columns of any name are left alone; texts of any length are read whole. near_dedup leaves out a wordless
+row where a text of the same id stays; of rows with one id and text it keeps the one whose columns' hash
+is least (maps aside), so reruns agree.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, each_text, written
+from .common import Memo, each_text, fresh, written
 from .components import components
 
 SHINGLE, PERMUTATIONS, PER_BAND, BLOCK, BATCH, LEADERS, SHARES = 5, 96, 2, 512, 2048, 6, 64
@@ -263,15 +265,16 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that stay: of each group one row of the least id, and every row that is alone."""
-    assert "__node" not in docs.columns and "__n" not in docs.columns
+    at, number = fresh(docs.columns, "node"), fresh(docs.columns, "number")
     kept = written(near_nodes(docs, percent).filter("kept").select("doc_id", "node", "n_shingles").distinct())
     texts, blank = kept.filter("n_shingles > 0"), kept.filter("n_shingles = 0")
     ids = texts.select(F.col("doc_id").alias("id")).distinct()
     blank = blank.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
-    keep = texts.unionByName(blank).select(F.col("node").alias("__node"))
-    own = docs.withColumn("__node", node_of(docs))
-    first = F.row_number().over(Window.partitionBy("__node").orderBy("__node"))
-    return own.join(keep, "__node").withColumn("__n", first).filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keep = texts.unionByName(blank).select(F.col("node").alias(at))
+    own = docs.withColumn(at, node_of(docs))
+    rest = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = F.row_number().over(Window.partitionBy(at).orderBy(F.xxhash64(*rest)))
+    return own.join(keep, at).withColumn(number, first).filter(F.col(number) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE_SQL = r"""

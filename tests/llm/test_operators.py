@@ -578,3 +578,9 @@ def test_verified_deals_a_large_head_to_blocks(spark):
     pairs = [(0, i) for i in range(1, many)] + [(many, many + 1)]
     found = minhash.verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(docs, "node long, text string"), 75).collect()
     assert sorted(map(tuple, found)) == sorted([(0, i) for i in range(1, many) if i % 3] + [(many, many + 1)])
+
+
+def test_near_dedup_ties_are_the_same_in_every_order(spark):
+    rows = [(1, "one two three four five six", f"v{i}", i) for i in range(6)]
+    kept = [minhash.near_dedup(spark.createDataFrame(order, "doc_id long, text string, node string, number long").repartition(3)).collect() for order in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
