@@ -237,30 +237,28 @@ def cwt(x: np.ndarray, wavelet: np.ndarray) -> np.ndarray:
     return full[start : start + len(x)]
 
 
+def frames(size: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, sine window, windows' energy at each position) of n frames, the ends counted as they are covered."""
+    at = step * np.arange(n)[:, None] + np.arange(size)
+    w = np.sin(np.arange(0.5, size + 0.5) / size * np.pi)
+    return at, w, np.bincount(at.ravel(), np.tile(w * w, n))[at]
+
+
 def stft(x: np.ndarray, size: int, step: int | None = None) -> np.ndarray:
-    """(size / 2 + 1, steps) complex: sine windows that make a tight frame."""
+    """(size / 2 + 1, steps) complex: sine windows that make a tight frame, up to both ends."""
     step = step or size // 2
     if size % step or size % 4:
         raise ValueError("the window must be a multiple of the step and of 4")
-    n = -(-len(x) // step)
-    w = frame_window(size, step)
-    y = np.concatenate([np.zeros((size - step) // 2), x, np.zeros(n * step + size)])
-    return np.stack([np.fft.rfft(y[k * step : k * step + size] * w) for k in range(n)], 1)
-
-
-def frame_window(size: int, step: int) -> np.ndarray:
-    w = np.sin(np.arange(0.5, size + 0.5) / size * np.pi)
-    total = (w * w).reshape(-1, step).sum(0)
-    return w / np.sqrt(np.tile(total, size // step))
+    at, w, energy = frames(size, step, -(-len(x) // step))
+    y = np.concatenate([np.zeros((size - step) // 2), x, np.zeros(size)])
+    return np.fft.rfft(y[at] * w / np.sqrt(size * energy), axis=1).T
 
 
 def istft(spec: np.ndarray, size: int, step: int, n: int) -> np.ndarray:
-    w, steps = frame_window(size, step), spec.shape[1]
-    y = np.zeros(steps * step + 2 * size)
-    for k in range(steps):
-        y[k * step : k * step + size] += np.fft.irfft(spec[:, k], size) * w
+    at, w, energy = frames(size, step, spec.shape[1])
+    parts = np.fft.irfft(spec.T, size, axis=1) * w * np.sqrt(size / energy)
     start = (size - step) // 2
-    return y[start : start + n]
+    return np.bincount(at.ravel(), parts.ravel())[start : start + n]
 
 
 def peak_finder(x: np.ndarray, thresh: float | None = None, extrema: int = 1) -> np.ndarray:

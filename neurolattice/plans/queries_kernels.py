@@ -103,16 +103,16 @@ def _(spark, d):
     return V.table(spark, d, "part").select("p_partkey", F.round(7.0 * math.sqrt(2 * math.log(2)) / (math.pi * F.col("p_size")), 9).alias("fwhm"))
 
 
-FRAME = "(sin((t + 0.5) / 8 * pi()) / sqrt(sin((t % 4 + 0.5) / 8 * pi()) ** 2 + sin((t % 4 + 4.5) / 8 * pi()) ** 2))"
-STFT = f"WITH w AS (SELECT t, {FRAME} AS w FROM range(0, 8) r(t)), y AS (SELECT epoch, ch, bin, step, sum(coalesce(value, 0) * w * cos(2 * pi() * bin * w.t / 8)) AS re, -sum(coalesce(value, 0) * w * sin(2 * pi() * bin * w.t / 8)) AS im FROM (SELECT DISTINCT epoch, ch FROM epochs) k, range(0, 2) s(step), range(0, 5) b(bin), w LEFT JOIN epochs e USING (epoch, ch) WHERE e.t = w.t + 4 * step - 2 GROUP BY ALL) SELECT epoch, ch, bin, step, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM y"
+#: Two frames of 8 at steps of 4; a window's energy counts the frames that cover the place.
+STFT = "WITH s AS (SELECT t, sin((t + 0.5) / 8 * pi()) AS s FROM range(0, 8) r(t)), w AS (SELECT s.t, step, any_value(s.s) / sqrt(8 * sum(o.s ** 2)) AS w FROM s, range(0, 2) a(step), range(0, 2) b(other), s o WHERE o.t = s.t + 4 * (step - other) GROUP BY s.t, step) SELECT epoch, ch, bin, step, round(sum(value * w * cos(2 * pi() * bin * w.t / 8)), 6) + 0.0 AS re, round(-sum(value * w * sin(2 * pi() * bin * w.t / 8)), 6) + 0.0 AS im FROM epochs e JOIN w ON e.t = w.t + 4 * step - 2, range(0, 5) b(bin) GROUP BY ALL"
 
 
-@query("stft", STFT.replace("FROM (SELECT DISTINCT epoch, ch FROM epochs) k, range(0, 2) s(step), range(0, 5) b(bin), w LEFT JOIN epochs e USING (epoch, ch) WHERE e.t = w.t + 4 * step - 2", "FROM epochs e, range(0, 2) s(step), range(0, 5) b(bin), w WHERE e.t = w.t + 4 * step - 2"), "epochs")
+@query("stft", STFT, "epochs")
 def _(spark, d):
     return rounded(K.stft(V.epochs(spark, d), 8, 4, **TRIAL), "re", "im")
 
 
-@query("stft_istft")
+@query("stft_istft", "SELECT ch, samp, round(value, 6) + 0.0 AS value FROM signal", "signal")
 def _(spark, d):
     """Forth and back: the tight frame returns the signal."""
     return rounded(K.per_channel(sig(spark, d), lambda x: dsp.istft(dsp.stft(x, 16, 8), 16, 8, len(x))))
