@@ -60,7 +60,11 @@ def _(spark, d):
     return rounded(K.hilbert(V.epochs(spark, d), **TRIAL).drop("envelope"), "re", "im")
 
 
-@query("hilbert_envelope")
+#: The same for channels of n samples, filled up to z, the next product of twos, threes and fives.
+ENVELOPE = "WITH x AS (SELECT ch, samp, value, count(*) OVER (PARTITION BY ch) AS n FROM signal), v AS (SELECT (2 ** a * 3 ** b * 5 ** c)::BIGINT AS v FROM range(0, 20) r(a), range(0, 12) s(b), range(0, 8) t(c)), z AS (SELECT n, min(v) AS z FROM (SELECT DISTINCT n FROM x) JOIN v ON v >= n GROUP BY n), f AS (SELECT ch, n, z, k, sum(value * cos(2 * pi() * k * samp / z)) AS c, -sum(value * sin(2 * pi() * k * samp / z)) AS s FROM (SELECT *, unnest(range(0, z // 2 + 1)) AS k FROM x JOIN z USING (n)) GROUP BY ALL), g AS (SELECT *, CASE WHEN k = 0 OR 2 * k = z THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END / z AS w, unnest(range(0, n)) AS i FROM f) SELECT ch, i, round(sqrt(sum(w * (c * cos(2 * pi() * k * i / z) - s * sin(2 * pi() * k * i / z))) ** 2 + sum(w * (c * sin(2 * pi() * k * i / z) + s * cos(2 * pi() * k * i / z))) ** 2), 6) + 0.0 AS envelope FROM g GROUP BY ch, i"
+
+
+@query("hilbert_envelope", ENVELOPE, "signal")
 def _(spark, d):
     return rounded(K.hilbert(sig(spark, d)).select("ch", "i", "envelope"), "envelope")
 
