@@ -5,13 +5,15 @@ predictor, cross-colour, subtract-green and palette transforms. Where an image h
 tokens are found with arrays: the token that would start at every bit is looked up at once, and the
 chain of real starts is followed; elsewhere a bit reader goes token by token.
 
-encode() gives transforms, a cache and repeats if asked to; what the column operator stores uses one
-prefix code for the three channels. Format: RFC 9649.
+encode_samples() takes, image by image, whichever of these it reckons smallest: no transform, subtract
+green, the predictor from above, or a palette; then literals alone, with repeats, or with repeats and a
+colour cache. Format: RFC 9649.
 """
 
 from __future__ import annotations
 
-import heapq
+import functools
+import math
 import struct
 
 import numpy as np
@@ -19,6 +21,11 @@ import numpy as np
 #: Fixed values of the format: the order in which lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 HASH, GREEN, MOST_SIDE = 0x1E35A7BD, 280, 1 << 14
+#: Pixels of the shortest repeat that is stored.
+LEAST = 4
+#: The share of pixels that repeats have to cover before the encoder weighs them; a trade of time for size.
+WORTH = 0.3
+NONE = np.zeros(0, np.int64)
 #: The 120 near pixels that short distance codes mean: (dx, dy) by distance, then by |dx|, right first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
@@ -30,42 +37,53 @@ class Corrupt(ValueError):
 # --- prefix codes
 
 
-def code_lengths(counts: list[int], most: int) -> list[int]:
+#: Of numbers of 15 bits, those with the bits the other way round.
+TURNED = functools.reduce(lambda x, k: x | ((np.arange(1 << 15) >> k) & 1) << (14 - k), range(15), np.zeros(1 << 15, np.int64))
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of an optimal prefix code; counts are flattened until none is over most."""
-    used = [i for i, c in enumerate(counts) if c]
-    out = [0] * len(counts)
+    counts = np.asarray(counts)
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         return out
+    used = used[np.argsort(counts[used], kind="stable")]
+    own, n = counts[used].tolist(), len(used)
     while True:
-        heap = [(counts[i], i) for i in used]
-        heapq.heapify(heap)
-        up, node = {}, len(counts)
-        while len(heap) > 1:
-            a, x = heapq.heappop(heap)
-            b, y = heapq.heappop(heap)
-            up[x] = up[y] = node
-            heapq.heappush(heap, (a + b, node))
-            node += 1
-        depth = {node - 1: 0}
-        for x in range(node - 2, -1, -1):
-            if x in up:
-                depth[x] = depth[up[x]] + 1
-        if max(depth[i] for i in used) <= most:
-            for i in used:
-                out[i] = depth[i]
+        # leaves are sorted and joints come in order, so the least two are at the two fronts
+        weight, up, i, j = own + [0] * (n - 1), [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):
+            if i < n and (j >= k or weight[i] <= weight[j]):
+                x, i = i, i + 1
+            else:
+                x, j = j, j + 1
+            if i < n and (j >= k or weight[i] <= weight[j]):
+                y, i = i, i + 1
+            else:
+                y, j = j, j + 1
+            up[x] = up[y] = k
+            weight[k] = weight[x] + weight[y]
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth[:n]) <= most:
+            out[used] = depth[:n]
             return out
-        counts = [(c + 1) // 2 if c else 0 for c in counts]
+        own = [(c + 1) // 2 for c in own]
 
 
-def canonical(lengths) -> list[tuple[int, int, int]]:
-    """(symbol, length, code with its first bit lowest) of each used symbol."""
-    out, code, last = [], 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        out.append((s, n, int(f"{code:0{n}b}"[::-1], 2)))
-        code += 1
-    return out
+def canonical(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The used symbols in the order of their codes, the lengths, and the codes with their first bit lowest."""
+    lengths = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[used]
+    share = 1 << (15 - size)
+    ends = np.cumsum(share)
+    if len(ends) and ends[-1] > 1 << 15:
+        raise Corrupt("too many codes")
+    return used, size, TURNED[ends - share]
 
 
 class Code:
@@ -77,19 +95,19 @@ class Code:
         if only is not None:
             self.bits, self.length, self.symbol = 0, np.zeros(1, np.uint8), np.array([only], np.uint16)
         else:
-            codes = canonical(lengths)
-            if not codes:
+            symbols, sizes, _ = canonical(lengths)
+            if not len(symbols):
                 raise Corrupt("a prefix code without symbols")
-            self.bits = max(n for _, n, _ in codes)
-            if len(codes) == 1:
-                self.bits, self.length, self.symbol = 0, np.zeros(1, np.uint8), np.array([codes[0][0]], np.uint16)
+            self.bits = int(sizes[-1])
+            if len(symbols) == 1:
+                self.bits, self.length, self.symbol = 0, np.zeros(1, np.uint8), symbols.astype(np.uint16)
             else:
-                if sum(1 << (self.bits - n) for _, n, _ in codes) != 1 << self.bits:
+                share = 1 << (self.bits - sizes)
+                if share.sum() != 1 << self.bits:
                     raise Corrupt("an incomplete prefix code")
-                self.length, self.symbol = np.zeros(1 << self.bits, np.uint8), np.zeros(1 << self.bits, np.uint16)
-                for s, n, c in codes:
-                    self.length[c :: 1 << n] = n
-                    self.symbol[c :: 1 << n] = s
+                turned = TURNED[: 1 << self.bits] >> (15 - self.bits)
+                self.length = sizes.astype(np.uint8).repeat(share)[turned]
+                self.symbol = symbols.astype(np.uint16).repeat(share)[turned]
         self.mask, self.zero = (1 << self.bits) - 1, not self.bits
         self.top = int(self.symbol.max())
 
@@ -106,6 +124,11 @@ class Code:
 class Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data + bytes(16), 0, 8 * len(data)
+        self.code = None
+
+    def stretch(self, at: int, n: int) -> int:
+        """n bits from a place."""
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
     def peek(self) -> int:
         i = self.at >> 3
@@ -134,6 +157,12 @@ class Bits:
 
 
 def read_code(bits: Bits, size: int) -> Code:
+    start = bits.at
+    if bits.code:  # the same bits again are the same code
+        at, n, count, code = bits.code
+        if count <= size and start + n <= bits.end and bits.stretch(start, n) == bits.stretch(at, n):
+            bits.at += n
+            return code
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         first = bits.read(8 if wide else 1)
@@ -147,32 +176,42 @@ def read_code(bits: Bits, size: int) -> Code:
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
     code = Code.of(own)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    lengths, before = [], 8
+    told = bits.read(1)
+    left = 2 + bits.read(2 + 2 * bits.read(3)) if told else size
+    lengths, before, window, have, at = [], 8, 0, 0, bits.at
     length, symbol, mask = code.length.tolist(), code.symbol.tolist(), code.mask
-    while len(lengths) < size and left:
+    while left and len(lengths) < size:
         left -= 1
-        window = bits.peek()
+        if have < 14:
+            bits.at = at
+            window, have = bits.peek(), 57
         i = window & mask
         n, s = length[i], symbol[i]
-        bits.at += n
-        window >>= n
         if s < 16:
             lengths.append(s)
             before = s or before
         else:
             extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            bits.at += extra
-            lengths += [before if s == 16 else 0] * (least + (window & ((1 << extra) - 1)))
+            lengths += [before if s == 16 else 0] * (least + ((window >> n) & ((1 << extra) - 1)))
+            n += extra
+        at += n
+        window >>= n
+        have -= n
+    bits.at = at
     if bits.at > bits.end or len(lengths) > size:
         raise Corrupt("bad code lengths")
-    return Code.of(lengths)
+    code = Code.of(lengths)
+    bits.code = (start, bits.at - start, len(lengths), code) if told and not left else None
+    return code
 
 
 # --- images
 
 
-def cached(argb: int, n: int) -> int:
+def cached(argb, n: int):
+    """The slot of a colour (or of an array of them) in a cache of 2 ** n."""
+    if isinstance(argb, np.ndarray):
+        return (argb.astype(np.uint32) * np.uint32(HASH)) >> np.uint32(32 - n)
     return ((HASH * argb) & 0xFFFFFFFF) >> (32 - n)
 
 
@@ -197,7 +236,11 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = which.reshape(-1, across)
     codes = [[read_code(bits, n) for n in (GREEN + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     if groups == 1 and width * height > 16:
-        return by_arrays(bits, codes[0], width, width * height, cache_bits)
+        start = bits.at
+        found = by_arrays(bits, codes[0], width, width * height, cache_bits)
+        if found is not None:
+            return found
+        bits.at = start
     out, total, i = np.zeros(width * height, np.uint32), width * height, 0
     cache, pending = [0] * (1 << cache_bits if cache_bits else 0), 0
     while i < total:
@@ -236,8 +279,13 @@ def remember(out: np.ndarray, cache: list, done: int, i: int, n: int) -> int:
     return i
 
 
-def by_arrays(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
-    """As read_image, for one code group: what would start at each bit, then the chain of starts."""
+def by_arrays(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """As read_image, for one code group: what would start at each bit, then the chain of starts.
+
+    A pixel out of the cache has the hash that it is asked for by, so the hashes of all pixels are known
+    before the cached ones' colours are: such a pixel is that of the last one before it with its hash.
+    Repeats point to their sources, cached pixels to those, and all pointers are followed at once. None
+    if a slot of the cache is read before it is set; the caller then goes token by token."""
     green, red, blue, alpha, far = codes
     first, skip = bits.at >> 3, bits.at & 7
     raw = np.frombuffer(bits.data, np.uint8, offset=first)
@@ -257,58 +305,68 @@ def by_arrays(bits: Bits, codes: list[Code], width: int, total: int, cache_bits:
             np.minimum(own, n - 1, out=own)
             ends = own[ends]
         stops.append(ends)
-    plain = green.top < 256
-    if plain:
-        after_all, p, starts = memoryview(ends), skip, []
+
+    def literals(at: np.ndarray) -> np.ndarray:
+        parts = [green.symbol[index[at]].astype(np.uint32)]
+        for code, start in zip((red, blue, alpha), (after, *stops), strict=False):
+            parts.append((code.symbol[window[start[at]] & np.uint32(code.mask)] if not code.zero else code.symbol[0]).astype(np.uint32))
+        return parts[3] << np.uint32(24) | parts[1] << np.uint32(16) | parts[0] << np.uint32(8) | parts[2]
+
+    p, starts, copies = skip, [], []
+    if green.top < 256:
+        step = memoryview(ends)
         for _ in range(total):
             starts.append(p)
-            p = after_all[p]
-        at = np.array(starts)
-        g = green.symbol[index[at]].astype(np.uint32)
-        r = (red.symbol[window[after[at]] & np.uint32(red.mask)] if not red.zero else red.symbol[0]).astype(np.uint32)
-        b = (blue.symbol[window[stops[0][at]] & np.uint32(blue.mask)] if not blue.zero else blue.symbol[0]).astype(np.uint32)
-        a = (alpha.symbol[window[stops[1][at]] & np.uint32(alpha.mask)] if not alpha.zero else alpha.symbol[0]).astype(np.uint32)
-        bits.at = 8 * first + p
-        if bits.at > bits.end:
-            raise Corrupt("the data end too soon")
-        return a << np.uint32(24) | r << np.uint32(16) | g << np.uint32(8) | b
-    out, i, p, cache, pending = np.zeros(total, np.uint32), 0, skip, [0] * (1 << cache_bits if cache_bits else 0), 0
-    symbols, run = green.symbol[index], []
-    step, value = memoryview(ends), memoryview(symbols)
-
-    def flush() -> None:
-        nonlocal i
-        if run:
-            at = np.array(run)
-            parts = [x.symbol[window[y[at]] & np.uint32(x.mask)].astype(np.uint32) for x, y in ((red, after), (blue, stops[0]), (alpha, stops[1]))]
-            out[i : i + len(run)] = parts[2] << np.uint32(24) | parts[0] << np.uint32(16) | symbols[at].astype(np.uint32) << np.uint32(8) | parts[1]
-            i += len(run)
-            run.clear()
-
-    while i + len(run) < total:
-        s = value[p]
-        if s < 256:
-            run.append(p)
             p = step[p]
+    else:
+        symbols = green.symbol[index]
+        ends = np.where(symbols >= GREEN, after, ends)
+        ends[(symbols >= 256) & (symbols < GREEN)] = -1
+        step, i = memoryview(ends), 0
+        while i < total:
+            q = step[p]
+            if q < 0:
+                bits.at = 8 * first + int(after[p])
+                count = bits.value(int(symbols[p]) - 256)
+                back = distance(bits.value(bits.symbol(far)), width)
+                if back > i or i + count > total:
+                    raise Corrupt("a repeat of what is not there")
+                copies.append((i, count, back))
+                starts.extend([p] * count)
+                i, p = i + count, bits.at - 8 * first
+                continue
+            starts.append(p)
+            i, p = i + 1, q
             if p >= n - 1:
                 raise Corrupt("the data end too soon")
-            continue
-        flush()
-        bits.at = 8 * first + int(after[p])
-        if s < GREEN:
-            count = bits.value(s - 256)
-            repeat(out, i, count, distance(bits.value(bits.symbol(far)), width))
-            i += count
-        else:
-            pending = remember(out, cache, pending, i, cache_bits)
-            out[i] = cache[s - GREEN]
-            i += 1
-        p = bits.at - 8 * first
-    flush()
     bits.at = 8 * first + p
     if bits.at > bits.end:
         raise Corrupt("the data end too soon")
-    return out
+    at = np.array(starts)
+    if green.top < 256:
+        return literals(at)
+    symbols = symbols[at]
+    plain = symbols < 256
+    out = np.zeros(total, np.uint32)
+    out[plain] = literals(at[plain])
+    source = np.arange(total)
+    for i, count, back in copies:
+        source[i : i + count] -= back
+    asked = symbols >= GREEN
+    if asked.any():
+        key = cached(out, cache_bits)
+        key[asked] = symbols[asked] - GREEN
+        for i, count, back in copies:
+            repeat(key, i, count, back)
+        order = np.argsort(key.astype(np.uint16), kind="stable")
+        before = np.full(total, -1)
+        before[order[1:]] = np.where(key[order[1:]] == key[order[:-1]], order[:-1], -1)
+        if (before[asked] < 0).any():
+            return None
+        source[asked] = before[asked]
+    while not np.array_equal(further := source[source], source):
+        source = further
+    return out[source]
 
 
 # --- transforms. Pixels as (height, width, 4) of 8 bits: A, R, G, B.
@@ -475,21 +533,30 @@ class Writer:
         self.value |= value << self.n
         self.n += n
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """values of up to 64 bits, one after the other."""
+        if not len(values):
+            return
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        word, shift = starts >> 6, (starts & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        firsts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        out[word[firsts]] |= np.bitwise_or.reduceat(values << shift, firsts)
+        out[word[firsts] + 1] |= np.bitwise_or.reduceat((values >> np.uint64(1)) >> (np.uint64(63) - shift), firsts)
+        self.put(int.from_bytes(out.tobytes(), "little"), int(ends[-1]))
+
 
-def write_code(w: Writer, lengths: list[int], only: int | None = None) -> None:
+def write_code(w: Writer, lengths, only: int | None = None) -> None:
     """A prefix code; only: the one symbol, which then takes no bits."""
-    used = [i for i, n in enumerate(lengths) if n]
-    if only is not None:
-        if only < 256:
-            w.put(1 | 0 << 1 | 1 << 2 | only << 3, 11)
-            return
-        lengths, used = [0] * (only + 1), [only]
-        lengths[only] = 1
-    tokens, i, last = [], 0, used[-1] + 1
-    while i < last:
-        n, j = lengths[i], i
-        while j < last and lengths[j] == n:
-            j += 1
+    if only is not None and only < 256:
+        w.put(1 | 0 << 1 | 1 << 2 | only << 3, 11)
+        return
+    lengths = np.bincount([only], minlength=only + 1) if only is not None else np.asarray(lengths)
+    lengths = lengths[: int(np.flatnonzero(lengths)[-1]) + 1]
+    cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()]
+    tokens = []
+    for n, i, j in zip(lengths[cuts].tolist(), cuts, [*cuts[1:], len(lengths)], strict=True):
         run = j - i
         if not n:
             while run >= 3:
@@ -504,29 +571,25 @@ def write_code(w: Writer, lengths: list[int], only: int | None = None) -> None:
                 tokens.append((16, k - 3, 2))
                 run -= k
         tokens += [(n, 0, 0)] * run
-        i = j
-    counts = [0] * 19
-    for s, _, _ in tokens:
-        counts[s] += 1
-    if sum(c > 0 for c in counts) == 1:
+    if len(tokens) < 2:
+        raise ValueError("a code of one token has to be simple")
+    symbols, extra, n = np.array(tokens).T
+    counts = np.bincount(symbols, minlength=19)
+    if np.count_nonzero(counts) == 1:
         counts[0 if not counts[0] else 1] = 1  # a second symbol keeps the code complete
     own = code_lengths(counts, 7)
-    codes = {s: (c, n) for s, n, c in canonical(own)}
+    size, code = np.zeros(19, np.int64), np.zeros(19, np.uint64)
+    s, k, c = canonical(own)
+    size[s], code[s] = k, c
     stored = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
     w.put(0, 1)
     w.put(stored - 4, 4)
     for s in LENGTH_ORDER[:stored]:
-        w.put(own[s], 3)
-    if len(tokens) >= 2:
-        width = next(k for k in range(8) if len(tokens) - 2 < 1 << (2 + 2 * k))
-        w.put(1 | width << 1, 4)
-        w.put(len(tokens) - 2, 2 + 2 * width)
-    else:
-        w.put(0, 1)
-        raise ValueError("a code of one token has to be simple")
-    for s, extra, n in tokens:
-        w.put(*codes[s])
-        w.put(extra, n)
+        w.put(int(own[s]), 3)
+    width = next(k for k in range(8) if len(tokens) - 2 < 1 << (2 + 2 * k))
+    w.put(1 | width << 1, 4)
+    w.put(len(tokens) - 2, 2 + 2 * width)
+    w.put_all(code[symbols] | extra.astype(np.uint64) << size[symbols].astype(np.uint64), size[symbols] + n)
 
 
 def wrapped(payload: bytes) -> bytes:
@@ -534,43 +597,224 @@ def wrapped(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(payload) + 12) + b"WEBPVP8L" + struct.pack("<I", len(payload)) + payload
 
 
+def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix symbols of lengths or distances, their further bits, and the number of those."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), v & ((1 << n) - 1), n
+
+
+def repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches of LEAST pixels or more that came before, none overlapping:
+    runs of places whose next LEAST pixels were last seen at one distance."""
+    n = len(argb) - LEAST + 1
+    if n < 2:
+        return []
+    mixed = np.zeros(n, np.uint64)
+    for k in range(LEAST):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + argb[k : n + k]
+    order = np.argsort(mixed, kind="stable")
+    same = mixed[order[1:]] == mixed[order[:-1]]
+    at, last = order[1:][same], order[:-1][same]
+    for k in range(LEAST):
+        good = argb[at + k] == argb[last + k]
+        at, last = at[good], last[good]
+    if not len(at):
+        return []
+    back = np.zeros(n, np.int64)
+    back[at] = at - last
+    cuts = np.flatnonzero(np.diff(back)) + 1
+    begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]])
+    real = back[begin] > 0
+    out, done = [], 0
+    for i, j, d in zip(begin[real].tolist(), (end[real] + LEAST - 1).tolist(), back[begin[real]].tolist(), strict=True):
+        i = max(i, done)
+        while j - i >= LEAST:
+            k = min(j - i, 4096)
+            out.append((i, k, d))
+            i = done = i + k
+    return out
+
+
+def entropy(counts: np.ndarray) -> float:
+    c = counts[counts > 0]
+    return float((c * np.log2(c.sum() / c)).sum()) if len(c) else 0.0
+
+
+def again(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Whether each pixel is in a cache of the ones before it."""
+    order = np.argsort(cached(argb, cache_bits).astype(np.uint16), kind="stable")
+    own, hit = argb[order], np.zeros(len(argb), bool)
+    hit[order[1:]] = own[1:] == own[:-1]
+    return hit
+
+
+@functools.cache
+def near_codes(width: int) -> np.ndarray:
+    """By distance: the short code of it, or 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for code in range(len(NEAR), 0, -1):
+        out[distance(code, width)] = code
+    return out
+
+
+class Tokens:
+    """An image's pixels as literals, repeats and slots of a cache, their counts and the bits they may take."""
+
+    def __init__(self, argb: np.ndarray, width: int, copies: list[tuple[int, int, int]] | None = None, cache_bits: int = 0):
+        self.cache_bits, n = cache_bits, len(argb)
+        free = np.ones(n, bool)
+        if copies:
+            place, length, back = np.array(copies, np.int64).T
+            for i, k, _ in copies:
+                free[i : i + k] = False
+            near = near_codes(width)
+            short = near[np.minimum(back, len(near) - 1)] * (back < len(near))
+            self.place, self.long, self.far = place, prefixed(length), prefixed(np.where(short > 0, short, back + 120))
+        else:
+            self.place, self.long, self.far = NONE, (NONE, NONE, NONE), (NONE, NONE, NONE)
+        self.slot, self.key = NONE, NONE
+        if cache_bits:
+            hit = again(argb, cache_bits) & free
+            free &= ~hit
+            self.slot = np.flatnonzero(hit)
+            self.key = cached(argb[self.slot], cache_bits).astype(np.int64)
+        self.literal = np.flatnonzero(free)
+        px = argb[self.literal].astype(">u4").view(np.uint8).reshape(-1, 4)
+        self.a, self.r, self.g, self.b = px.T
+        self.greens = np.bincount(np.concatenate([self.g, self.long[0] + 256, self.key + GREEN]), minlength=GREEN + (1 << cache_bits if cache_bits else 0))
+        self.others = np.bincount(self.r, minlength=256) + np.bincount(self.b, minlength=256)
+        self.fars = np.bincount(self.far[0], minlength=40)
+        self.one = len(self.greens) == GREEN and not copies  # one code for the three channels
+        if self.one:
+            self.greens[:256] += self.others
+
+    def bits(self) -> float:
+        """Entropies, further bits and, by symbol, some for the codes themselves."""
+        codes = [(self.greens, 3)] if self.one else [(self.greens, 1), (self.others, 2), (self.fars, 1)]
+        return sum(entropy(c) + 4.5 * k * np.count_nonzero(c) for c, k in codes) + float(self.long[2].sum() + self.far[2].sum())
+
+    def write(self, w: Writer, main: bool) -> None:
+        w.put(1 | self.cache_bits << 1 if self.cache_bits else 0, 5 if self.cache_bits else 1)
+        w.put(0, int(main))  # one code group
+        head = Writer()
+        if self.one:
+            green = other = coder(head, self.greens)
+            w.put(head.value, head.n)
+        else:
+            green, other = coder(w, self.greens), coder(head, self.others)
+        w.put(head.value, head.n)
+        w.put(head.value, head.n)
+        alpha = coder(w, np.bincount(self.a, minlength=256))
+        far = coder(w, self.fars)
+        parts = [(self.literal, [green(self.g), other(self.r), other(self.b), alpha(self.a)])]
+        if len(self.slot):
+            parts.append((self.slot, [green(self.key + GREEN)]))
+        if len(self.place):
+            parts.append((self.place, [green(self.long[0] + 256), self.long[1:], far(self.far[0]), self.far[1:]]))
+        values, sizes = [], []
+        for places, fields in parts:
+            value, size = np.zeros(len(places), np.uint64), np.zeros(len(places), np.int64)
+            for v, n in fields:
+                value |= v.astype(np.uint64) << size.astype(np.uint64)
+                size = size + n
+            values.append(value)
+            sizes.append(size)
+        if len(parts) == 1:
+            w.put_all(values[0], sizes[0])
+        else:
+            order = np.argsort(np.concatenate([places for places, _ in parts]), kind="stable")
+            w.put_all(np.concatenate(values)[order], np.concatenate(sizes)[order])
+
+
+def coder(w: Writer, counts: np.ndarray):
+    """Writes a prefix code for the counts; gives (codes, their lengths) of an array of symbols."""
+    used = np.flatnonzero(counts)
+    size, code = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.uint64)
+    if len(used) < 2:
+        write_code(w, [], int(used[0]) if len(used) else 0)
+    else:
+        lengths = code_lengths(counts, 15)
+        write_code(w, lengths)
+        s, n, c = canonical(lengths)
+        size[s], code[s] = n, c
+    return lambda symbols: (code[symbols], size[symbols])
+
+
+def write_image(w: Writer, argb: np.ndarray, width: int, main: bool) -> None:
+    """Literals, repeats, or repeats and a cache, whichever should be smallest. The latter two are tried
+    where WORTH of the pixels lie in repeats, or twice as many are in the cache; else little is won."""
+    best = Tokens(argb, width)
+    if main:
+        copies = repeats(argb)
+        size = min(10, max(2, len(argb).bit_length() - 3))
+        tried = []
+        if sum(k for _, k, _ in copies) >= WORTH * len(argb):
+            tried = [(copies, 0), (copies, size)]
+        elif np.count_nonzero(again(argb, size)) >= 2 * WORTH * len(argb):
+            tried = [(copies, size)]
+        for own, cache_bits in tried:
+            made = Tokens(argb, width, own, cache_bits)
+            best = made if made.bits() < best.bits() else best
+    best.write(w, main)
+
+
 def encode_samples(rows: np.ndarray) -> bytes:
-    """rows: (height, 3 * width) bytes, R G B a pixel, without alpha: one prefix code for all channels."""
+    """rows: (height, 3 * width) bytes, R G B a pixel, without alpha."""
     height, width = rows.shape[0], rows.shape[1] // 3
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
-    w.put(0, 1 + 3 + 1 + 1 + 1)  # no alpha, version 0, no transform, no cache, no further groups
-    counts = np.bincount(rows.ravel(), minlength=256).tolist()
-    lengths = code_lengths(counts, 15)
-    used = [i for i, c in enumerate(counts) if c]
-    one = used[0] if len(used) == 1 else None
-    shared = Writer()
-    write_code(shared, lengths, one)
-    for _ in range(3):
-        w.put(shared.value, shared.n)
-    write_code(w, [], 255)
-    write_code(w, [], 0)
-    size = np.array(lengths, np.int64)
-    code = np.zeros(256, np.uint64)
-    for s, _, c in canonical(lengths):
-        code[s] = c
-    px = rows.reshape(-1, 3)
-    r, g, b = px[:, 0], px[:, 1], px[:, 2]
-    ng, nr = size[g], size[r]
-    value = code[g] | code[r] << ng.astype(np.uint64) | code[b] << (ng + nr).astype(np.uint64)
-    ends = np.cumsum(ng + nr + size[b]) + w.n
-    starts = np.concatenate([[w.n], ends[:-1]])
-    word, shift = starts >> 6, (starts & 63).astype(np.uint64)
-    out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-    firsts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-    at = word[firsts]
-    out[at] |= np.bitwise_or.reduceat(value << shift, firsts)
-    out[at + 1] |= np.bitwise_or.reduceat((value >> np.uint64(1)) >> (np.uint64(63) - shift), firsts)
-    whole = out.view(np.uint8)[: -(-int(ends[-1]) // 8)]
-    head = np.frombuffer(w.value.to_bytes(-(-w.n // 8), "little"), np.uint8)
-    if len(head) > len(whole):
-        whole = np.zeros(len(head), np.uint8)
-    whole[: len(head)] |= head
-    return wrapped(whole.tobytes())
+    w.put(0, 1 + 3)  # no alpha, version 0
+    px = rows.reshape(height, width, 3)
+    def argb(x: np.ndarray, alpha: int) -> np.ndarray:
+        x = x.reshape(-1, 3).astype(np.uint32)
+        return np.uint32(alpha << 24) | x[:, 0] << np.uint32(16) | x[:, 1] << np.uint32(8) | x[:, 2]
+
+    def cost(x: np.ndarray) -> float:
+        return entropy(np.bincount(x.ravel(), minlength=256))
+
+    costs = [math.inf] * 3
+    if np.count_nonzero(px[..., 0] == px[..., 1]) > WORTH * px[..., 0].size:  # else subtracting green spreads the values
+        less = px.copy()
+        less[..., ::2] -= px[..., 1:2]
+        costs[1] = cost(less)
+    if np.count_nonzero(px[1:] == px[:-1]) > WORTH * px.size:
+        above = px.copy()
+        above[1:] -= px[:-1]
+        above[0, 1:] -= px[0, :-1]
+        costs[2] = cost(above) + 100
+    whole = argb(px, 255)
+    most = min(256, len(whole) // 4)
+    table = np.unique(whole) if len(set(whole[:2048].tolist())) <= most else whole
+    if len(table) <= most:
+        size = 8 >> palette_bits(len(table))
+        index = np.searchsorted(table, whole).astype(np.uint32).reshape(height, width)
+        across = -(-width * size // 8)
+        index = np.pad(index, ((0, 0), (0, across * (8 // size) - width))).reshape(height, across, 8 // size)
+        index = (index << (np.arange(8 // size, dtype=np.uint32) * np.uint32(size))).sum(2, dtype=np.uint32).ravel()
+        costs.append(entropy(np.bincount(index)) + 24 * len(table))
+    if min(costs) < math.inf:
+        costs[0] = cost(px)
+    kind = int(np.argmin(costs))
+    if kind == 3:
+        w.put(1 | 3 << 1 | (len(table) - 1) << 3, 11)
+        parts = table.astype(">u4").view(np.uint8).reshape(-1, 4)
+        steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8))
+        write_image(w, joined(steps), len(table), False)
+        main = np.uint32(255 << 24) | index << np.uint32(8)
+    elif kind == 2:
+        step = min(9, max(2, (max(height, width) - 1).bit_length()))
+        across = -(-width >> step)
+        w.put(1 | 0 << 1 | (step - 2) << 3, 6)
+        write_image(w, np.full(across * -(-height >> step), 2 << 8, np.uint32), across, False)  # each block from above
+        main, across = argb(above, 0), width
+    else:
+        if kind:
+            w.put(1 | 2 << 1, 3)
+        main, across = argb(less, 255) if kind else whole, width
+    w.put(0, 1)
+    write_image(w, main, across, True)
+    return wrapped(w.value.to_bytes(-(-w.n // 8), "little"))

@@ -64,9 +64,9 @@ class Out:
         for _ in range(3):
             self.code([8] * 256)
         self.code([5] * 24 + [6] * 16)
-        codes = {s: (c, n) for s, n, c in webp.canonical(green)}
-        flat = {s: (c, n) for s, n, c in webp.canonical([8] * 256)}
-        far = {s: (c, n) for s, n, c in webp.canonical([5] * 24 + [6] * 16)}
+        codes = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in webp.canonical(green)), strict=True)}
+        flat = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in webp.canonical([8] * 256)), strict=True)}
+        far = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in webp.canonical([5] * 24 + [6] * 16)), strict=True)}
 
         def prefix(value):
             if value <= 4:
@@ -309,3 +309,64 @@ def test_texts(spark):
     assert [rows[2][c] for c in ("n_bytes", "payload_bytes", "media_sha256")] == [rows[3][c] for c in ("n_bytes", "payload_bytes", "media_sha256")]
     assert rows[1][1:] == rows[None][1:]
     assert media.store_texts(df.limit(0)).count() == 0
+
+
+def kinds_of(monkeypatch):
+    """What the encoder chose: (transform flag and kind, cache bits, repeats) of each main image."""
+    seen, write = [], webp.Tokens.write
+
+    def spy(self, w, main):
+        if main:
+            seen.append((self.cache_bits > 0, len(self.place) > 0))
+        write(self, w, main)
+
+    monkeypatch.setattr(webp.Tokens, "write", spy)
+    return seen
+
+
+def encoder_cases():
+    r = random.Random(5)
+    words = [bytes(r.choices(range(97, 123), k=r.randint(2, 9))) for _ in range(600)]
+    prose = b" ".join(r.choices(words, k=3000))
+    line = b" ".join(r.choices(words, k=200))
+    grey = bytes(x for v in r.choices(range(250), k=64 * 40) for x in (v + r.randrange(4), v, v + r.randrange(3)))
+    few = b"".join(r.choices([b"abc", b"xyz", b"mno", b"   "], k=64 * 40))
+    step = [r.randrange(256) for _ in range(192)]
+    ramp = bytes((x + y) % 256 if x % 2 else x for y in range(60) for x in step)
+    common = [bytes(r.choices(range(256), k=3)) for _ in range(400)]
+    return {
+        "prose": prose, "repeats": line * 9 + prose[:500] + line * 3, "long repeat": line + b"-" * 30000 + line,
+        "grey": grey, "few colours": few, "one colour": b" " * 192 * 3, "ramp": ramp, "cache": b"".join(r.choices(common, k=5000)), "noise": r.randbytes(192 * 50),
+    }
+
+
+def test_encoder_uses_each_part_of_the_format(monkeypatch):
+    seen, used = kinds_of(monkeypatch), set()
+    by_arrays = webp.by_arrays
+    for name, text in encoder_cases().items():
+        payload = text + b" " * (-len(text) % 192)
+        stored = media.store(payload)
+        body = next(media.files(stored))[25:]
+        used.add(("transform", (body[0] >> 1 & 3) if body[0] & 1 else None))
+        assert media.load(stored).tobytes() == payload, name
+        with monkeypatch.context() as m:  # token by token, the same
+            m.setattr(webp, "by_arrays", lambda *a: None)
+            assert media.load(stored).tobytes() == payload, name
+    assert webp.by_arrays is by_arrays
+    assert {(True, False), (False, False)} <= set(seen) and any(again for _, again in seen), seen
+    assert {("transform", k) for k in (None, 0, 2, 3)} <= used, used
+
+
+def test_unset_slot_of_the_cache_is_black():
+    """A slot that is read before it is set has the colour 0; arrays leave such images to the bit reader."""
+    w = webp.Writer()
+    w.put(0x2F | (8 - 1) << 8 | (4 - 1) << 22 | 1 << 36, 8 + 14 + 14 + 1 + 3)
+    w.put(0, 1)
+    w.put(1 | 2 << 1, 5)
+    w.put(0, 1)
+    webp.write_code(w, np.bincount([7, webp.GREEN + 3]))
+    for only in (1, 2, 255, 0):
+        webp.write_code(w, [], only)
+    w.put(0b1, 32)  # one slot never set, then literals
+    px = webp.decode(webp.wrapped(w.value.to_bytes(-(-w.n // 8), "little")))
+    assert px[0, 0].tolist() == [0, 0, 0, 0] and px.reshape(-1, 4)[1:].tolist() == [[255, 1, 7, 2]] * 31
