@@ -104,8 +104,8 @@ def annotations_frame(annots: DataFrame, start: Column) -> DataFrame:
 
 def annotations_in_metadata(epochs: DataFrame, annots: DataFrame, width: float = 600.0) -> DataFrame:
     """rec, epoch and the sorted descriptions of the annotations that touch it, empty where none does.
-    epochs: rec, epoch, low, high."""
-    hit = A.overlap_join(epochs, annots.select("rec", "description", F.col("onset").alias("a"), (F.col("onset") + F.col("duration")).alias("z")), width)
+    epochs: rec, epoch, zero, start, stop."""
+    hit = A.annotations_per_epoch(epochs, annots, width)
     found = hit.groupBy("rec", "epoch").agg(F.array_join(F.array_sort(F.collect_set("description")), ",").alias("descriptions"))
     return epochs.select("rec", "epoch").join(found, ["rec", "epoch"], "left").fillna("", ["descriptions"])
 

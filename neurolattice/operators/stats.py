@@ -59,21 +59,38 @@ def drawn(draw: Column, number: Column) -> Column:
     return (x * x + draw.cast("long") * 7919) % prime * 16807 % prime
 
 
-def permutation_t(df: DataFrame, n: int, number: str = "number") -> DataFrame:
-    """ch, t, t_value, p_value by sign flips and the maximum statistic (two tails); the observed order is
-    draw 0 and counts. An observation's sign comes from its own number, so observations of any number
-    need no table of signs; sums of each draw are aggregated before the shuffle."""
+def flipped(df: DataFrame, n: int, number: str = "number") -> DataFrame:
+    """perm, ch, t, t_value under n sign flips; the observed order is draw 0. An observation's sign comes
+    from its own number, so observations of any number need no table of signs; sums of each draw are
+    aggregated before the shuffle."""
     cells = df.groupBy(*CELL).agg(F.sum(F.col("value") ** 2).alias("q"), F.count("*").alias("n"))
     each = df.select(*CELL, F.col(number).alias("number"), "value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
     flip = (F.col("perm") > 0) & (F.floor(drawn(F.col("perm"), F.col("number")) / 65536) % 2 == 1)
     sums = each.groupBy("perm", *CELL).agg(F.sum(F.when(flip, -F.col("value")).otherwise(F.col("value"))).alias("s"))
     m = F.col("s") / F.col("n")
     t = m / F.sqrt((F.col("q") - F.col("n") * m * m) / (F.col("n") - 1) / F.col("n"))
-    stats = sums.join(cells, list(CELL)).select("perm", *CELL, t.alias("t_value"))
-    top = stats.groupBy("perm").agg(F.max(F.abs("t_value")).alias("top"))
+    return sums.join(cells, list(CELL)).select("perm", *CELL, t.alias("t_value"))
+
+
+def share_over(observed: DataFrame, all_: DataFrame, value: str, n: int) -> DataFrame:
+    """observed with p_value: the share of n draws whose largest |value| in all_ (perm, value) reaches its own."""
+    top = all_.groupBy("perm").agg(F.max(F.abs(value)).alias("top"))
     tops = top.agg(F.sort_array(F.collect_list("top")).alias("tops"))  # one number a permutation
-    over = F.size(F.filter("tops", lambda x: x >= F.abs(F.col("t_value")) * (1 - 1e-12)))
-    return stats.filter("perm = 0").crossJoin(F.broadcast(tops)).select(*CELL, "t_value", (over / F.size("tops")).alias("p_value"))
+    over = F.size(F.filter("tops", lambda x: x >= F.abs(F.col(value)) * (1 - 1e-12)))
+    return observed.crossJoin(F.broadcast(tops)).withColumn("p_value", over / n).drop("tops")
+
+
+def permutation_t(df: DataFrame, n: int, number: str = "number") -> DataFrame:
+    """ch, t, t_value, p_value by sign flips and the maximum statistic (two tails); the observed order counts."""
+    stats = flipped(df, n, number)
+    return share_over(stats.filter("perm = 0"), stats, "t_value", n).select(*CELL, "t_value", "p_value")
+
+
+def cluster_test(df: DataFrame, n: int, threshold: float, number: str = "number") -> DataFrame:
+    """ch, sign, start, stop, mass, p_value of the observed clusters over t; p_value compares a cluster's
+    mass with the largest one of each draw, none counting as 0."""
+    found = clusters(flipped(df, n, number), threshold, ("perm", "ch"))
+    return share_over(found.filter("perm = 0"), found, "mass", n).drop("perm")
 
 
 def bonferroni(df: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -96,12 +113,12 @@ def fdr(df: DataFrame, key: list[str], alpha: float = 0.05, method: str = "indep
     return all_.select(*df.columns, F.least(F.min(F.col("p") / F.col("e")).over(back), F.lit(1.0)).alias("corrected"), F.coalesce(F.col("rank") <= last, F.lit(False)).alias("reject"))
 
 
-def clusters(cells: DataFrame, threshold: float) -> DataFrame:
-    """ch, sign, start, stop, mass: runs over t of values beyond the threshold (strictly), per channel."""
+def clusters(cells: DataFrame, threshold: float, keys: tuple[str, ...] = ("ch",)) -> DataFrame:
+    """keys, sign, start, stop, mass: runs over t of values beyond the threshold (strictly), per channel."""
     own = cells.withColumn("sign", F.when(F.col("t_value") > threshold, 1).when(F.col("t_value") < -threshold, -1)).filter("sign IS NOT NULL")
-    w = Window.partitionBy("ch", "sign").orderBy("t")
+    w = Window.partitionBy(*keys, "sign").orderBy("t")
     runs = own.withColumn("island", F.col("t") - F.row_number().over(w))
-    return runs.groupBy("ch", "sign", "island").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.sum("t_value").alias("mass")).drop("island")
+    return runs.groupBy(*keys, "sign", "island").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.sum("t_value").alias("mass")).drop("island")
 
 
 #: How many of 1,000 draws take an observation 0, 1, 2 ... times at most: the Poisson law of mean 1.

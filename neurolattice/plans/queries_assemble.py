@@ -10,6 +10,7 @@ from ..operators import assemble as S
 from ..operators import channels as C
 from ..operators import epochs as P
 from . import views as V
+from .queries_events import WINDOWS, windows
 from .queries_more import POINTS, points
 from .registry import query, r6
 
@@ -135,6 +136,11 @@ def _(spark, d):
     return own.select("event_id", F.unix_micros("onset").alias("onset_us"), "duration", "description")
 
 
+@query("add_annotations_to_metadata", f"WITH {WINDOWS}, h AS (SELECT e.rec, epoch, string_agg(DISTINCT description, ',' ORDER BY description) AS descriptions FROM epo e JOIN ann a ON a.rec = e.rec AND ((start >= onset AND start < fin) OR (stop > onset AND stop <= fin) OR (start <= onset AND stop >= fin)) GROUP BY ALL) SELECT e.rec, e.epoch, coalesce(descriptions, '') AS descriptions FROM epo e LEFT JOIN h ON h.rec = e.rec AND h.epoch = e.epoch", "annots")
+def _(spark, d):
+    return S.annotations_in_metadata(*windows(spark, d))
+
+
 @query("add_events", "SELECT ch, samp, code + CASE WHEN samp % 3 = 0 THEN 8 ELSE 0 END + CASE WHEN samp % 6 = 0 THEN 16 ELSE 0 END AS code FROM signal", "signal")
 def _(spark, d):
     own = V.signal(spark, d).select("ch", "samp", "code")
