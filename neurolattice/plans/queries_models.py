@@ -97,8 +97,10 @@ def _(spark, d):
     return rounded(C.mix(V.epochs(spark, d), np.cos(np.outer(np.arange(5), np.arange(8) + 1)).tolist()))
 
 
-@query("cosine_score", "SELECT t, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 6) + 0.0 AS score FROM epochs a JOIN epochs b USING (ch, t) WHERE a.epoch = 1 AND b.epoch = 2 GROUP BY t", "epochs")
+@query("cosine_score", "WITH a AS (SELECT condition, ch, t, avg(value) AS a FROM epochs GROUP BY ALL), b AS (SELECT ch, t, avg(value) AS b FROM epochs GROUP BY ALL) SELECT condition, t, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) + 0.0 AS score FROM a JOIN b USING (ch, t) GROUP BY ALL", "epochs")
 def _(spark, d):
+    """Each condition's average against that of all trials."""
     own = V.epochs(spark, d)
-    pair = own.filter("epoch = 1").select("ch", "t", F.col("value").alias("a")).join(own.filter("epoch = 2").select("ch", "t", F.col("value").alias("b")), ["ch", "t"])
-    return rounded(pair.groupBy("t").agg((F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2))).alias("score")), "score")
+    each = own.groupBy("condition", "ch", "t").agg(F.avg("value").alias("a"))
+    pair = each.join(own.groupBy("ch", "t").agg(F.avg("value").alias("b")), ["ch", "t"])
+    return rounded(pair.groupBy("condition", "t").agg((F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2))).alias("score")), "score")

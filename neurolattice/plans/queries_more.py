@@ -50,9 +50,10 @@ def _(spark, d):
     return points(spark, d).select("id", dist.alias("dist")).filter("dist <= 3.3").withColumn("dist", r6(F.col("dist")))
 
 
-@query("stc_near_sensors", f"WITH {NEAR} SELECT \"left\", t, round(sum((1 - dist / 2.05) * value), 6) + 0.0 AS value FROM pairs JOIN epochs ON epoch = 1 AND ch + 1 = \"right\" GROUP BY ALL", "epochs")
+@query("stc_near_sensors", f"WITH {NEAR}, e AS (SELECT ch, t, avg(value) AS value FROM epochs GROUP BY ALL) SELECT \"left\", t, round(sum((1 - dist / 2.05) * value), 6) + 0.0 AS value FROM pairs JOIN e ON ch + 1 = \"right\" GROUP BY ALL", "epochs")
 def _(spark, d):
-    values = V.epochs(spark, d).filter("epoch = 1").select((F.col("ch") + 1).alias("id"), "t", "value")
+    """The average over all trials."""
+    values = V.epochs(spark, d).groupBy((F.col("ch") + 1).alias("id"), "t").agg(F.avg("value").alias("value"))
     return rounded(G.near_sensors(near(spark, d), values, 2.05))
 
 
