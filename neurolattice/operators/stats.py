@@ -99,18 +99,32 @@ def bonferroni(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select(*df.columns, p.alias("corrected"), (p < alpha).alias("reject"))  # one row
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n, from 1,000 on by its expansion, which is exact to the last digits there."""
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(1000).cast("long"))), F.lit(0.0), lambda a, x: a + 1 / x)
+    return F.when(n <= 1000, few).otherwise(F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n))
+
+
 def fdr(df: DataFrame, key: list[str], alpha: float = 0.05, method: str = "indep") -> DataFrame:
-    """Benjamini-Hochberg, or Benjamini-Yekutieli ("negcorr"). Ranks are of all tests: one sort."""
-    ordered = Window.orderBy("p", *key)
-    ranked = df.withColumn("rank", F.row_number().over(ordered))
-    n = df.agg(F.count("*").alias("n"))
-    if method == "negcorr":
-        n = n.withColumn("cm", F.aggregate(F.sequence(F.lit(1).cast("long"), "n"), F.lit(0.0), lambda a, x: a + 1 / x))
-    ecdf = F.col("rank") / F.col("n") / (F.col("cm") if method == "negcorr" else 1)
-    all_ = ranked.crossJoin(F.broadcast(n)).withColumn("e", ecdf)  # one row
-    back = Window.orderBy(F.desc("rank"))
-    last = F.max(F.when(F.col("p") < F.col("e") * alpha, F.col("rank"))).over(Window.partitionBy())
-    return all_.select(*df.columns, F.least(F.min(F.col("p") / F.col("e")).over(back), F.lit(1.0)).alias("corrected"), F.coalesce(F.col("rank") <= last, F.lit(False)).alias("reject"))
+    """Benjamini-Hochberg, or Benjamini-Yekutieli ("negcorr"), with corrected and reject.
+
+    Equal p share a result, so they are counted first. Distinct ones are dealt into buckets of 1/256 of an
+    octave; ranks and minima go on from bucket to bucket, whose number has a bound (under 300,000), so only
+    those are sorted as a whole. Rows without p are no tests: corrected is null and reject false."""
+    each = df.filter("p IS NOT NULL").groupBy("p").agg(F.count("*").alias("_c")).withColumn("_b", F.when(F.col("p") > 0, F.floor(F.log2("p") * 256)).otherwise(-300_000))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("_b").agg(F.sum("_c").alias("_s"))
+    sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_n"))
+    own = Window.partitionBy("_b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.col("_before") + F.sum("_c").over(own)) / F.col("_n") / (harmonic(F.col("_n")) if method == "negcorr" else 1)
+    ranked = each.join(sums, "_b").withColumn("_e", share).withColumn("_q", F.col("p") / F.col("_e"))
+    later = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    after = ranked.groupBy("_b").agg(F.min("_q").alias("_m")).select("_b", F.min("_m").over(later).alias("_after"))
+    down = Window.partitionBy("_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    last = ranked.agg(F.max(F.when(F.col("p") < F.col("_e") * alpha, F.col("p"))).alias("_last"))
+    found = ranked.join(after, "_b").select("p", F.least(F.min("_q").over(down), F.col("_after"), F.lit(1.0)).alias("corrected"))
+    found = found.crossJoin(F.broadcast(last)).select("p", "corrected", F.coalesce(F.col("p") <= F.col("_last"), F.lit(False)).alias("reject"))  # one row
+    return df.join(found, "p", "left").select(*df.columns, "corrected", F.coalesce("reject", F.lit(False)).alias("reject"))
 
 
 def clusters(cells: DataFrame, threshold: float, keys: tuple[str, ...] = ("ch",)) -> DataFrame:

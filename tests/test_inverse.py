@@ -107,3 +107,21 @@ def test_muscle_gaps_and_empty(spark):
     assert found == [(10, 15), (30, 31)]
     assert A.annotate_muscle(df.limit(0), 3.0, 2).count() == 0
     assert A.concatenate_raws(df.withColumnRenamed("ch", "rec").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("method", ["indep", "negcorr"])
+def test_fdr(spark, method):
+    """Against the definition, with ties, zeros, ones, a null, and more than 1,000 tests."""
+    p = np.round(RNG.random(1500) ** 3, 3)
+    p[:5], p[5:200] = 0.0, 1.0
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(9999, None)], "i long, p double")
+    out = S.fdr(df, ["i"], 0.05, method).toPandas().set_index("i")
+    order = np.argsort(p, kind="stable")
+    e = np.arange(1, 1501) / 1500 / ((1 / np.arange(1, 1501)).sum() if method == "negcorr" else 1)
+    want, reject = np.empty(1500), np.empty(1500, bool)
+    want[order] = np.minimum(np.minimum.accumulate((p[order] / e)[::-1])[::-1], 1)
+    good = np.flatnonzero(p[order] < e * 0.05)
+    reject[order] = np.arange(1500) <= (good.max() if len(good) else -1)
+    assert np.allclose(out.loc[range(1500), "corrected"], want) and (out.loc[range(1500), "reject"].to_numpy() == reject).all()
+    assert np.isnan(out.loc[9999, "corrected"]) and not out.loc[9999, "reject"]
+    assert S.fdr(df.limit(0), ["i"]).count() == 0
