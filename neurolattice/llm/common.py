@@ -98,3 +98,13 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+#: CRC-32 over an array of bytes; its table is made from the reversed polynomial.
+CRC_SQL = """crc_table AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes; crc_table has to be in scope as a table of one row."""
+    raw = f"hex(encode({text}))"
+    return f"xor(list_reduce(range(0, (length({raw}) // 2)::BIGINT), lambda c, i: xor(c >> 8, t[1 + (xor(c, ('0x' || substr({raw}, (2 * i + 1)::BIGINT, 2))::BIGINT) & 255)]), 4294967295::BIGINT), 4294967295)"

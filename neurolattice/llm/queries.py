@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lattice_lm, line_dedup, media, minhash, mixing, packing, sharding, toxicity, url_filter
+from . import exact_dedup, lattice_lm, line_dedup, media, merkle, minhash, mixing, neighbours, packing, sharding, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -54,5 +54,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash)}
-ORACLE = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_line_dedup, op3_mixing, op4_lattice_lm, op5_sharding, op6_toxicity, op7_packing, op8_exact_dedup, op9_url_filter, op10_minhash, op11_neighbours, op12_merkle, op13_spelling)}
+ORACLE = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
