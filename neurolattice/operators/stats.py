@@ -3,6 +3,11 @@ grouped aggregates; what couples the cells (hats, maximum statistics) is one mor
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,17 +64,72 @@ def drawn(draw: Column, number: Column) -> Column:
     return (x * x + draw.cast("long") * 7919) % prime * 16807 % prime
 
 
+def hashed(number: np.ndarray, n: int) -> np.ndarray:
+    """drawn for observations x draws 0 to n - 1."""
+    prime, draw = (1 << 31) - 1, np.arange(n, dtype=np.int64)
+    x = (number.astype(np.int64)[:, None] % prime * 48271 + draw * 104729 + 1) % prime
+    return (x * x + draw * 7919) % prime * 16807 % prime
+
+
+def grouped_sums(df: DataFrame, n: int, number: str, weights: Callable[[np.ndarray], np.ndarray] | str, groups: int) -> DataFrame:
+    """perm, k, ch, t, s: for each draw and group k, the sum of the values of a cell. weights: a function of
+    observations' numbers that gives observations x (n * groups), or the name of a column with an observation's
+    row of it (bytes, group numbers by draw). Observations are gathered by cell in Arrow batches and multiplied
+    by the matrix of their weights; a task sends on one row a cell, draw and group, not one a value and draw."""
+    given = isinstance(weights, str)
+    columns = [*CELL, F.col(number).cast("long").alias("number"), F.col("value").cast("double").alias("value")]
+    rows = df.select(*columns, *([weights] if given else []))
+    kinds = dict(rows.dtypes)
+    width, limit = n * groups, max(1, (1 << 22) // (n * groups))
+
+    def flush(cells: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        own = list(cells)
+        again = np.repeat(np.arange(len(own)), width)
+        draw, group = np.divmod(np.tile(np.arange(width), len(own)), groups)
+        names = [pa.array([c[i] for c in own]).take(pa.array(again)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(draw), pa.array(group), *names, pa.array(np.concatenate([cells[c] for c in own]))], ["perm", "k", *CELL, "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, limit):
+                batch = whole.slice(at, limit)
+                values = batch.column("value").to_numpy(zero_copy_only=False)
+                if given:
+                    picked = np.frombuffer(b"".join(batch.column(weights).to_pylist()), np.uint8).reshape(-1, n)
+                    w = (picked[:, :, None] == np.arange(groups)).reshape(len(picked), width).astype(float)
+                else:
+                    w = weights(batch.column("number").to_numpy())
+                who = pd.MultiIndex.from_arrays([batch.column(c).to_numpy(zero_copy_only=False) for c in CELL])
+                code, names = who.factorize()
+                order = np.argsort(code, kind="stable")
+                edges = np.flatnonzero(np.diff(code[order], prepend=-1))
+                sums = np.add.reduceat(w[order] * values[order, None], edges, axis=0)
+                for name, s in zip(names, sums, strict=True):
+                    name = tuple(x.item() if hasattr(x, "item") else x for x in name)
+                    cells[name] = cells[name] + s if name in cells else s
+            if len(cells) * width > 1 << 22:
+                yield flush(cells)
+                cells = {}
+        if cells:
+            yield flush(cells)
+
+    parts = rows.mapInArrow(run, f"perm long, k long, ch {kinds['ch']}, t {kinds['t']}, s double")
+    return parts.groupBy("perm", "k", *CELL).agg(F.sum("s").alias("s"))
+
+
+def signs(n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The sign of an observation in each of n draws, by the rule of stats.drawn; draw 0 has them all as they are."""
+    return lambda number: np.where((np.arange(n) > 0) & (hashed(number, n) // 65536 % 2 == 1), -1.0, 1.0)
+
+
 def flipped(df: DataFrame, n: int, number: str = "number") -> DataFrame:
-    """perm, ch, t, t_value under n sign flips; the observed order is draw 0. An observation's sign comes
-    from its own number, so observations of any number need no table of signs; sums of each draw are
-    aggregated before the shuffle."""
+    """perm, ch, t, t_value under n sign flips; the observed order is draw 0. An observation's sign comes from its
+    own number, so observations of any number need no table of signs."""
     cells = df.groupBy(*CELL).agg(F.sum(F.col("value") ** 2).alias("q"), F.count("*").alias("n"))
-    each = df.select(*CELL, F.col(number).alias("number"), "value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
-    flip = (F.col("perm") > 0) & (F.floor(drawn(F.col("perm"), F.col("number")) / 65536) % 2 == 1)
-    sums = each.groupBy("perm", *CELL).agg(F.sum(F.when(flip, -F.col("value")).otherwise(F.col("value"))).alias("s"))
     m = F.col("s") / F.col("n")
     t = m / F.sqrt((F.col("q") - F.col("n") * m * m) / (F.col("n") - 1) / F.col("n"))
-    return sums.join(cells, list(CELL)).select("perm", *CELL, t.alias("t_value"))
+    return grouped_sums(df, n, number, signs(n), 1).join(cells, list(CELL)).select("perm", *CELL, t.alias("t_value"))
 
 
 def share_over(observed: DataFrame, all_: DataFrame, value: str, n: int) -> DataFrame:
@@ -139,13 +199,18 @@ def clusters(cells: DataFrame, threshold: float, keys: tuple[str, ...] = ("ch",)
 POISSON = (368, 736, 920, 981, 996, 999)
 
 
+def taken(n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """How often each of n draws takes an observation."""
+    return lambda number: (hashed(number, n) // 65536 % 1000 >= np.array(POISSON)[:, None, None]).sum(0).astype(float)
+
+
 def bootstrap_ci(df: DataFrame, n: int, number: str = "number", ci: float = 0.95) -> DataFrame:
     """The percentile interval of n resampled means of each cell. How often a draw takes an observation
     comes from the observation's own number (Poisson resampling), so nothing is broadcast."""
-    each = df.select(*CELL, "value", F.col(number).alias("number"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("boot"))
-    x = F.floor(drawn(F.col("boot"), F.col("number")) / 65536) % 1000
-    each = each.withColumn("times", sum((F.when(x >= limit, 1).otherwise(0) for limit in POISSON), F.lit(0)))
-    means = each.groupBy("boot", *CELL).agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
+    weights = taken(n)
+    sums = grouped_sums(df, n, number, weights, 1)
+    times = grouped_sums(df.withColumn("value", F.lit(1.0)), n, number, weights, 1).withColumnRenamed("s", "times")
+    means = sums.join(times, ["perm", "k", *CELL]).select(*CELL, (F.col("s") / F.col("times")).alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return means.groupBy(*CELL).agg(q.alias("q")).select(*CELL, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None, views: str = ""):
             ctes = [f"{v} AS ({VIEWS[v]})" for v in views.split()]
             body = sql.strip()
             if ctes:
-                body = "WITH " + ", ".join(ctes) + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)
+                again = body[:15].upper() == "WITH RECURSIVE "
+                body = ("WITH RECURSIVE " if again else "WITH ") + ", ".join(ctes) + (", " + body[15 if again else 5 :] if body[:5].upper() == "WITH " else " " + body)
             ORACLE[name] = body
         return build
 
@@ -47,4 +48,4 @@ def r6(column):
     return F.round(column, 6) + F.lit(0.0)
 
 
-from . import queries_assemble, queries_events, queries_inverse, queries_kernels, queries_models, queries_more, queries_signal, queries_stats  # noqa: E402, F401
+from . import queries_assemble, queries_clusters, queries_events, queries_inverse, queries_kernels, queries_models, queries_more, queries_signal, queries_stats  # noqa: E402, F401
