@@ -1,6 +1,6 @@
 """A Merkle manifest of a dataset: a tree for each group of rows, and one over the groups' roots.
 
-Leaves are hashed where rows are read and sorted by group and key as one range-partitioned RDD; range
+Leaves are hashed where rows are read, written as a narrow table, and sorted by group and key as one range-partitioned RDD; range
 bounds are within groups too, so a hot group spreads. Then
   1. each partition counts the rows of its first and last group; from these counts (one short row a
      partition, the only thing that the driver sees) follow the offset of its first group in that
@@ -204,7 +204,7 @@ def manifest(rows: DataFrame, group: str = "lang", key: str = "doc_id", leaf: st
     subroot, root and proof: for each level from the leaf to the root, the run's digests before and after."""
     spark = rows.sparkSession
     names = [group, key, leaf, *keep]
-    flat = rows.select(*[F.col(f"`{c}`") for c in names])
+    flat = written(rows.select(*[F.col(f"`{c}`") for c in names]))  # so leaves are hashed once, not again for the range bounds
     ordered = flat.repartitionByRange(*[F.col(f"`{c}`") for c in names]).sortWithinPartitions(*[F.col(f"`{c}`") for c in names])
     blocks = ordered.rdd.mapPartitions(lambda part: [Block(part)])
     many = blocks.getNumPartitions()
