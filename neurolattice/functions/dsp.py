@@ -114,12 +114,20 @@ def butterworth(order: int, sfreq: float, low: float | None, high: float | None)
     return zd, (fs2 + p) / (fs2 - p), k
 
 
+def ringing(poles: np.ndarray, tol: float = 1e-14) -> int:
+    """Samples until what poles leave of an impulse is under tol."""
+    slow = float(np.abs(poles).max(initial=0.0))
+    if slow >= 1:
+        raise ValueError("the filter does not settle")
+    return 1 if slow < tol else int(math.ceil(math.log(tol) / math.log(slow))) + 1
+
+
 def iir(x: np.ndarray, sfreq: float, low: float | None, high: float | None, order: int = 4, zero_phase: bool = True) -> np.ndarray:
     """Forward and backward (or only forward) Butterworth filtering, in the frequency domain of a padded signal."""
     z, p, k = butterworth(order, sfreq, low, high)
     pad = min(len(x) - 1, 3 * (2 * order + 1) * 10)
     y = reflect_pad(x, pad)
-    n = fft_length(2 * len(y) + 256)
+    n = fft_length(len(y) + 2 * ringing(p))
     w = np.exp(2j * np.pi * np.fft.rfftfreq(n))
     h = k * np.prod(w[:, None] - z, 1) / np.prod(w[:, None] - p, 1)
     out = np.fft.irfft(np.fft.rfft(y, n) * (np.abs(h) ** 2 if zero_phase else h), n)

@@ -1,6 +1,6 @@
-"""Kernels on whole channels, distributed by their keys: a channel's samples become one sorted array
-row, and workers run the kernel on the rows of an Arrow batch. Recordings are the unit of scale; a
-channel is one array in the worker."""
+"""Kernels that need whole channels (transforms over all samples, scans with a threshold of the maximum),
+distributed by their keys: a channel's samples become one sorted array row, and workers run the kernel on the
+rows of an Arrow batch. Kernels of bounded reach are in blocks.py, where no row holds a channel."""
 
 from __future__ import annotations
 
@@ -49,11 +49,6 @@ def per_channel(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], keys:
     return table_of(df, run, f"{order} long, value double", keys, order, with_order=True)
 
 
-def filter_data(df: DataFrame, sfreq: float, low: float | None, high: float | None, **where) -> DataFrame:
-    h = dsp.design_fir(sfreq, low, high)
-    return per_channel(df, lambda x: dsp.fir(x, h), **where)
-
-
 def hilbert(df: DataFrame, **where) -> DataFrame:
     def kernel(x: np.ndarray) -> dict:
         z = dsp.hilbert(x)
@@ -62,33 +57,14 @@ def hilbert(df: DataFrame, **where) -> DataFrame:
     return table_of(df, kernel, "i long, re double, im double, envelope double", **where)
 
 
-def psd(df: DataFrame, sfreq: float, method: str = "welch", n_fft: int = 256, overlap: int = 0, average: str = "mean", **where) -> DataFrame:
+def multitaper(df: DataFrame, sfreq: float, **where) -> DataFrame:
     def kernel(x: np.ndarray) -> dict:
-        f, p = dsp.welch(x, sfreq, n_fft, overlap, average) if method == "welch" else dsp.multitaper(x, sfreq)
+        f, p = dsp.multitaper(x, sfreq)
         return {"freq": f, "power": p}
 
     return table_of(df, kernel, "freq double, power double", **where)
 
 
-def tfr_morlet(df: DataFrame, sfreq: float, freqs: list[float], n_cycles: float = 7.0, **where) -> DataFrame:
-    """freq, i, re, im of each channel; powers and phase locking are aggregates of it."""
-    waves = {f: dsp.morlet(sfreq, f, n_cycles) for f in freqs}
-
-    def kernel(x: np.ndarray) -> dict:
-        z = [dsp.cwt(x, w) for w in waves.values()]
-        return {"freq": np.repeat(list(waves), len(x)), "i": np.tile(np.arange(len(x)), len(waves)), "re": np.concatenate(z).real, "im": np.concatenate(z).imag}
-
-    return table_of(df, kernel, "freq double, i long, re double, im double", **where)
-
-
-def stft(df: DataFrame, size: int, step: int, **where) -> DataFrame:
-    def kernel(x: np.ndarray) -> dict:
-        s = dsp.stft(x, size, step)
-        return {"bin": np.repeat(np.arange(s.shape[0]), s.shape[1]), "step": np.tile(np.arange(s.shape[1]), s.shape[0]), "re": s.real.ravel(), "im": s.imag.ravel()}
-
-    return table_of(df, kernel, "bin long, step long, re double, im double", **where)
-
-
 def events_of(df: DataFrame, find: Callable[[np.ndarray], np.ndarray], **where) -> DataFrame:
     """at: the positions that find returns, for each channel."""
     return table_of(df, lambda x: {"at": find(x)}, "at long", **where)

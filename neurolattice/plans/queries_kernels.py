@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from ..operators import blocks as B
 from ..operators import kernels as K
 from . import views as V
 from .registry import query, r6
@@ -24,31 +25,43 @@ def sig(spark, d):
     return V.signal(spark, d).select("ch", "samp", "value")
 
 
-#: Three taps over reflected ends: the FIR path in closed form.
-TAPS = "WITH x AS (SELECT ch, samp, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM signal WINDOW w AS (PARTITION BY ch ORDER BY samp)) SELECT ch, samp, round(0.25 * coalesce(a, 2 * value - b) + 0.5 * value + 0.25 * coalesce(b, 2 * value - a), 6) + 0.0 AS value FROM x WHERE a IS NOT NULL OR b IS NOT NULL"
+def listed(numbers) -> str:
+    """Numbers as an SQL list."""
+    return "[" + ", ".join(repr(float(v)) for v in numbers) + "]"
 
 
-@query("fir_smooth", TAPS, "signal")
+def fir_sql(h: np.ndarray) -> str:
+    """Symmetric taps over ends that are reflected oddly, as far as there are samples."""
+    half = (len(h) - 1) // 2
+    return f"""WITH taps AS (SELECT unnest(range(0, {len(h)})) AS k, unnest({listed(h)}) AS w),
+x AS (SELECT ch, samp, value, count(*) OVER (PARTITION BY ch) AS n, first_value(value) OVER (PARTITION BY ch ORDER BY samp) AS a, first_value(value) OVER (PARTITION BY ch ORDER BY samp DESC) AS b FROM signal),
+y AS (SELECT ch, samp AS p, value FROM x UNION ALL SELECT ch, -samp, 2 * a - value FROM x WHERE samp BETWEEN 1 AND {half} UNION ALL SELECT ch, 2 * (n - 1) - samp, 2 * b - value FROM x WHERE samp BETWEEN n - 1 - {half} AND n - 2)
+SELECT x.ch, x.samp, round(CASE WHEN any_value(x.n) = 1 THEN any_value(x.value) * (SELECT sum(w) FROM taps) ELSE sum(w * y.value) END, 6) + 0.0 AS value FROM x, taps LEFT JOIN y ON y.ch = x.ch AND y.p = x.samp + {half} - k GROUP BY x.ch, x.samp"""
+
+
+SMOOTH = np.array([0.25, 0.5, 0.25])
+
+
+@query("fir_smooth", fir_sql(SMOOTH), "signal")
 def _(spark, d):
-    long_enough = sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n > 1").drop("n")
-    return rounded(K.per_channel(long_enough, lambda x: dsp.fir(x, np.array([0.25, 0.5, 0.25]))))
+    return rounded(B.fir(sig(spark, d), SMOOTH))
 
 
 for name, low, high in (("lowpass", None, 20.0), ("highpass", 2.0, None), ("bandpass", 4.0, 20.0), ("bandstop", 20.0, 8.0)):
 
-    @query(f"filter_{name}")
+    @query(f"filter_{name}", fir_sql(dsp.design_fir(100.0, low, high)), "signal")
     def _(spark, d, low=low, high=high):
-        return rounded(K.filter_data(sig(spark, d), 100.0, low, high))
+        return rounded(B.filter_data(sig(spark, d), 100.0, low, high))
 
 
-@query("notch_filter")
+@query("notch_filter", fir_sql(dsp.design_fir(100.0, 26.5, 23.5, width=0.5)), "signal")
 def _(spark, d):
-    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.notch(x, 100.0, [25.0], 2.0)))
+    return rounded(B.notch(sig(spark, d), 100.0, [25.0], 2.0))
 
 
 @query("iir_filter")
 def _(spark, d):
-    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.iir(x, 100.0, 1.0, 20.0) if len(x) > 3 else x))
+    return rounded(B.iir(sig(spark, d), 100.0, 1.0, 20.0))
 
 
 #: The analytic signal of 8 samples: the discrete transform, one-sided, and back.
@@ -75,28 +88,41 @@ WELCH = f"WITH m AS (SELECT epoch, ch, t, (value - avg(value) OVER (PARTITION BY
 
 @query("psd_welch", WELCH, "epochs")
 def _(spark, d):
-    return rounded(K.psd(V.epochs(spark, d), 100.0, n_fft=8, **TRIAL), "power")
+    return rounded(B.welch(V.epochs(spark, d), 100.0, 8, **TRIAL), "power")
+
 
+#: Segments of 16 (or a shorter channel) at steps of 8, each transformed; their median, over the bias of so many.
+MEDIAN = """WITH x AS (SELECT ch, samp, value, least(16, count(*) OVER (PARTITION BY ch)) AS f, count(*) OVER (PARTITION BY ch) AS n FROM signal),
+s AS (SELECT DISTINCT ch, n, f, unnest(range(0, n - f + 1, CASE WHEN f > 8 THEN f - 8 ELSE f END)) AS start FROM x),
+v AS (SELECT s.ch, s.start, s.f, samp - start AS j, value - avg(value) OVER (PARTITION BY s.ch, s.start) AS v, 0.54 - 0.46 * cos(2 * pi() * (samp - start) / s.f) AS w FROM s JOIN x ON x.ch = s.ch AND samp >= start AND samp < start + s.f),
+p AS (SELECT ch, start, f, k, (sum(v * w * cos(2 * pi() * k * j / f)) ** 2 + sum(v * w * sin(2 * pi() * k * j / f)) ** 2) / (100 * sum(w * w)) * CASE WHEN k = 0 OR 2 * k = f THEN 1 ELSE 2 END AS p FROM (SELECT *, unnest(range(0, f // 2 + 1)) AS k FROM v) GROUP BY ch, start, f, k),
+m AS (SELECT ch, f, k, median(p) AS m, (count(*) - 1) // 2 AS c FROM p GROUP BY ch, f, k)
+SELECT ch, round(k * 100.0::DOUBLE / f, 6) + 0.0 AS freq, round(m / (1 + coalesce(list_sum(list_transform(range(1, c + 1), lambda i: 1.0::DOUBLE / (2 * i + 1) - 1.0::DOUBLE / (2 * i))), 0)), 6) + 0.0 AS power FROM m"""
 
-@query("psd_welch_median")
+
+@query("psd_welch_median", MEDIAN, "signal")
 def _(spark, d):
-    return rounded(K.psd(sig(spark, d), 100.0, n_fft=16, overlap=8, average="median"), "freq", "power")
+    return rounded(B.welch(sig(spark, d), 100.0, 16, 8, "median"), "freq", "power")
 
 
 @query("psd_multitaper")
 def _(spark, d):
-    return rounded(K.psd(sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n >= 16").drop("n"), 100.0, "multitaper"), "freq", "power")
+    return rounded(K.multitaper(sig(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("ch"))).filter("n >= 16").drop("n"), 100.0), "freq", "power")
+
+
+WAVES = {f: dsp.morlet(100.0, f, 2.0) for f in (20.0, 35.0)}
+CWT = "w AS (" + " UNION ALL ".join(f"SELECT {f}::DOUBLE AS freq, unnest(range(0, {len(w)})) - {(len(w) - 1) // 2} AS k, unnest({listed(w.real)}) AS a, unnest({listed(w.imag)}) AS b" for f, w in WAVES.items()) + "), z AS (SELECT e.epoch, e.ch, freq, i, sum(value * a) AS re, sum(value * b) AS im FROM (SELECT *, unnest(range(0, 8)) AS i FROM epochs) e JOIN w ON k = i - t GROUP BY ALL)"
 
 
-@query("tfr_morlet")
+@query("tfr_morlet", f"WITH {CWT} SELECT epoch, ch, freq, i, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM z", "epochs")
 def _(spark, d):
-    return rounded(K.tfr_morlet(V.epochs(spark, d), 100.0, [20.0, 35.0], 2.0, **TRIAL), "re", "im")
+    return rounded(B.cwt(V.epochs(spark, d), WAVES, **TRIAL), "re", "im")
 
 
-@query("tfr_power_itc")
+@query("tfr_power_itc", f"WITH {CWT} SELECT ch, freq, i, round(avg(re * re + im * im), 6) + 0.0 AS power, round(sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2), 6) + 0.0 AS itc FROM z GROUP BY ALL", "epochs")
 def _(spark, d):
     """Average power and phase locking over trials: aggregates of the complex coefficients."""
-    z = K.tfr_morlet(V.epochs(spark, d), 100.0, [20.0, 35.0], 2.0, **TRIAL)
+    z = B.cwt(V.epochs(spark, d), WAVES, **TRIAL)
     size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)
     out = z.groupBy("ch", "freq", "i").agg(F.avg(size**2).alias("power"), F.sqrt(F.avg(F.col("re") / size) ** 2 + F.avg(F.col("im") / size) ** 2).alias("itc"))
     return rounded(out, "power", "itc")
@@ -113,13 +139,14 @@ STFT = "WITH s AS (SELECT t, sin((t + 0.5) / 8 * pi()) AS s FROM range(0, 8) r(t
 
 @query("stft", STFT, "epochs")
 def _(spark, d):
-    return rounded(K.stft(V.epochs(spark, d), 8, 4, **TRIAL), "re", "im")
+    return rounded(B.stft(V.epochs(spark, d), 8, 4, **TRIAL), "re", "im")
 
 
 @query("stft_istft", "SELECT ch, samp, round(value, 6) + 0.0 AS value FROM signal", "signal")
 def _(spark, d):
     """Forth and back: the tight frame returns the signal."""
-    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.istft(dsp.stft(x, 16, 8), 16, 8, len(x))))
+    own = sig(spark, d)
+    return rounded(B.istft(B.stft(own, 16, 8), B.bounds(own, ("ch",), "samp"), 16, 8))
 
 
 @query("resample")
@@ -127,9 +154,14 @@ def _(spark, d):
     return rounded(K.per_channel(sig(spark, d), lambda x: dsp.resample(x, 1.0, 2.0) if len(x) > 3 else x))
 
 
-@query("savgol_filter")
+#: Row r of the smoother: the fitted polynomial of a window of 11 at its place r.
+_basis = np.vander(np.arange(-5, 6), 6, increasing=True)
+SAVGOL = f"WITH m AS (SELECT unnest(range(0, 121)) // 11 AS r, unnest(range(0, 121)) % 11 AS j, unnest({listed((_basis @ np.linalg.pinv(_basis)).ravel())}) AS w), x AS (SELECT ch, samp, value, count(*) OVER (PARTITION BY ch) AS n FROM signal), s AS (SELECT *, greatest(0, least(samp - 5, n - 11)) AS start FROM x WHERE n >= 11) SELECT ch, samp, round(value, 6) + 0.0 AS value FROM x WHERE n < 11 UNION ALL SELECT s.ch, s.samp, round(sum(w * x.value), 6) + 0.0 FROM s JOIN m ON r = s.samp - start JOIN x ON x.ch = s.ch AND x.samp = start + j GROUP BY s.ch, s.samp"
+
+
+@query("savgol_filter", SAVGOL, "signal")
 def _(spark, d):
-    return rounded(K.per_channel(sig(spark, d), lambda x: dsp.savgol(x, 11)))
+    return rounded(B.savgol(sig(spark, d), 11))
 
 
 @query("temporal_derivative_distribution_repair")
