@@ -4,8 +4,8 @@ decode_column reads a column of files; store_texts is the text payload's round t
 filled up with blanks to whole rows of 64 RGB pixels, are stored as one or more WebP files end to end
 (MOST_ROWS rows each, so memory is bounded), read back and described.
 
-Defined results: null files give null pixels; files that can't be decoded give null pixels and the
-reason, other rows go on; a null or empty text is one row of blanks; repeated rows give equal values;
+Defined results: null files give null pixels; files that can't be decoded, or have too many pixels, give
+null pixels and the reason, other rows go on; a null or empty text is one row of blanks; repeated rows give equal values;
 an empty table gives an empty result; other columns stay (decode_column) or are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import webp
 from .common import each_text
 
-ROW, MOST_ROWS = 192, 2048
+ROW, MOST_ROWS, MOST_PIXELS = 192, 2048, 1 << 24
 
 
 def store(payload: bytes) -> bytes:
@@ -77,8 +77,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def decode_column(df: DataFrame, column: str) -> DataFrame:
-    """df with column_height, column_width, column_pixels (bytes: R, G, B, A) and column_error."""
+def decode_column(df: DataFrame, column: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """df with column_height, column_width, column_pixels (bytes: R, G, B, A) and column_error. A file of a few bytes
+    can stand for an image of 2^28 pixels, so images of more than most_pixels are errors. Columns of df must not have
+    these names (ValueError)."""
     new = [f"{column}_{x}" for x in ("height", "width", "pixels", "error")]
     if set(new) & set(df.columns):
         raise ValueError(f"columns of these names are added: {new}")
@@ -88,7 +90,7 @@ def decode_column(df: DataFrame, column: str) -> DataFrame:
         if data is None:
             return None, None, None, None
         try:
-            px = webp.decode(data)
+            px = webp.decode(data, most_pixels)
         except (ValueError, IndexError, struct.error) as e:
             return None, None, None, str(e)[:200] or "corrupt"
         return px.shape[0], px.shape[1], px[..., [1, 2, 3, 0]].tobytes(), None

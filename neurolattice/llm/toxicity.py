@@ -13,11 +13,12 @@ the same passes; a voter that repeats what others say has its evidence divided a
 Classifier. Logistic regression on entry densities and votes learns the model's posterior labels of
 the sampled texts, then scores every whole text. Ids, labels, language and source are no inputs.
 
-Bounds: SAMPLE labelled rows and VOTERS voters, so what comes to the driver does not grow.
+Bounds: SAMPLE labelled rows (one an id: the text of the least hash) and ENTRIES voters, so what comes to the driver does not grow.
 
 Defined results: null and empty texts have no votes and get the score of such; rows whose label or id
 is null teach nothing, nor do ids that are labelled both ways; repeated rows are scored each; without
-any label the fixed entries alone vote; an empty table gives an empty result; other columns stay.
+any label the fixed entries alone vote; texts of any length are read whole; an empty table gives an empty
+result; other columns stay.
 """
 
 from __future__ import annotations
@@ -91,11 +92,13 @@ class Voters:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """text, toxic of at most limit labelled training rows, in the order of a hash of the id."""
+    """text, toxic of at most limit labelled training rows, one an id, in the order of a hash of the id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     own = own.filter(mod_of_id() != 0).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("high")).filter("toxic = high").drop("high")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")  # at most limit rows of 12 bytes
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")  # at most limit rows of 12 bytes
+    # of several rows of one id, one teaches
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.first("toxic").alias("toxic")).select("x.text", "toxic")
 
 
 def mined(sample: DataFrame, most: int) -> list[str]:

@@ -471,8 +471,8 @@ def palette_bits(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) of 8 bits: A, R, G, B."""
+def decode(data: bytes, most_pixels: int | None = None) -> np.ndarray:
+    """(height, width, 4) of 8 bits: A, R, G, B. Larger images than most_pixels are refused before any is made."""
     if len(data) < 21 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise Corrupt("no WebP file")
     at = 12
@@ -487,6 +487,8 @@ def decode(data: bytes) -> np.ndarray:
     width, height, has_alpha = bits.read(14) + 1, bits.read(14) + 1, bits.read(1)
     if bits.read(3):
         raise Corrupt("an unknown version")
+    if most_pixels is not None and width * height > most_pixels:
+        raise Corrupt(f"{width} x {height} pixels; at most {most_pixels} are decoded")
     undo, now = [], width
     while bits.read(1):
         kind = bits.read(2)

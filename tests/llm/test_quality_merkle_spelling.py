@@ -277,3 +277,50 @@ def test_quality_odd(spark, rated):
     assert kept.columns == ["doc_id", "text", "lang", "terms", "n_chars"]
     ids = {r["doc_id"] for r in kept.collect()}
     assert {k for k in range(240) if k % 3} - {9, 6} <= ids and len(ids & {k for k in range(240) if k % 3 == 0}) <= 2
+
+
+# --- bounds of earlier operators
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A labelled id that many rows have teaches once."""
+    from neurolattice.llm import toxicity
+
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], f"text {i % 7}") for i in range(500)] + [(k, f"own {k}") for k in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    assert toxicity.sampled(docs, labels, 2).count() == 2 and toxicity.sampled(docs, labels, 1_000).count() == len(ids)
+    assert toxicity.sampled(docs.filter(f"doc_id = {ids[0]}"), labels, 1_000).collect()[0]["text"].startswith("text ")
+
+
+def test_toxicity_odd_rows(spark):
+    """Very long texts, ties and repeated ids are scored each."""
+    from neurolattice.llm import toxicity
+
+    rows = [(1, "you idiot " * 90_000), (2, "a calm day " * 90_000), (2, "a calm day"), (2, "a calm day"), (3, None), (None, "idiot idiot idiot moron")]
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert min(r["score"] for r in got if r["doc_id"] in (1, None)) > max(r["score"] for r in got if r["doc_id"] in (2, 3))
+    assert len({r["score"] for r in got if r["doc_id"] == 2}) == 1
+
+
+def test_images_of_too_many_pixels(spark):
+    """A short, whole file of many pixels gives null pixels and the reason; others go on."""
+    from neurolattice.llm import media, webp
+
+    w = webp.Writer()
+    w.put(0x2F, 8)
+    for n in (16_383, 16_383):
+        w.put(n, 14)
+    w.put(0, 1 + 3 + 1)  # no alpha, version, transforms
+    w.put(0, 2)  # no cache, one group
+    for _ in range(5):
+        w.put(1, 1)  # simple code
+        w.put(0, 3)  # of one symbol, 0
+    bomb = webp.wrapped(w.value.to_bytes(-(-w.n // 8), "little"))
+    small = webp.encode_samples(np.zeros((2, 6), np.uint8))
+    got = sorted(media.decode_column(spark.createDataFrame([(0, bytearray(bomb)), (1, bytearray(small))], "id long, image binary"), "image").collect(), key=lambda r: r["id"])
+    assert got[0]["image_pixels"] is None and "16384 x 16384" in got[0]["image_error"]
+    assert (got[1]["image_height"], got[1]["image_width"]) == (2, 2)
+    assert "4 are decoded" not in str(media.decode_column(spark.createDataFrame([(1, bytearray(small))], "id long, image binary"), "image", 4).first()["image_error"])
+    assert "3 are decoded" in media.decode_column(spark.createDataFrame([(1, bytearray(small))], "id long, image binary"), "image", 3).first()["image_error"]
