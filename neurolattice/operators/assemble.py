@@ -129,24 +129,6 @@ def unvectorize(rows: DataFrame, n_times: int) -> DataFrame:
     return own.select("epoch", F.floor(F.col("i") / n_times).alias("ch"), (F.col("i") % n_times).cast("long").alias("t"), "value")
 
 
-def muscle_scores(samples: DataFrame) -> DataFrame:
-    """samp, score: the channels' z-scores added up over the root of their number. samples are envelopes."""
-    own = samples.groupBy("ch").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).filter("s > 0")
-    z = samples.join(own, "ch").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
-    return z.groupBy("samp").agg((F.sum("z") / F.sqrt(F.count("*"))).alias("score"))
-
-
-def annotate_muscle(samples: DataFrame, threshold: float, least_good: int) -> DataFrame:
-    """start, stop (exclusive) of stretches whose score is above threshold; good stretches of at most
-    least_good samples between two bad ones are bad too. The channels' samples are aggregated first; what
-    is sorted as one list are the samples above the threshold alone."""
-    over = muscle_scores(samples).filter(F.col("score") > threshold)
-    w = Window.orderBy("samp")
-    cut = F.coalesce((F.col("samp") - F.lag("samp").over(w) - 1 > least_good).cast("int"), F.lit(1))
-    runs = over.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
-    return runs.groupBy("run").agg(F.min("samp").alias("start"), (F.max("samp") + 1).alias("stop")).drop("run")
-
-
 def score_sources(sources: DataFrame, target: DataFrame, keys: Sequence[str] = ("epoch", "t")) -> DataFrame:
     """ch, score: the correlation of each source with the target (keys, target)."""
     return sources.join(target, list(keys)).groupBy("ch").agg(F.corr("value", "target").alias("score"))
@@ -172,24 +154,6 @@ def kuiper(samples: DataFrame, keys: Sequence[str] = ("ch", "t")) -> DataFrame:
     return parts.groupBy(*keys).agg((F.max("up") + F.max("down")).alias("statistic"))
 
 
-def ems(epochs: DataFrame, a: int, b: int) -> DataFrame:
-    """epoch, condition, t, value: trials seen through the difference of two conditions' means, which is
-    scaled to length 1 at each time."""
-    two = epochs.filter(F.col("condition").isin(a, b))
-    d = two.groupBy("ch", "t").agg((F.avg(F.when(F.col("condition") == a, F.col("value"))) - F.avg(F.when(F.col("condition") == b, F.col("value")))).alias("d"))
-    unit = d.withColumn("d", F.col("d") / F.sqrt(F.sum(F.col("d") ** 2).over(Window.partitionBy("t"))))
-    return two.join(F.broadcast(unit), ["ch", "t"]).groupBy("epoch", "condition", "t").agg(F.sum(F.col("d") * F.col("value")).alias("value"))  # channels x times
-
-
-def gradient_template(samples: DataFrame, triggers: DataFrame, length: int) -> DataFrame:
-    """ch, samp, value less the mean over all volumes at the same place in the volume; samples outside of
-    volumes stay. triggers: ch, start. A sample in two volumes belongs to the later one."""
-    spans = triggers.select("ch", "start", F.explode(F.sequence("start", F.col("start") + length - 1)).alias("samp")).groupBy("ch", "samp").agg(F.max("start").alias("start"))
-    own = samples.join(spans, ["ch", "samp"], "left").withColumn("place", F.col("samp") - F.col("start"))
-    inside = F.avg("value").over(Window.partitionBy("ch", "place"))
-    return own.select("ch", "samp", (F.col("value") - F.when(F.col("place").isNotNull(), inside).otherwise(0.0)).alias("value"))
-
-
 def simulate(events: DataFrame, waveform: Sequence[float]) -> DataFrame:
     """ch, samp, value: a waveform laid down at each event (ch, samp, amplitude), overlaps added."""
     wave = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(waveform)))

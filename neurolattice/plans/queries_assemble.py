@@ -159,23 +159,6 @@ def _(spark, d):
     return S.unvectorize(S.vectorize(V.epochs(spark, d)), 8)
 
 
-MUSCLE = "c AS (SELECT ch, avg(abs(value)) AS m, stddev_pop(abs(value)) AS s FROM signal GROUP BY ch HAVING s > 0), z AS (SELECT samp, sum((abs(value) - m) / s) / sqrt(count(*)) AS score FROM signal JOIN c USING (ch) GROUP BY samp)"
-
-
-def envelopes(spark, d):
-    return V.signal(spark, d).select("ch", "samp", F.abs("value").alias("value"))
-
-
-@query("muscle_zscore", f"WITH {MUSCLE} SELECT samp, round(score, 6) + 0.0 AS score FROM z", "signal")
-def _(spark, d):
-    return rounded(S.muscle_scores(envelopes(spark, d)), "score")
-
-
-@query("annotate_muscle_zscore", f"WITH {MUSCLE}, o AS (SELECT samp, coalesce((samp - lag(samp) OVER (ORDER BY samp) - 1 > 2)::INT, 1) AS cut FROM z WHERE score > 0.5), r AS (SELECT samp, sum(cut) OVER (ORDER BY samp) AS run FROM o) SELECT min(samp) AS start, max(samp) + 1 AS stop FROM r GROUP BY run", "signal")
-def _(spark, d):
-    return S.annotate_muscle(envelopes(spark, d), 0.5, 2)
-
-
 SCORES = "s AS (SELECT a.ch, corr(a.value, b.value) AS score FROM epochs a JOIN epochs b USING (epoch, t) WHERE a.ch < 7 AND b.ch = 7 GROUP BY a.ch)"
 
 
@@ -200,17 +183,6 @@ def _(spark, d):
     return rounded(S.kuiper(V.epochs(spark, d).select("ch", "t", phase.alias("phase"))), "statistic")
 
 
-@query("compute_ems", "WITH d AS (SELECT ch, t, avg(value) FILTER (condition = 1) - avg(value) FILTER (condition = 2) AS d FROM epochs GROUP BY ALL), u AS (SELECT ch, t, d / sqrt(sum(d * d) OVER (PARTITION BY t)) AS d FROM d) SELECT epoch, condition, t, round(sum(d * value), 6) + 0.0 AS value FROM epochs JOIN u USING (ch, t) WHERE condition IN (1, 2) GROUP BY ALL", "epochs")
-def _(spark, d):
-    return rounded(S.ems(V.epochs(spark, d), 1, 2))
-
-
-@query("remove_gradient_artifact", "WITH tr AS (SELECT ch, samp AS start FROM signal WHERE code = 3), x AS (SELECT s.ch, s.samp, s.value, s.samp - (SELECT max(start) FROM tr WHERE tr.ch = s.ch AND s.samp BETWEEN tr.start AND tr.start + 3) AS place FROM signal s) SELECT ch, samp, round(value - CASE WHEN place IS NULL THEN 0 ELSE avg(value) OVER (PARTITION BY ch, place) END, 6) + 0.0 AS value FROM x", "signal")
-def _(spark, d):
-    own = V.signal(spark, d)
-    return rounded(S.gradient_template(own.select("ch", "samp", "value"), own.filter("code = 3").select("ch", F.col("samp").alias("start")), 4))
-
-
 WAVE = (0.0, 0.5, 1.0, 0.25, -0.5)
 
 

@@ -30,11 +30,11 @@ def listed(numbers) -> str:
     return "[" + ", ".join(repr(float(v)) for v in numbers) + "]"
 
 
-def fir_sql(h: np.ndarray) -> str:
+def fir_sql(h: np.ndarray, table: str = "signal") -> str:
     """Symmetric taps over ends that are reflected oddly, as far as there are samples."""
     half = (len(h) - 1) // 2
     return f"""WITH taps AS (SELECT unnest(range(0, {len(h)})) AS k, unnest({listed(h)}) AS w),
-x AS (SELECT ch, samp, value, count(*) OVER (PARTITION BY ch) AS n, first_value(value) OVER (PARTITION BY ch ORDER BY samp) AS a, first_value(value) OVER (PARTITION BY ch ORDER BY samp DESC) AS b FROM signal),
+x AS (SELECT ch, samp, value, count(*) OVER (PARTITION BY ch) AS n, first_value(value) OVER (PARTITION BY ch ORDER BY samp) AS a, first_value(value) OVER (PARTITION BY ch ORDER BY samp DESC) AS b FROM {table}),
 y AS (SELECT ch, samp AS p, value FROM x UNION ALL SELECT ch, -samp, 2 * a - value FROM x WHERE samp BETWEEN 1 AND {half} UNION ALL SELECT ch, 2 * (n - 1) - samp, 2 * b - value FROM x WHERE samp BETWEEN n - 1 - {half} AND n - 2)
 SELECT x.ch, x.samp, round(CASE WHEN any_value(x.n) = 1 THEN any_value(x.value) * (SELECT sum(w) FROM taps) ELSE sum(w * y.value) END, 6) + 0.0 AS value FROM x, taps LEFT JOIN y ON y.ch = x.ch AND y.p = x.samp + {half} - k GROUP BY x.ch, x.samp"""
 
