@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .covariance import covariance  # noqa: F401
+
 #: The kinds of data channels, in the order of default picks.
 DATA_KINDS = ("mag", "grad", "eeg", "csd", "seeg", "ecog", "dbs", "hbo", "hbr", "fnirs_cw_amplitude", "fnirs_od")
 
@@ -78,16 +80,6 @@ def mix(df: DataFrame, matrix: Sequence[Sequence[float]], keys: tuple[str, ...]
     return spread.groupBy(F.col("m.row").cast("long").alias("ch"), *keys).agg(F.sum(F.col("m.w") * F.col("value")).alias("value"))
 
 
-def covariance(df: DataFrame, keys: tuple[str, ...] = ("epoch", "t"), ddof: int = 1) -> DataFrame:
-    """ch_i, ch_j, value, n over all samples. Channels of a sample are gathered (as many as there are
-    channels), and the sums of products are aggregated map-side before their shuffle."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", "value"))).alias("x"))
-    pairs = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b"))
-    a, b = F.col("a.value"), F.col("b.value")
-    s = pairs.groupBy(F.col("a.ch").alias("ch_i"), F.col("b.ch").alias("ch_j")).agg(F.sum(a * b).alias("ab"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.count("*").alias("n"))
-    return s.select("ch_i", "ch_j", ((F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") - ddof)).alias("value"), "n")
-
-
 def bridged(df: DataFrame, keys: tuple[str, ...] = ("epoch", "t")) -> DataFrame:
     """ch_i < ch_j and the variance over time of their difference, per epoch, then its median."""
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", "value"))).alias("x"))
