@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def find_stim_steps(stim: DataFrame, pad_start: int | None = None, pad_stop: int | None = None, merge: int = 0) -> DataFrame:
     """ch, samp, before, after at each change of code. Padding adds a step from pad_start at sample 0
@@ -78,12 +80,12 @@ def pick_events(events: DataFrame, include: list[int] | None = None, exclude: li
 
 
 def merge_events(events: DataFrame, ids: list[int], new_id: int, replace: bool = True) -> DataFrame:
-    """ids become new_id in both value columns; without replace the originals stay beside them, sorted."""
+    """ids become new_id in both value columns; without replace the originals stay beside them."""
     new = events.withColumns({c: F.when(F.col(c).isin(ids), new_id).otherwise(F.col(c)).cast("long") for c in ("prev_id", "id")})
     if replace:
         return new
     touched = events.filter(F.col("id").isin(ids) | F.col("prev_id").isin(ids))
-    return new.unionByName(touched).orderBy("samp", "prev_id", "id")
+    return new.unionByName(touched)
 
 
 def shift_events(events: DataFrame, ids: list[int] | None, seconds: float, sfreq: float) -> DataFrame:
@@ -152,6 +154,6 @@ def make_metadata(events: DataFrame, row_ids: list[int], names: dict[str, int],
 
 def equalize_counts(events: DataFrame) -> DataFrame:
     """The first n of each id, n the count of the rarest ("truncate")."""
-    w = Window.partitionBy("id").orderBy("row")
     least = events.groupBy("id").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    return events.withColumn("k", F.row_number().over(w)).crossJoin(F.broadcast(least)).filter("k <= least").drop("k", "least")  # one row
+    ranked = numbered(events, ["row"], F.floor(F.col("row") / (1 << 16)), "k", ["id"])
+    return ranked.crossJoin(F.broadcast(least)).filter("k < least").drop("k", "least")  # one row

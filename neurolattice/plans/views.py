@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,10 +43,10 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """samp, prev_id, id, row: one event list, in order. A recording has one list; it is sorted as a whole."""
-    df = timed(spark, sf_dir).withColumn("id", codes({"view": 1, "click": 2, "signup": 3, "purchase": 4}, 5))
-    w = Window.orderBy("ts", "event_id")
-    return df.select("samp", F.coalesce(F.lag("id").over(w), F.lit(0)).cast("long").alias("prev_id"), "id", (F.row_number().over(w) - 1).cast("long").alias("row"))
+    """samp, prev_id, id, row: one event list, in order. Hours are sorted by themselves; numbers and codes go on."""
+    df = timed(spark, sf_dir).withColumn("id", codes({"view": 1, "click": 2, "signup": 3, "purchase": 4}, 5)).select("ts", "event_id", "samp", "id")
+    rows = numbered(df, ["ts", "event_id"], F.floor(F.col("samp") / 3600), lag="id", lagged="prev_id")
+    return rows.select("samp", F.coalesce("prev_id", F.lit(0)).cast("long").alias("prev_id"), "id", "row")
 
 
 def annots(spark: SparkSession, sf_dir: str) -> DataFrame:
