@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import channels as C
+from ..operators import infomax
 from ..operators import models as M
 from . import views as V
 from .registry import query, r6
@@ -104,3 +105,9 @@ def _(spark, d):
     each = own.groupBy("condition", "ch", "t").agg(F.avg("value").alias("a"))
     pair = each.join(own.groupBy("ch", "t").agg(F.avg("value").alias("b")), ["ch", "t"])
     return rounded(pair.groupBy("condition", "t").agg((F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2))).alias("score")), "score")
+
+
+@query("infomax_fit")
+def _(spark, d):
+    """Unmixing rows; the tests hold them against known mixtures."""
+    return as_rows(spark, infomax.infomax(V.epochs(spark, d), 8, 4, rounds=20))
