@@ -222,3 +222,44 @@ def anova_rm(df: DataFrame, subject: str, factor: str) -> DataFrame:
     parts = means.withColumns({"s": F.avg("v").over(w_s), "f": F.avg("v").over(w_f), "g": F.avg("v").over(w)})
     out = parts.groupBy(*CELL).agg(F.sum((F.col("f") - F.col("g")) ** 2).alias("ssf"), F.sum((F.col("v") - F.col("s") - F.col("f") + F.col("g")) ** 2).alias("sse"), F.count_distinct(subject).alias("ns"), F.count_distinct(factor).alias("nf"))
     return out.select(*CELL, ((F.col("ssf") / (F.col("nf") - 1)) / (F.col("sse") / ((F.col("nf") - 1) * (F.col("ns") - 1)))).alias("f_value"))
+
+
+def linear_regression_many(df: DataFrame, design: dict[str, Column]) -> DataFrame:
+    """ch, t, name, beta, stderr, t_value of value on the columns of a design (of each observation; a constant is given
+    as one of them). All cells have all observations, so the products of the columns are one small matrix, from one
+    cell, which is inverted on the driver; a cell's own sums are one grouped aggregate."""
+    names, own = list(design), df.select(*CELL, "value", *(c.cast("double").alias(f"x{i}") for i, c in enumerate(design.values())))
+    p = len(names)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    per = own.groupBy(*CELL).agg(F.count("*").alias("n"), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs), *(F.sum(F.col(f"x{i}") * F.col("value")).alias(f"y{i}") for i in range(p)), F.sum(F.col("value") ** 2).alias("yy"))
+    one = per.agg(*(F.min(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in pairs)).first()
+    if one["s0_0"] is None:
+        inverse = np.eye(p)
+    else:
+        square = np.array([[one[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        inverse = np.linalg.inv(square)
+    beta = [sum((float(inverse[i, j]) * F.col(f"y{j}") for j in range(p)), F.lit(0.0)) for i in range(p)]
+    rest = (F.col("yy") - sum((b * F.col(f"y{i}") for i, b in enumerate(beta)), F.lit(0.0))) / (F.col("n") - p)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), b.alias("beta"), F.sqrt(rest * float(inverse[i, i])).alias("stderr")) for i, (name, b) in enumerate(zip(names, beta, strict=True))))).alias("r")
+    return per.select(*CELL, each).select(*CELL, "r.*", (F.col("r.beta") / F.col("r.stderr")).alias("t_value"))
+
+
+def anova_rm_two(df: DataFrame, subject: str, a: str, b: str) -> DataFrame:
+    """ch, t, effect ("A", "B", "A:B"), f_value of two within-subject factors. Every subject has every pair of levels;
+    an effect's error is its interaction with the subjects."""
+    own = df.groupBy(*CELL, F.col(subject).alias("s"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.avg("value").alias("v"))
+
+    def mean(*by: str) -> Column:
+        return F.avg("v").over(Window.partitionBy(*CELL, *by))
+
+    m = own.withColumns({"m": mean(), "ma": mean("a"), "mb": mean("b"), "ms": mean("s"), "mab": mean("a", "b"), "msa": mean("s", "a"), "msb": mean("s", "b")})
+    c = {n: F.col(n) for n in ("v", "m", "ma", "mb", "ms", "mab", "msa", "msb")}
+    terms = {
+        "A": (c["ma"] - c["m"], c["msa"] - c["ms"] - c["ma"] + c["m"]),
+        "B": (c["mb"] - c["m"], c["msb"] - c["ms"] - c["mb"] + c["m"]),
+        "A:B": (c["mab"] - c["ma"] - c["mb"] + c["m"], c["v"] - c["msa"] - c["msb"] - c["mab"] + c["ms"] + c["ma"] + c["mb"] - c["m"]),
+    }
+    # a term is repeated over what it does not depend on, in numerator and denominator alike
+    sums = m.groupBy(*CELL).agg(F.count_distinct("s").alias("ns"), *(F.sum(x**2).alias(f"{k}{e}") for e, pair in terms.items() for k, x in zip(("t", "e"), pair, strict=True)))
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("effect"), (F.col(f"`t{e}`") / (F.col(f"`e{e}`") / (F.col("ns") - 1))).alias("f_value")) for e in terms))).alias("r")
+    return sums.select(*CELL, each).select(*CELL, "r.effect", "r.f_value")

@@ -116,13 +116,16 @@ def _(spark, d):
     return rounded(out.select("ch", "samp", F.when(F.col("code") == 3, line).otherwise(F.col("value")).alias("value")))
 
 
-@query("compute_raw_covariance", "WITH s AS (SELECT ch % 4 AS ch, samp, avg(value) AS value FROM signal GROUP BY ALL), seg AS (SELECT samp // 10 AS seg FROM s GROUP BY ALL HAVING max(value) - min(value) < 400), g AS (SELECT * FROM s WHERE samp // 10 IN (SELECT seg FROM seg)) SELECT a.ch AS ch_i, b.ch AS ch_j, round((sum(a.value * b.value) - sum(a.value) * sum(b.value) / count(*)) / (count(*) - 1), 6) + 0.0 AS value, count(*) AS n FROM g a JOIN g b USING (samp) GROUP BY ALL", "signal")
+RAW_COV = "WITH s AS (SELECT ch % 4 AS ch, samp, avg(value) AS value FROM signal GROUP BY ALL), seg AS (SELECT samp // 10 AS seg FROM s GROUP BY ALL HAVING max(value) - min(value) < 400), g AS (SELECT * FROM s WHERE samp // 10 IN (SELECT seg FROM seg)) SELECT a.ch AS ch_i, b.ch AS ch_j, round((sum(a.value * b.value) - sum(a.value) * sum(b.value) / count(*)) / (count(*) - 1), 6) + 0.0 AS value, count(*) AS n FROM g a JOIN g b USING (samp) GROUP BY ALL"
+
+
+@query("compute_raw_covariance", RAW_COV, "signal")
 def _(spark, d):
     """Over the whole recording."""
     return raw_covariance(V.signal(spark, d))
 
 
-@query("compute_raw_covariance_all")
+@query("compute_raw_covariance_all", RAW_COV, "signal")
 def _(spark, d):
     return raw_covariance(V.signal(spark, d))
 

@@ -99,3 +99,33 @@ TIMES = " + ".join(f"({DRAWN} % 1000 >= {limit})::INT" for limit in S.POISSON)
 @query("bootstrap_confidence_interval", f"WITH o AS (SELECT k, ch, t, value, {TIMES} AS times FROM epochs, range({BOOTS}) r(k)), b AS (SELECT k, ch, t, sum(times * value) / sum(times) AS m FROM o GROUP BY ALL) SELECT ch, t, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM b GROUP BY ALL", "epochs")
 def _(spark, d):
     return rounded(S.bootstrap_ci(V.epochs(spark, d), BOOTS, "epoch"), "low", "high")
+
+
+#: Two predictors and a constant, by their central moments.
+MANY = """WITH x AS (SELECT ch, t, value AS y, (epoch % 11)::DOUBLE AS a, (condition * condition)::DOUBLE AS b FROM epochs),
+m AS (SELECT ch, t, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_, var_pop(y) * count(*) AS yy FROM x GROUP BY ch, t),
+d AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ba, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b_b FROM m),
+r AS (SELECT *, (yy - ba * ay - b_b * by_) / (n - 3) AS v FROM d),
+o AS (SELECT ch, t, 'a' AS name, ba AS beta, sqrt(v * bb / det) AS stderr FROM r UNION ALL SELECT ch, t, 'b', b_b, sqrt(v * aa / det) FROM r UNION ALL SELECT ch, t, 'one', my - ba * ma - b_b * mb, sqrt(v * (1.0 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) FROM r)
+SELECT ch, t, name, round(beta, 6) + 0.0 AS beta, round(stderr, 6) + 0.0 AS stderr, round(beta / stderr, 6) + 0.0 AS t_value FROM o"""
+
+
+@query("linear_regression_many", MANY, "epochs")
+def _(spark, d):
+    design = {"one": F.lit(1.0), "a": F.col("epoch") % 11, "b": F.col("condition") * F.col("condition")}
+    return rounded(S.linear_regression_many(V.epochs(spark, d), design), "beta", "stderr", "t_value")
+
+
+#: Ten subjects, two factors of three and two levels.
+CROSSED = """WITH f AS (SELECT epoch % 10 AS s, epoch // 10 % 3 AS a, epoch // 30 % 2 AS b, ch, t, avg(value) AS v FROM epochs GROUP BY ALL),
+m AS (SELECT *, avg(v) OVER (PARTITION BY ch, t) AS m, avg(v) OVER (PARTITION BY ch, t, a) AS ma, avg(v) OVER (PARTITION BY ch, t, b) AS mb, avg(v) OVER (PARTITION BY ch, t, s) AS ms, avg(v) OVER (PARTITION BY ch, t, a, b) AS mab, avg(v) OVER (PARTITION BY ch, t, s, a) AS msa, avg(v) OVER (PARTITION BY ch, t, s, b) AS msb FROM f),
+e AS (SELECT ch, t, 'A' AS effect, sum((ma - m) ** 2) / 2 / (sum((msa - ms - ma + m) ** 2) / (2 * 9)) AS f FROM m GROUP BY ch, t
+  UNION ALL SELECT ch, t, 'B', sum((mb - m) ** 2) / 1 / (sum((msb - ms - mb + m) ** 2) / (1 * 9)) FROM m GROUP BY ch, t
+  UNION ALL SELECT ch, t, 'A:B', sum((mab - ma - mb + m) ** 2) / 2 / (sum((v - msa - msb - mab + ms + ma + mb - m) ** 2) / (2 * 9)) FROM m GROUP BY ch, t)
+SELECT ch, t, effect, round(f, 6) + 0.0 AS f_value FROM e"""
+
+
+@query("f_mway_rm_two", CROSSED, "epochs")
+def _(spark, d):
+    own = V.epochs(spark, d).withColumns({"subject": F.col("epoch") % 10, "a": F.floor(F.col("epoch") / 10) % 3, "b": F.floor(F.col("epoch") / 30) % 2})
+    return rounded(S.anova_rm_two(own, "subject", "a", "b"), "f_value")
