@@ -9,16 +9,21 @@ that a match can need (the multi-match-aware windows). Only keys and line number
 A bucket (a key's lines) is never expanded into its pairs:
   1. its leader, the indexed line of the least number, is tried against each other member, and the
      links found give a first set of components;
-  2. then the bucket's indexed and probing lines meet as arrays, block by block (BLOCK lines or
-     BLOCK_CHARS characters at most), and a block gives only a number of links for each line and the
-     pairs of components that a link joins. A pair counts in its first common bucket alone.
+  2. a bucket of more than BLOCK lines is split again by what else its lines share. Two edits spoil two of
+     PARTS pieces of a line at most, so of any three pieces of an indexed line one stands in every line
+     linked to it, near its place: its three rarest pieces in the bucket are its keys there, and lines that
+     share nothing but the bucket's segment do not meet;
+  3. then the indexed and probing lines meet as arrays, block by block (BLOCK lines or BLOCK_CHARS
+     characters at most), and a block gives only a number of links for each line and the pairs of
+     components that a link joins. A pair counts in its first common bucket, and piece, alone.
 A candidate is verified in two steps. Two edits spoil two of PARTS pieces of a line at most, so all
 others have to stand in the other line near their places; and what is left goes through a banded
 bit-parallel edit distance: the 2 * threshold + 1 diagonals of the table are bits of a long, and a
 fold over the longer line's characters updates them all at once. No link is lost.
 
-Comparing lines that do share a segment takes time with the square of their number in a bucket (not
-rows): the number of links of each line is part of the result.
+Lines that share a segment and a piece that is rare there are compared each with each, so time, and rows of
+blocks (texts of 2 * BLOCK lines), go with the square of their number: the number of links of each line is
+part of the result.
 
 Defined results: a null text has no lines; blank lines take no part; lines of under least characters
 (LEAST unless given; the query gives 1, so that all are met) match only when equal; lines of any
@@ -189,10 +194,28 @@ def buckets(lines: DataFrame, threshold: int, least: int) -> DataFrame:
 
 
 def in_blocks(side: DataFrame, into: str) -> DataFrame:
-    """side: key, own (a struct with id and n). Rows of key, block and an array of own."""
-    sizes = side.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("own.n") / BLOCK_CHARS)).alias("blocks"))
-    dealt = side.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("own.id"), "blocks"))
-    return dealt.groupBy("key", "block").agg(F.collect_list("own").alias(into)).withColumnRenamed("block", f"{into}_block")
+    """side: key, piece, own (a struct with id and n). Rows of key, piece, block and an array of own."""
+    sizes = side.groupBy("key", "piece").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("own.n") / BLOCK_CHARS)).alias("blocks"))
+    dealt = side.join(sizes, ["key", "piece"]).withColumn("block", F.pmod(F.xxhash64("own.id"), "blocks"))
+    return dealt.groupBy("key", "piece", "block").agg(F.collect_list("own").alias(into)).withColumnRenamed("block", f"{into}_block")
+
+
+def meetings(xs: DataFrame, ys: DataFrame, threshold: int) -> DataFrame:
+    """xs (indexed) and ys: key, own (structs with id, n, line, component, pieces). Blocks of both that meet: key, piece,
+    xs, ys, xs_block, ys_block. In small buckets piece is 0; in others the x of a pair has chosen pieces, its
+    rarest ones there."""
+    large = ys.groupBy("key").count().filter(F.col("count") > BLOCK).select("key")
+    each = xs.join(large, "key", "left_semi").select("key", F.col("own.id").alias("id"), F.explode("own.pieces").alias("piece"))
+    rare = each.join(each.groupBy("key", "piece").count(), ["key", "piece"]).groupBy("key", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "piece"))), 1, threshold + 1).alias("r"))
+    rare = rare.select("key", "id", F.transform("r", lambda v: v["piece"]).alias("chosen"))
+    none = F.lit(None).cast("array<long>")
+    few = xs.join(large, "key", "left_anti").select("key", F.lit(0).cast("long").alias("piece"), F.col("own").withField("chosen", none).alias("own"))
+    many = xs.withColumn("id", F.col("own.id")).join(rare, ["key", "id"])
+    many = many.select("key", F.explode("chosen").alias("piece"), F.col("own").withField("chosen", F.col("chosen")).alias("own"))
+    wanted = many.select("key", "piece").distinct()
+    small = ys.join(large, "key", "left_anti").select("key", F.lit(0).cast("long").alias("piece"), "own")
+    split = ys.join(large, "key", "left_semi").select("key", F.explode("own.pieces").alias("piece"), "own").join(wanted, ["key", "piece"], "left_semi")
+    return in_blocks(few.unionByName(many), "xs").join(in_blocks(small.unionByName(split), "ys"), ["key", "piece"])
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -214,14 +237,15 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST)
     own = [F.col("line_id").alias("id"), F.col("m").alias("n"), "line", F.coalesce("component", "line_id").alias("component")]
     met = written(met.repartition("key", "line_id").select("key", "indexed", F.struct(*own, pieces(F.col("line"), F.col("n"), threshold, threshold).alias("pieces")).alias("own")))
     put = F.struct("own.id", "own.n", "own.line", "own.component", pieces(F.col("own.line"), F.col("own.n"), threshold, 0).alias("pieces"))
-    both = in_blocks(met.filter("indexed").select("key", put.alias("own")), "xs").join(in_blocks(met.select("key", "own"), "ys"), "key")
-    both = both.repartition("key", "xs_block", "ys_block")
+    both = meetings(met.filter("indexed").select("key", put.alias("own")), met.select("key", "own"), threshold)
+    both = both.repartition("key", "piece", "xs_block", "ys_block")
 
     def linked(x: Column, y: Column) -> Column:
         ordered = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["id"] < y["id"]))
         alike = F.size(F.array_intersect(x["pieces"], y["pieces"])) >= n_pieces(threshold) - threshold
+        first = x["chosen"].isNull() | (F.array_min(F.array_intersect(x["chosen"], y["pieces"])) == F.col("piece"))
         here = first_key(x["line"], x["n"], y["line"], y["n"], threshold) == F.col("key")
-        return ordered & alike & here & (edit_distance(x["line"], y["line"], threshold) <= threshold)
+        return ordered & first & alike & here & (edit_distance(x["line"], y["line"], threshold) <= threshold)
 
     pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["component"], y["component"]).alias("p"), F.greatest(x["component"], y["component"]).alias("q"))
     pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: linked(x, y)), lambda y: pair(x, y))))

@@ -324,3 +324,71 @@ def test_images_of_too_many_pixels(spark):
     assert (got[1]["image_height"], got[1]["image_width"]) == (2, 2)
     assert "4 are decoded" not in str(media.decode_column(spark.createDataFrame([(1, bytearray(small))], "id long, image binary"), "image", 4).first()["image_error"])
     assert "3 are decoded" in media.decode_column(spark.createDataFrame([(1, bytearray(small))], "id long, image binary"), "image", 3).first()["image_error"]
+
+
+# --- line dedup: hot segments
+
+
+def hot_lines(rng, n):
+    """Lines that share their last 40 characters and little else, and a few that are near each other."""
+    tail = " and all rights to this text are reserved"[:40]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(rng.choices(letters, k=80)) + tail for _ in range(n)]
+    for k in range(0, n - 1, 9):  # two edits away, anywhere
+        x = list(lines[k])
+        for _ in range(2):
+            x[rng.randrange(len(x))] = rng.choice(letters)
+        lines[k + 1] = "".join(x)
+    for k in range(4, n - 1, 11):
+        at = rng.randrange(100)
+        lines[k + 1] = lines[k][:at] + "z" + lines[k][at:]
+    return lines
+
+
+def edits(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def test_hot_segment_links(spark):
+    """A bucket of several hundred lines: every link is found, once."""
+    from neurolattice.llm import line_dedup
+
+    lines = sorted(set(hot_lines(random.Random(12), 260)))
+    table = line_dedup.distinct_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    names = {r["line_id"]: r["line"] for r in table.collect()}
+    got = {names[r["line_id"]]: (names[r["component"]], r["n_links"]) for r in line_dedup.line_links(table).collect()}
+    links = defaultdict(set)
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if abs(len(a) - len(b)) <= 2 and edits(a, b, 2) <= 2:
+                links[a].add(b)
+                links[b].add(a)
+    assert {k: n for k, (_, n) in got.items()} == {k: len(v) for k, v in links.items()} and len(links) > 50
+    for a, others in links.items():
+        assert all(got[a][0] == got[b][0] for b in others)
+
+
+def test_hot_segment_grows_in_proportion(spark, monkeypatch):
+    """What meets in a bucket grows with its lines, not with their square."""
+    from neurolattice.llm import line_dedup
+    from pyspark.sql import functions as F
+
+    sizes, real = [], line_dedup.meetings
+
+    def counted(xs, ys, threshold):
+        out = real(xs, ys, threshold)
+        sizes.append(out.agg(F.coalesce(F.sum(F.size("xs") + F.size("ys")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(line_dedup, "meetings", counted)
+    for n in (200, 800):
+        table = line_dedup.distinct_lines(spark.createDataFrame([(1, "\n".join(hot_lines(random.Random(n), n)))], "doc_id long, text string"))
+        line_dedup.line_links(table).count()
+    assert 0 < sizes[1] < 6 * sizes[0]
