@@ -70,13 +70,26 @@ def over_blocks(df: DataFrame, kernel: Callable[[Part], dict[str, np.ndarray]],
     kinds = dict(rows.dtypes)
     names = [c.split()[0] for c in columns.split(", ")]
 
+    def joined(batch: pa.RecordBatch, of: list[int], made: list[dict]) -> pa.RecordBatch:
+        again = pa.array(np.repeat(of, [len(m[names[0]]) for m in made]))
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(again) for k in keys), *(pa.array(np.concatenate([m[c] for m in made])) for c in names)], [*keys, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ends = batch.column("at").offsets.to_numpy()
+            at, value = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("at", "value"))
+            first, last, number = (batch.column(c).to_numpy() for c in ("first", "last", "block"))
+            of, made, size = [], [], 0
             for i in range(batch.num_rows):
-                at, value = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "value"))
-                made = kernel(Part(at, value, *(batch.column(c)[i].as_py() for c in ("first", "last", "block")), block, left, right, reflect))
-                n = len(made[names[0]])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(np.full(n, i))) for k in keys), *(pa.array(made[c]) for c in names)], [*keys, *names])
+                own = slice(ends[i], ends[i + 1])
+                made.append(kernel(Part(at[own], value[own], int(first[i]), int(last[i]), int(number[i]), block, left, right, reflect)))
+                of.append(i)
+                size += len(made[-1][names[0]])
+                if size > SIZE:
+                    yield joined(batch, of, made)
+                    of, made, size = [], [], 0
+            if made:
+                yield joined(batch, of, made)
 
     return rows.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns]))
 
