@@ -48,4 +48,4 @@ def r6(column):
     return F.round(column, 6) + F.lit(0.0)
 
 
-from . import queries_artifacts, queries_assemble, queries_blocks, queries_clusters, queries_covariance, queries_events, queries_inverse, queries_kernels, queries_mesh, queries_models, queries_more, queries_regression, queries_signal, queries_stats  # noqa: E402, F401
+from . import queries_artifacts, queries_assemble, queries_blocks, queries_clusters, queries_covariance, queries_events, queries_files, queries_inverse, queries_kernels, queries_mesh, queries_models, queries_more, queries_regression, queries_signal, queries_stats  # noqa: E402, F401

@@ -1,8 +1,9 @@
-"""Recordings from files, as Python data sources: "edf" (EDF and BDF) and "brainvision".
+"""Recordings from files, as Python data sources: "edf" (EDF and BDF) and "brainvision"; FIF is in fiff.py.
 
-Both give rows (ch int, ch_name string, samp long, value double). Headers are read on the driver;
-partitions are (file, channel block, record range), so a large file is read by many tasks and a
-filter on ch or samp reads only its blocks. Values are in the header's physical units.
+Both give rows (rec string, ch int, ch_name string, samp long, value double), rec the file's name. Tasks read a
+file's header and then a range of samples of all its channels, by ranged reads of any file system that pyarrow
+opens; the driver lists names and sizes only. A filter on ch or samp reads or gives only what it asks for. Values
+are in the header's physical units.
 
     spark.dataSource.register(EdfSource); spark.read.format("edf").load(path)
 """
@@ -18,9 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-SCHEMA = "ch int, ch_name string, samp long, value double"
-NAMES = ["ch", "ch_name", "samp", "value"]
+from . import fiff, files
+
+SCHEMA = "rec string, ch int, ch_name string, samp long, value double"
+NAMES = ["rec", "ch", "ch_name", "samp", "value"]
 BLOCK = 1 << 16
+SHARE = 1 << 26  # bytes of a file that a task reads, about
 
 
 @dataclass
@@ -35,11 +39,11 @@ class Header:
 
 
 def edf_header(path: str) -> Header:
-    with open(path, "rb") as f:
-        head = f.read(256)
+    with files.Ranged(path) as f:
+        head = f.read(0, 256)
         wide = head[:1] == b"\xff"
         n_signals, size = int(head[252:256]), int(head[184:192])
-        rest = f.read(256 * n_signals)
+        rest, length = f.read(256, 256 * n_signals), f.size
     records, seconds = int(head[236:244]), float(head[244:252])
 
     def field(at: int, width: int) -> list[str]:
@@ -50,21 +54,27 @@ def edf_header(path: str) -> Header:
     low, high, dlow, dhigh = ([float(x) for x in field(at, 8)] for at in (104, 112, 120, 128))
     width = 3 if wide else 2
     if records < 0:
-        records = (os.path.getsize(path) - size) // (width * sum(per))
+        records = (length - size) // (width * sum(per))
     gain = [(b - a) / (d - c) if d != c else 1.0 for a, b, c, d in zip(low, high, dlow, dhigh, strict=True)]
     offset = [a - c * g for a, c, g in zip(low, dlow, gain, strict=True)]
     layout = {"size": size, "records": records, "per": per, "width": width, "seconds": seconds, "texts": [i for i, n in enumerate(names) if n in ("EDF Annotations", "BDF Annotations")]}
     return Header(path, names, [p / seconds if seconds else 0.0 for p in per], gain, offset, [p * records for p in per], layout)
 
 
-def edf_values(h: Header, ch: int, first: int, last: int) -> np.ndarray:
-    """Digital values of records first to last of one signal."""
+def edf_records(h: Header, f: files.Ranged, first: int, last: int) -> np.ndarray:
+    """Bytes of records first to last, a row each."""
+    row = sum(h.layout["per"]) * h.layout["width"]
+    return np.frombuffer(f.read(h.layout["size"] + first * row, (last - first) * row), np.uint8).reshape(-1, row)
+
+
+def edf_values(h: Header, records: np.ndarray, ch: int) -> np.ndarray:
+    """Digital values of one signal in records."""
     per, width = h.layout["per"], h.layout["width"]
-    row, before = sum(per) * width, sum(per[:ch]) * width
-    raw = np.memmap(h.path, np.uint8, "r", h.layout["size"], ((h.layout["records"]), row))[first:last, before : before + per[ch] * width]
+    before = sum(per[:ch]) * width
+    raw = np.ascontiguousarray(records[:, before : before + per[ch] * width])
     if width == 2:
-        return np.ascontiguousarray(raw).view("<i2").ravel().astype(float)
-    b = np.ascontiguousarray(raw).reshape(-1, 3).astype(np.int32)
+        return raw.view("<i2").ravel().astype(float)
+    b = raw.reshape(-1, 3).astype(np.int32)
     v = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
     return np.where(v >= 1 << 23, v - (1 << 24), v).astype(float)
 
@@ -72,18 +82,21 @@ def edf_values(h: Header, ch: int, first: int, last: int) -> np.ndarray:
 def edf_annotations(path: str) -> list[tuple[float, float, str]]:
     """(onset, duration, description) of the annotation signals' lists."""
     h, out = edf_header(path), []
-    for ch in h.layout["texts"]:
-        per, width = h.layout["per"][ch], h.layout["width"]
-        data = np.memmap(path, np.uint8, "r", h.layout["size"], (h.layout["records"], sum(h.layout["per"]) * width))
-        at = sum(h.layout["per"][:ch]) * width
-        for record in data[:, at : at + per * width]:
-            for m in re.finditer(rb"([+-]\d+\.?\d*)(?:\x15(\d+\.?\d*))?\x14([^\x00]*)\x14\x00?", record.tobytes()):
-                out += [(float(m[1]), float(m[2] or 0), t) for t in m[3].decode("utf-8", "replace").split("\x14") if t]
+    per, width, records = h.layout["per"], h.layout["width"], h.layout["records"]
+    step = max(1, SHARE // max(1, sum(per) * width))
+    with files.Ranged(path) as f:
+        for a in range(0, records if h.layout["texts"] else 0, step):
+            data = edf_records(h, f, a, min(a + step, records))
+            for ch in h.layout["texts"]:
+                at = sum(per[:ch]) * width
+                for record in data[:, at : at + per[ch] * width]:
+                    for m in re.finditer(rb"([+-]\d+\.?\d*)(?:\x15(\d+\.?\d*))?\x14([^\x00]*)\x14\x00?", record.tobytes()):
+                        out += [(float(m[1]), float(m[2] or 0), t) for t in m[3].decode("utf-8", "replace").split("\x14") if t]
     return sorted(out)
 
 
 def brainvision_header(path: str) -> Header:
-    text = open(path, encoding="utf-8", errors="replace").read()
+    text = files.whole(path).decode("utf-8", "replace").replace("\r\n", "\n")
     body = text[text.index("[Common Infos]") :].split("\n[Comment]")[0]
     ini = configparser.ConfigParser(interpolation=None, strict=False, comment_prefixes=(";",))
     ini.optionxform = str
@@ -92,8 +105,8 @@ def brainvision_header(path: str) -> Header:
     n = int(common["NumberOfChannels"])
     parts = [ini["Channel Infos"][f"Ch{i + 1}"].split(",") for i in range(n)]
     kind = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4", "INT_32": "<i4"}[ini.get("Binary Infos", "BinaryFormat", fallback="INT_16")]
-    data = os.path.join(os.path.dirname(path), common["DataFile"].replace("$b", os.path.splitext(os.path.basename(path))[0]))
-    samples = os.path.getsize(data) // (np.dtype(kind).itemsize * n)
+    data = files.beside(path, common["DataFile"].replace("$b", os.path.splitext(os.path.basename(path))[0]))
+    samples = sum(files.sizes(data).values()) // (np.dtype(kind).itemsize * n)
     sfreq = 1e6 / float(common["SamplingInterval"])
     gain = [float(p[2]) if len(p) > 2 and p[2] else 1.0 for p in parts]
     layout = {"data": data, "kind": kind, "vectorised": common.get("DataOrientation", "MULTIPLEXED") == "VECTORIZED", "markers": common.get("MarkerFile")}
@@ -103,27 +116,35 @@ def brainvision_header(path: str) -> Header:
 def brainvision_markers(path: str) -> list[tuple[str, str, int, int, int]]:
     """(type, description, sample from 0, size, channel) of a marker file."""
     out = []
-    for m in re.finditer(r"^Mk\d+=([^,\n]*),([^,\n]*),(\d+),(\d+),(\d+)", open(path, encoding="utf-8", errors="replace").read(), re.M):
+    for m in re.finditer(r"^Mk\d+=([^,\n]*),([^,\n]*),(\d+),(\d+),(\d+)", files.whole(path).decode("utf-8", "replace").replace("\r\n", "\n"), re.M):
         out.append((m[1], m[2].replace("\\1", ","), int(m[3]) - 1, int(m[4]), int(m[5])))
     return out
 
 
 @dataclass
-class Block(InputPartition):
-    header: Header
-    ch: int
-    first: int
-    last: int
+class Share(InputPartition):
+    path: str
+    k: int
+    of: int  # shares of the file
 
 
 class Reader(DataSourceReader):
-    def __init__(self, headers: list[Header]):
-        self.headers, self.chs, self.low, self.high = headers, None, 0, 1 << 62
+    def __init__(self, path: str, ends: tuple[str, ...]):
+        self.chs, self.low, self.high = None, 0, 1 << 62
+        listed = files.sizes(path)
+        if len(listed) == 1 and path in listed and path.endswith(".vhdr"):
+            listed |= files.sizes(os.path.dirname(path) or ".")  # the data is beside
+        stem = lambda p: os.path.splitext(os.path.basename(p))[0]
+        named = [path] if path in listed else [p for p in listed if p.lower().endswith(ends)]
+        total: dict[str, int] = {}
+        for p, n in listed.items():
+            total[stem(p)] = max(total.get(stem(p), 0), n)
+        self.shares = [Share(p, k, of) for p in named for of in [max(1, -(-total[stem(p)] // SHARE))] for k in range(of)]
 
     def pushFilters(self, filters):  # noqa: N802
-        """Equal ch and bounds of samp choose blocks; Spark still checks bounds of samp by row."""
+        """Equal ch and bounds of samp choose what is read; Spark still checks bounds of samp by row."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("ch",):
+            if isinstance(f, EqualTo) and f.attribute == ("ch",) and self.chs is None:
                 self.chs = {f.value}
                 continue
             if isinstance(f, GreaterThanOrEqual) and f.attribute == ("samp",):
@@ -133,33 +154,45 @@ class Reader(DataSourceReader):
             yield f
 
     def partitions(self):
-        out = []
-        for h in self.headers:
-            for ch in range(len(h.names)):
-                if (self.chs is not None and ch not in self.chs) or ch in h.layout.get("texts", ()):
-                    continue
-                out += [Block(h, ch, a, min(a + BLOCK, h.n[ch])) for a in range(0, h.n[ch], BLOCK) if a <= self.high and a + BLOCK > self.low]
-        return out
-
-    def read(self, block: Block):
-        h, ch = block.header, block.ch
-        if "per" in h.layout:
-            per = h.layout["per"][ch]
-            first, last = block.first // per, -(-block.last // per)
-            x = edf_values(h, ch, first, last)[block.first - first * per : block.last - first * per]
-        else:
-            n = len(h.names)
-            data = np.memmap(h.layout["data"], h.layout["kind"], "r")
-            whole = data[: n * h.n[0]].reshape(n, -1) if h.layout["vectorised"] else data[: n * h.n[0]].reshape(-1, n).T
-            x = whole[ch, block.first : block.last].astype(float)
-        m = len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ch, np.int32)), pa.array([h.names[ch]] * m), pa.array(np.arange(block.first, block.first + m)), pa.array(x * h.gain[ch] + h.offset[ch])], NAMES)
-
-
-def paths_of(options) -> list[str]:
-    path = options["path"]
-    path = path.removeprefix("file://")
-    return sorted(os.path.join(path, f) for f in os.listdir(path)) if os.path.isdir(path) else [path]
+        return self.shares
+
+    def rows(self, h: Header, ch: int, first: int, x: np.ndarray):
+        """Batches of values x from sample first on, between the bounds."""
+        a, b = max(0, self.low - first), min(len(x), self.high + 1 - first)
+        for at in range(a, b, BLOCK):
+            part = x[at : min(at + BLOCK, b)]
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([pa.repeat(os.path.basename(h.path), m), pa.array(np.full(m, ch, np.int32)), pa.repeat(h.names[ch], m), pa.array(np.arange(first + at, first + at + m)), pa.array(part * h.gain[ch] + h.offset[ch])], NAMES)
+
+
+class EdfReader(Reader):
+    def read(self, share: Share):
+        h = edf_header(share.path)
+        per, records = h.layout["per"], h.layout["records"]
+        chs = [c for c in range(len(h.names)) if (self.chs is None or c in self.chs) and c not in h.layout["texts"] and per[c]]
+        step = max(1, (1 << 22) // max(1, sum(per) * h.layout["width"]))
+        with files.Ranged(share.path) as f:
+            for a in range(records * share.k // share.of, records * (share.k + 1) // share.of, step):
+                b = min(a + step, records * (share.k + 1) // share.of)
+                wanted = [c for c in chs if a * per[c] <= self.high and b * per[c] > self.low]
+                data = edf_records(h, f, a, b) if wanted else None
+                for ch in wanted:
+                    yield from self.rows(h, ch, a * per[ch], edf_values(h, data, ch))
+
+
+class BrainVisionReader(Reader):
+    def read(self, share: Share):
+        h = brainvision_header(share.path)
+        n_ch, n, kind = len(h.names), h.n[0], np.dtype(h.layout["kind"])
+        chs = [c for c in range(n_ch) if self.chs is None or c in self.chs]
+        low, high = max(self.low, n * share.k // share.of), min(self.high + 1, n * (share.k + 1) // share.of)
+        with files.Ranged(h.layout["data"]) as f:
+            for a in range(low, high if chs else low, BLOCK):
+                m = min(BLOCK, high - a)
+                get = lambda at, count: np.frombuffer(f.read(at * kind.itemsize, count * kind.itemsize), kind)
+                whole = None if h.layout["vectorised"] else get(a * n_ch, m * n_ch).reshape(m, n_ch)
+                for ch in chs:
+                    yield from self.rows(h, ch, a, (get(ch * n + a, m) if whole is None else whole[:, ch]).astype(float))
 
 
 class EdfSource(DataSource):
@@ -171,7 +204,7 @@ class EdfSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return Reader([edf_header(p) for p in paths_of(self.options) if p.lower().endswith((".edf", ".bdf"))])
+        return EdfReader(self.options["path"], (".edf", ".bdf"))
 
 
 class BrainVisionSource(DataSource):
@@ -183,22 +216,22 @@ class BrainVisionSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return Reader([brainvision_header(p) for p in paths_of(self.options) if p.endswith(".vhdr")])
+        return BrainVisionReader(self.options["path"], (".vhdr",))
 
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (EdfSource, BrainVisionSource):
+    for source in (EdfSource, BrainVisionSource, fiff.FifSource, fiff.FifEpochsSource, fiff.FifEvokedSource):
         spark.dataSource.register(source)
 
 
 def read_raw(spark, path: str):
     """A recording by its extension."""
     register(spark)
-    kinds = {".edf": "edf", ".bdf": "edf", ".vhdr": "brainvision"}
+    kinds = {".edf": "edf", ".bdf": "edf", ".vhdr": "brainvision", ".fif": "fif"}
     kind = kinds.get(os.path.splitext(path)[1].lower())
     if kind:
-        return spark.read.format(kind).load(path)
+        return spark.read.format(kind).load(files.qualified(spark, path))
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"no reader for {path}")

@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from neurolattice.sources import recordings, sinks, texts
 
@@ -31,6 +32,30 @@ def test_edf(spark, samples, tmp_path):
     assert got.filter("ch = 1 AND samp >= 10 AND samp <= 19").count() == 10
 
 
+def test_sinks_in_pieces(spark, tmp_path):
+    """Many pieces and batches; small values; what is missing or repeated is an error, nothing is left behind."""
+    x = np.random.default_rng(1).standard_normal((3, 2345)) * 2e-6
+    df = spark.createDataFrame([(c, s, float(x[c, s])) for c in range(3) for s in range(2345)], "ch int, samp long, value double").withColumn("samp", F.col("samp") + 7)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sinks, "COPY", 1000)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        sinks.export_edf(df, str(tmp_path / "a.edf"), 100, ["a", "b", "c"], "V")
+        sinks.export_brainvision(df, str(tmp_path / "b"), 100.0, ["a", "b", "c"])
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    edf, bv = ({(r["ch"], r["samp"]): r["value"] for r in recordings.read_raw(spark, str(tmp_path / f)).collect()} for f in ("a.edf", "b.vhdr"))
+    assert len(edf) == 3 * 2400 and len(bv) == x.size
+    assert max(abs(edf[c, s] - x[c, s]) for c in range(3) for s in range(2345)) < np.abs(x).max() * 1.2 / 32767 and edf[2, 2399] == pytest.approx(0, abs=1e-9)
+    assert max(abs(bv[c, s] - x[c, s]) for c in range(3) for s in range(2345)) < 1e-12
+    for bad in (df.filter("samp <> 50 OR ch <> 1"), df.filter("samp <> 50 OR ch <> 1").union(df.filter("samp = 51 AND ch = 1")), df.filter("ch < 2")):
+        with pytest.raises(Exception):  # noqa: B017
+            sinks.export_edf(bad, str(tmp_path / "c.edf"), 100, ["a", "b", "c"])
+    sinks.export_brainvision(df.limit(0), str(tmp_path / "d"), 100.0, ["a"])
+    sinks.export_edf(df.limit(0), str(tmp_path / "e.edf"), 100, ["a"])
+    assert recordings.read_raw(spark, str(tmp_path / "d.vhdr")).count() == recordings.read_raw(spark, str(tmp_path / "e.edf")).count() == 0
+    assert {p.name for p in tmp_path.iterdir()} == {"a.edf", "b.eeg", "b.vhdr", "b.vmrk", "d.eeg", "d.vhdr", "d.vmrk", "e.edf"}
+    assert [sinks.bound(v) for v in (1e-9, 176.2339, 1234567.0)] == ["1.1e-09", "176.236", "1.4e+06"]
+
+
 def test_bdf(spark, tmp_path):
     path = tmp_path / "b.bdf"
     pad = lambda s, k: str(s).ljust(k).encode()
@@ -53,8 +78,6 @@ def test_brainvision(spark, samples, tmp_path):
 
 
 def test_raw_parquet(spark, samples, tmp_path):
-    from pyspark.sql import functions as F
-
     sinks.save_raw(samples[1].withColumn("rec", F.lit(1)), str(tmp_path / "raw.parquet"))
     assert recordings.read_raw(spark, str(tmp_path / "raw.parquet")).count() == 1350
 
