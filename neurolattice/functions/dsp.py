@@ -312,18 +312,6 @@ def tddr(x: np.ndarray, sfreq: float) -> np.ndarray:
     return fixed - fixed.mean() + fast + mean
 
 
-def qrs(x: np.ndarray, sfreq: float, threshold: float = 0.6) -> np.ndarray:
-    """Positions of heart beats: the largest deviation within each run over the threshold of the maximum."""
-    y = np.abs(filter_data(x, sfreq, 5.0, min(35.0, sfreq / 2 - 1))) if sfreq > 20 else np.abs(x - x.mean())
-    over, gap, out = np.flatnonzero(y > threshold * y.max()), max(1, int(0.35 * sfreq)), []
-    for i in over:
-        if out and i - out[-1] <= gap:
-            out[-1] = i if y[i] > y[out[-1]] else out[-1]
-        else:
-            out.append(i)
-    return np.array(out, int)
-
-
 def yule_walker(x: np.ndarray, order: int = 2) -> np.ndarray:
     """Coefficients of the filter that whitens x: 1, -a1, -a2 ..."""
     y = x - x.mean()

@@ -39,7 +39,8 @@ def blocks(df: DataFrame, left: int, right: int, keys: tuple[str, ...] = ("ch",)
     at = F.col(order).cast("long")
     own = df.select(*keys, at.alias("at"), F.col("value").cast("double").alias("value"), F.explode(F.sequence(F.floor((at - right) / size), F.floor((at + left) / size))).alias("block"))
     rows = own.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x"))
-    rows = rows.join(bounds(df, keys, order), list(keys))
+    ends = bounds(df, keys, order).select(*(F.col(k).alias(f"_of_{k}") for k in keys), "first", "last")
+    rows = rows.join(ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     # halos beyond the ends make no block
     rows = rows.filter((F.col("block") >= F.floor(F.col("first") / size)) & (F.col("block") <= F.floor(F.col("last") / size)))
     return rows.select(*keys, "block", "first", "last", F.col("x.at").alias("at"), F.col("x.value").alias("value"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import artifacts as A
+from ..operators import beats
 from . import views as V
 from .queries_blocks import RAW, raw
 from .queries_kernels import fir_sql
@@ -64,3 +66,30 @@ def _(spark, d):
 @query("ems_filters", f"{EMS} SELECT ch, t, round(avg(u), 6) + 0.0 AS weight FROM u GROUP BY ch, t", "epochs")
 def _(spark, d):
     return rounded(A.ems_filters(V.epochs(spark, d), 1, 2), "weight")
+
+
+#: Windows of 50 samples from filtered z (ch, samp, value), for 16 thresholds; the table nx has each place's next crossing.
+BEATS = """b AS (SELECT ch, min(samp) AS first, count(*) AS n FROM z GROUP BY 1),
+v AS (SELECT ch, avg(m) AS level FROM (SELECT ch, max(abs(value)) AS m FROM z JOIN b USING (ch) WHERE samp < first + 300 GROUP BY ch, (samp - first) // 100) GROUP BY 1),
+c AS (SELECT ch, k, samp, samp < first + n - 50 AND abs(value) > (30 + 5 * k) / 100 * level AS over FROM z JOIN b USING (ch) JOIN v USING (ch), range(0, 16) r(k)),
+nx AS MATERIALIZED (SELECT ch, k, samp, min(CASE WHEN over THEN samp END) OVER (PARTITION BY ch, k ORDER BY samp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s FROM c),
+w AS (SELECT ch, k, s FROM nx JOIN b USING (ch) WHERE samp = first UNION ALL SELECT nx.ch, nx.k, nx.s FROM w JOIN nx ON nx.ch = w.ch AND nx.k = w.k AND nx.samp = w.s + 50),
+e AS (SELECT ch, k, s, arg_max(samp, abs(value)) AS samp, sqrt(avg(value * value)) AS rms FROM w JOIN z USING (ch) WHERE z.samp >= s AND z.samp < s + 50 GROUP BY ALL),
+g AS (SELECT ch, k, e.samp FROM (SELECT *, avg(rms) OVER (PARTITION BY ch, k) + 2.5 * stddev_pop(rms) OVER (PARTITION BY ch, k) AS bound FROM e) e WHERE rms < bound),
+q AS (SELECT ch, k, 60 * count(*) / (any_value(n) / 100.0) AS rate FROM g JOIN b USING (ch) GROUP BY ch, k),
+i AS (SELECT ch, coalesce(median(rate) FILTER (rate BETWEEN 40 AND 160), 80) AS ideal FROM q GROUP BY 1),
+o AS (SELECT ch, arg_min(k, abs(rate - ideal) * 1e6 + k) AS k FROM q JOIN i USING (ch) GROUP BY 1)
+SELECT ch, samp FROM g JOIN o USING (ch, k)"""
+BAND = dsp.design_fir(100.0, 5.0, 35.0)
+BEAT_BAND = fir_sql(np.convolve(BAND, BAND), "raw").replace("round(", "(").replace(", 6) + 0.0 AS value", ") AS value")
+
+
+@query("find_ecg_events", f"WITH RECURSIVE {RAW}, z AS MATERIALIZED ({BEAT_BAND}), {BEATS}", "epochs")
+def _(spark, d):
+    return beats.find_ecg_events(raw(spark, d).select("ch", "samp", "value"), 100.0)
+
+
+@query("qrs_detector", f"WITH RECURSIVE {RAW}, z AS (SELECT ch, samp, value FROM raw), {BEATS}", "epochs")
+def _(spark, d):
+    """Channels as they are, without the filter."""
+    return beats.qrs_detector(raw(spark, d).select("ch", "samp", "value"), 100.0)

@@ -174,11 +174,6 @@ def _(spark, d):
     return K.events_of(sig(spark, d), dsp.peak_finder)
 
 
-@query("find_ecg_events")
-def _(spark, d):
-    return K.events_of(sig(spark, d), lambda x: dsp.qrs(x, 100.0))
-
-
 #: Two coefficients from the autocorrelations at lags 0 to 2.
 AR = "WITH c AS (SELECT ch, samp, value - avg(value) OVER (PARTITION BY ch) AS y, count(*) OVER (PARTITION BY ch) AS n FROM signal), l AS (SELECT ch, y, lag(y) OVER w AS y1, lag(y, 2) OVER w AS y2 FROM c WHERE n > 8 WINDOW w AS (PARTITION BY ch ORDER BY samp)), r AS (SELECT ch, sum(y * y) AS r0, sum(y * y1) AS r1, sum(y * y2) AS r2 FROM l GROUP BY 1) SELECT ch, k, round(CASE k WHEN 0 THEN 1.0 WHEN 1 THEN (r1 * r2 - r0 * r1) / (r0 * r0 - r1 * r1) ELSE (r1 * r1 - r0 * r2) / (r0 * r0 - r1 * r1) END, 6) + 0.0 AS coef FROM r, range(0, 3) t(k)"
 
