@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from .covariance import covariance  # noqa: F401
 #: The kinds of data channels, in the order of default picks.
 DATA_KINDS = ("mag", "grad", "eeg", "csd", "seeg", "ecog", "dbs", "hbo", "hbr", "fnirs_cw_amplitude", "fnirs_od")
 
+LITERAL = 4096  # weights that go into a plan
+MOST = 1 << 27  # weights that are sent to every worker
+
 
 def pick_channels(df: DataFrame, include: Sequence = (), exclude: Sequence = (), name: str = "ch") -> DataFrame:
     if include:
@@ -73,13 +78,54 @@ def bipolar(df: DataFrame, pairs: Sequence[tuple[int, int]], keys: tuple[str, ..
 def mix(df: DataFrame, matrix: Sequence[Sequence[float]], keys: tuple[str, ...] = ("epoch", "t")) -> DataFrame:
     """Rows of the matrix times the channels: projectors, unmixing, inverse kernels, morphs. Each
     sample meets its column as an array literal, so the join with the matrix needs no shuffle; rows are
-    summed in channel order within their keys. Chains of matrices are multiplied before this is called."""
+    summed in channel order within their keys. Chains of matrices are multiplied before this is called.
+    Matrices of more than LITERAL weights, too long for a plan, are multiplied in batches to the same rows."""
     rows = len(matrix)
+    if rows * len(matrix[0]) > LITERAL:
+        return multiplied(df, np.asarray(matrix, float), keys)
     columns = F.array(*(F.array(*(F.struct(F.lit(r).alias("row"), F.lit(float(matrix[r][c])).alias("w")) for r in range(rows) if matrix[r][c])) for c in range(len(matrix[0]))))
     spread = df.withColumn("m", F.explode(F.element_at(columns, F.col("ch").cast("int") + 1)))
     return spread.groupBy(F.col("m.row").cast("long").alias("ch"), *keys).agg(F.sum(F.col("m.w") * F.col("value")).alias("value"))
 
 
+def multiplied(df: DataFrame, matrix: np.ndarray, keys: tuple[str, ...] = ("epoch", "t"), combine: int = 1) -> DataFrame:
+    """ch (row of the matrix), keys, value: channels gathered by their keys, then matrix products of whole Arrow batches.
+    The matrix is broadcast, so it may have at most MOST weights. A row without a weight on a channel that is there
+    gives nothing, as in mix; null values count as missing. combine: so many rows on end are one, the root of the sum of
+    their squares."""
+    if matrix.size > MOST:
+        raise ValueError(f"a matrix of {matrix.size} weights; at most {MOST} are sent to every worker")
+    if len(matrix) % combine:
+        raise ValueError(f"{len(matrix)} rows are not groups of {combine}")
+    sent = df.sparkSession.sparkContext.broadcast(matrix)
+    gathered = df.filter("value IS NOT NULL").groupBy(*keys).agg(F.collect_list(F.col("ch").cast("int")).alias("_ch"), F.collect_list(F.col("value").cast("double")).alias("_value"))
+    kinds = dict(gathered.dtypes)
+
+    def run(batches):
+        weights = sent.value
+        used = weights != 0
+        step = max(1, (1 << 20) // max(1, len(weights)))
+        for whole in batches:
+            for batch in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
+                lists = batch.column("_ch")
+                of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                ch, value = lists.flatten().to_numpy(), batch.column("_value").flatten().to_numpy()
+                x = np.zeros((batch.num_rows, weights.shape[1]))
+                there = np.zeros(x.shape, bool)
+                np.add.at(x, (of, ch), value)
+                there[of, ch] = True
+                y = x @ weights.T
+                given = np.broadcast_to(used.any(1), y.shape) if there.all() else there.astype(np.float32) @ used.T.astype(np.float32) > 0
+                if combine > 1:
+                    y = np.sqrt((y.reshape(len(y), -1, combine) ** 2).sum(2))
+                    given = given.reshape(len(y), -1, combine).any(2)
+                at, row = np.nonzero(given)
+                again = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), *(batch.column(k).take(again) for k in keys), pa.array(y[at, row])], ["ch", *keys, "value"])
+
+    return gathered.mapInArrow(run, ", ".join(["ch long", *(f"{k} {kinds[k]}" for k in keys), "value double"]))
+
+
 def bridged(df: DataFrame, keys: tuple[str, ...] = ("epoch", "t")) -> DataFrame:
     """ch_i < ch_j and the variance over time of their difference, per epoch, then its median."""
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch", "value"))).alias("x"))

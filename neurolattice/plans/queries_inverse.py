@@ -39,6 +39,21 @@ FIXED = {
     "apply_inverse_sloreta": I.inverse_kernel(GAIN, NOISE, method="sLORETA"),
     "apply_inverse_depth": I.inverse_kernel(GAIN, NOISE, prior=I.depth_prior(GAIN)),
 }
+#: Six sources of three orientations, two of them along the surface.
+FREE = np.array([[np.cos(0.7 * c * (s + 1)) + 0.1 * s + 0.3 * np.sin(1.3 * c * s) for s in range(18)] for c in range(8)])
+FREE_KERNELS = {
+    "apply_inverse_free": I.inverse_kernel(FREE, NOISE, method="dSPM", orient=3),
+    "apply_inverse_loose": I.inverse_kernel(FREE, NOISE, method="sLORETA", orient=3, prior=I.loose_prior(6, 0.2) * I.depth_prior(FREE, orient=3)),
+    "apply_inverse_eloreta": I.inverse_kernel(FREE, NOISE, method="eLORETA", orient=3),
+}
+for name, matrix in FREE_KERNELS.items():
+
+    @query(name, f"SELECT ch // 3 AS ch, epoch, t, round(sqrt(sum(value * value)), 6) + 0.0 AS value FROM ({times(matrix).replace('round(sum(w * value), 6) + 0.0', 'sum(w * value)')}) GROUP BY ALL", "epochs")
+    def _(spark, d, matrix=matrix):
+        """The length of each source's vector."""
+        return rounded(I.apply_inverse(V.epochs(spark, d), matrix, 3))
+
+
 for name, matrix in FIXED.items():
 
     @query(name, times(matrix), "epochs")

@@ -121,3 +121,88 @@ def test_fdr(spark, method):
     assert np.allclose(out.loc[range(1500), "corrected"], want) and (out.loc[range(1500), "reject"].to_numpy() == reject).all()
     assert np.isnan(out.loc[9999, "corrected"]) and not out.loc[9999, "reject"]
     assert S.fdr(df.limit(0), ["i"]).count() == 0
+
+
+FREE = np.random.default_rng(11).standard_normal((6, 12))
+
+
+@pytest.mark.parametrize("method", ["MNE", "dSPM", "sLORETA"])
+def test_free_orientation(method):
+    prior = I.loose_prior(4, 0.3) * I.depth_prior(FREE, orient=3)
+    k = I.inverse_kernel(FREE, NOISE, 1 / 9, method, prior, 3)
+    inverse, source = np.linalg.inv(NOISE), np.diag(prior)
+    r = 6 / np.trace(FREE @ source @ FREE.T @ inverse)
+    plain = r * source @ FREE.T @ np.linalg.inv(FREE @ source @ FREE.T * r + NOISE / 9)
+    for s in range(4):
+        own = slice(3 * s, 3 * s + 3)
+        square = {"MNE": 1.0, "dSPM": np.trace((plain @ NOISE @ plain.T)[own, own]), "sLORETA": np.trace((plain @ FREE)[own, own])}[method]
+        assert np.allclose(k[own], plain[own] / np.sqrt(square))
+    # one factor a source: the greatest gain of any direction
+    d = [1 / np.linalg.svd(FREE[:, 3 * s : 3 * s + 3], compute_uv=False)[0] ** 2 for s in range(4)]
+    assert np.allclose(I.depth_prior(FREE, orient=3)[::3], (np.array(d) / max(d)) ** 0.8)
+    with pytest.raises(ValueError):
+        I.inverse_kernel(FREE[:, :11], NOISE, orient=3)
+
+
+@pytest.mark.parametrize("orient", [1, 3])
+def test_exact_weights_localise_exactly(orient):
+    rng = np.random.default_rng(12)
+    gain = rng.standard_normal((20, 30 * orient))
+    k = I.inverse_kernel(gain, np.eye(20), 0.05, "eLORETA", orient=orient)
+    for s in range(30):
+        x = gain[:, s * orient : (s + 1) * orient] @ rng.standard_normal(orient)
+        found = ((k @ x).reshape(-1, orient) ** 2).sum(1)
+        assert found.argmax() == s
+    r = I.exact_weights(gain, 0.05, orient, np.ones(gain.shape[1]))
+    own = I.by_source(gain, orient)
+    inverse = np.linalg.inv(np.einsum("sci,sij,sdj->cd", own, r, own) + 0.05 * np.eye(20))
+    again = I.power(own.swapaxes(1, 2) @ inverse @ own, -0.5)
+    assert np.allclose(again / np.linalg.norm(again), r / np.linalg.norm(r), atol=1e-4)
+    assert np.isclose(np.einsum("sci,sij,scj->", own, r, own), 20)
+
+
+def test_noise_of_lower_rank():
+    p = np.eye(6) - 1 / 6
+    k = I.inverse_kernel(p @ GAIN, p @ NOISE @ p, method="dSPM")
+    basis = np.linalg.svd(p)[0][:, :5]  # the same in coordinates where nothing is missing
+    assert np.allclose(k @ basis, I.inverse_kernel(basis.T @ GAIN, basis.T @ NOISE @ basis, method="dSPM"))
+    assert I.whitener(p @ NOISE @ p).shape == (5, 6) and I.whitener(np.diag([1.0, 0, 4])).shape == (2, 3)
+
+
+@pytest.mark.parametrize("norm", ["unit-gain", "unit-noise-gain"])
+def test_lcmv_orientations(norm):
+    rng = np.random.default_rng(13)
+    gain, turn = rng.standard_normal((10, 12)), np.array([0.6, -0.7, np.sqrt(1 - 0.85)])
+    cov = 50 * np.outer(gain[:, 3:6] @ turn, gain[:, 3:6] @ turn) + np.eye(10)
+    w = I.lcmv(gain, cov, 0.01, norm, orient=3, pick="max-power")
+    assert w.shape == (4, 10)
+    passed = w[1] @ gain[:, 3:6]
+    if norm == "unit-gain":
+        assert np.isclose(np.linalg.norm(I.lcmv(gain, cov, 0.01, norm, orient=3).reshape(4, 3, 10) @ gain[:, 3:6], axis=(1, 2))[1], np.sqrt(3))
+    assert abs(passed @ turn) / np.linalg.norm(passed) > 0.9
+    units = np.diag(10.0 ** rng.integers(-3, 4, 10))  # whitened, other units of the sensors change nothing
+    noise = np.eye(10) + 0.1
+    a, b = (I.lcmv(u @ gain, u @ cov @ u, 0.05, norm, u @ noise @ u, 3, "max-power") @ u for u in (np.eye(10), units))
+    assert np.allclose(np.abs(a), np.abs(b), rtol=1e-5, atol=1e-8)
+
+
+def test_products_in_batches(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(e, c, t, None if (e, c, t) == (1, 2, 0) else float(rng.standard_normal())) for e in range(3) for c in range(5) for t in range(4) if (e, c) not in ((0, 1), (2, 0))]
+    df = spark.createDataFrame(rows, "epoch long, ch long, t long, value double")
+    matrix = rng.standard_normal((6, 5))
+    matrix[1], matrix[2, 1:], matrix[3, 0] = 0, 0, 0
+    near = lambda a: {(r["ch"], r["epoch"], r["t"]): pytest.approx(r["value"]) for r in a.collect()}
+    literal = near(C.mix(df.filter("value IS NOT NULL"), matrix.tolist()))
+    monkeypatch.setattr(C, "LITERAL", 0)
+    assert near(C.mix(df, matrix.tolist())) == literal and (2, 2, 0) not in literal and (1, 0, 0) not in literal
+    assert C.mix(df.limit(0), matrix.tolist()).count() == 0
+    vectors = near(I.apply_inverse(df, matrix, 3, "vector"))
+    lengths = {(r["ch"], r["epoch"], r["t"]): r["value"] for r in I.apply_inverse(df, matrix, 3).collect()}
+    assert lengths[1, 1, 1] == pytest.approx(np.sqrt(sum(vectors[k, 1, 1].expected ** 2 for k in (3, 4, 5))))
+    assert near(I.apply_inverse(df, matrix, 3, "normal"))[1, 1, 1] == vectors[5, 1, 1].expected
+    big = rng.standard_normal((3000, 5))
+    assert C.mix(df, big.tolist()).count() == 3000 * 12
+    monkeypatch.setattr(C, "MOST", 100)
+    with pytest.raises(ValueError):
+        C.mix(df, big.tolist())
