@@ -117,7 +117,7 @@ def candidates(df: DataFrame, sfreq: float, fractions: tuple[float, ...] = FRACT
 def qrs_detector(df: DataFrame, sfreq: float, fractions: tuple[float, ...] = FRACTIONS, levels: float = 2.5, tstart: float = 0.0, keys: tuple[str, ...] = ("ch",), size: int = B.SIZE) -> DataFrame:
     """keys, samp: the beats of filtered channels (keys, samp, value). A window whose root mean square is not below the
     mean by levels deviations more is none. Of several thresholds the one counts whose rate is nearest to the median of
-    the plausible rates, of equal ones the lowest. Channels without any beat give no rows. Windows count from a crossing,
+    the plausible rates, of equal ones (to a millionth) the lowest. Channels without any beat give no rows. Windows count from a crossing,
     so a limit to further crossings in them would never exclude any, and there is none."""
     found = candidates(df, sfreq, fractions, tstart, keys, size)
     kept = cut(found)
@@ -127,7 +127,8 @@ def qrs_detector(df: DataFrame, sfreq: float, fractions: tuple[float, ...] = FRA
     rates = beats.groupBy(*keys, "k").agg((60 * F.count("*") / (F.first("n") / sfreq)).alias("rate"))
     plausible = F.median(F.when(F.col("rate").between(*RATES), F.col("rate")))
     ideal = rates.groupBy(*keys).agg(F.coalesce(plausible, F.lit(USUAL)).alias("ideal"))
-    far = F.struct(F.abs(F.col("a.rate") - F.col("b.ideal")), F.col("a.k"))
+    # a median between two rates is as far from both but for the last digits, so a difference of so little is none
+    far = F.abs(F.col("a.rate") - F.col("b.ideal")) * 1e6 + F.col("a.k")
     best = rates.alias("a").join(ideal.alias("b"), mine).groupBy(*(F.col(f"a.{k}") for k in keys)).agg(F.min_by("a.k", far).alias("k"))
     return beats.alias("a").join(best.alias("b"), [*mine, F.col("a.k") == F.col("b.k")]).select(*(F.col(f"a.{k}") for k in keys), "a.samp")
 
