@@ -54,7 +54,10 @@ def _(spark, d):
 def _(spark, d):
     """The average over all trials."""
     values = V.epochs(spark, d).groupBy((F.col("ch") + 1).alias("id"), "t").agg(F.avg("value").alias("value"))
-    return rounded(G.near_sensors(near(spark, d), values, 2.05))
+    own = points(spark, d)
+    sensors = own.join(values.select("id").distinct(), "id", "left_semi")  # other points have no values to give
+    pairs = G.within(sensors, own, 2.05).filter("left <> right").select(F.col("right").alias("left"), F.col("left").alias("right"), "dist")
+    return rounded(G.near_sensors(pairs, values, 2.05))
 
 
 @query("short_channels", f"WITH {POINTS} SELECT a.id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS dist, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 4.01 AS short FROM pts a JOIN pts b ON b.id = a.id + 1")
