@@ -143,13 +143,22 @@ def handle_repeated(events: DataFrame, how: str) -> DataFrame:
 
 
 def make_metadata(events: DataFrame, row_ids: list[int], names: dict[str, int], low: int, high: int, sfreq: float) -> DataFrame:
-    """For each row event: the time of the first event of each name in [samp + low, samp + high]."""
+    """For each row event: the time of the first event of each name in [samp + low, samp + high]. Time is dealt into
+    buckets as long as a window, which so reaches into two at most: the first event from its start on is looked up
+    among those that follow in the first bucket, or it is the least of the second. No row meets all events near it."""
     width = max(1, high - low + 1)
-    rows = bucketed(events.filter(F.col("id").isin(row_ids)).select("row", "samp", "id"), F.col("samp") + low, F.col("samp") + high, width)
-    others = events.select(F.col("samp").alias("o_samp"), F.col("id").alias("o_id"), F.floor(F.col("samp") / width).alias("bucket"))
-    near = rows.join(others, "bucket").filter((F.col("o_samp") >= F.col("samp") + low) & (F.col("o_samp") <= F.col("samp") + high))
-    time = (F.col("o_samp") - F.col("samp")) / sfreq
-    return near.groupBy("row", "samp", "id").agg(*(F.min(F.when(F.col("o_id") == i, time)).alias(name) for name, i in names.items()))
+    rows = events.filter(F.col("id").isin(row_ids)).select("row", "samp", "id", (F.col("samp") + low).alias("at"))
+    ids = {name: i for name, i in names.items()}
+    marks = events.filter(F.col("id").isin(list(ids.values()))).groupBy(F.col("samp").alias("at")).agg(*(F.max(F.when(F.col("id") == i, F.col("samp"))).alias(f"_{n}") for n, i in enumerate(ids.values())))
+    columns = [f"_{n}" for n in range(len(ids))]
+    none = F.lit(None).cast("long")
+    both = rows.select("*", *(none.alias(c) for c in columns)).unionByName(marks, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("at") / width))
+    ahead = Window.partitionBy("bucket").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    own = both.withColumns({f"{c}a": F.first(c, True).over(ahead) for c in columns}).filter(F.col("row").isNotNull())
+    least = marks.groupBy((F.floor(F.col("at") / width) - 1).alias("bucket")).agg(*(F.min(c).alias(f"{c}b") for c in columns))
+    met = own.join(least, "bucket", "left")
+    found = {name: F.coalesce(f"_{n}a", f"_{n}b") for n, name in enumerate(ids)}
+    return met.select("row", "samp", "id", *(F.when(c <= F.col("samp") + high, (c - F.col("samp")) / sfreq).alias(name) for name, c in found.items()))
 
 
 def equalize_counts(events: DataFrame) -> DataFrame:
