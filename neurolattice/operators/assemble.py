@@ -168,6 +168,11 @@ def transform_points(points: DataFrame, trans: Sequence[Sequence[float]]) -> Dat
 
 
 def labels_to_stc(members: DataFrame, values: DataFrame) -> DataFrame:
-    """vertex, t, value: each label's course (label, t, value) at its vertices (label, vertex), summed
-    where labels share one."""
-    return members.join(values, "label").groupBy("vertex", "t").agg(F.sum("value").alias("value"))
+    """vertex, t, value: each label's course (label, t, value) at its vertices (label, vertex), summed where labels share
+    one. Courses are summed once for each set of labels that vertices have, so no aggregate holds vertices by times."""
+    # dealt by vertex first: a task that reads many members does not gather all their vertices
+    own = members.repartition("vertex").groupBy("vertex").agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    sets = own.select("labels").distinct().select("labels", F.explode("labels").alias("label"))
+    sums = sets.join(values, "label").groupBy("labels", "t").agg(F.sum("value").alias("value"))
+    courses = sums.groupBy("labels").agg(F.collect_list(F.struct("t", "value")).alias("course"))
+    return own.join(courses, "labels").select("vertex", F.explode("course").alias("c")).select("vertex", "c.t", "c.value")
