@@ -5,8 +5,8 @@ Each sample is sent once to the block it is in, and again only where it is in a
 block serves any kernel of bounded reach, and no row holds more than a block and its halos. What a kernel
 has to know of the whole channel is its first and last sample.
 
-Overlap-add cuts recordings into overlapping windows of all channels, whose weights add to one, processes
-each window as a matrix, and adds the pieces of a hop by the hop's number.
+Overlap-add cuts recordings into overlapping windows of all channels, whose weights add to one, and
+processes each window as a matrix. A task takes a piece of many windows at a time and adds them up itself.
 
 Operators that change in time are tables of matrices at control points; every block meets the intervals
 between control points that reach into it, and samples blend the two matrices at their interval's ends.
@@ -21,6 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -307,34 +308,44 @@ def overlap_add(df: DataFrame, process: Callable[[np.ndarray, list, int], np.nda
     w = cola(size, step, window)
     ends = bounds(df, (rec,), "samp")
     kinds = dict(df.dtypes)
+    # a piece is some thousand samples; it makes all windows that reach into it, so pieces need not be added to each other
+    core, back = step * max(8, 8192 // step), -(-size // step) - 1
     rows = df.select(rec, "ch", F.col("samp").cast("long").alias("samp"), F.col("value").cast("double").alias("value")).join(ends, rec)
-    place = F.col("samp") - F.col("first")
-    final = F.greatest(F.floor((F.col("last") - F.col("first") + 1 - size) / step), F.lit(0))
-    low, high = F.greatest(F.floor((place - size) / step) + 1, F.lit(0)), F.floor(place / step)
-    # the last window has all samples from its start on
-    rows = rows.select("*", final.alias("final"), F.explode(F.sequence(F.least(low, final), F.least(high, final))).alias("window"))
-    rows = rows.groupBy(rec, "window", "ch", "first", "last", "final").agg(F.collect_list(F.struct("samp", "value")).alias("x"))
+    place, most = F.col("samp") - F.col("first"), F.floor((F.col("last") - F.col("first")) / core)
+    # windows that reach over a border start up to size before it; those before it end up to size and a step behind it
+    low, high = F.greatest(F.floor((place - size - 2 * step) / core), F.lit(0)), F.least(F.floor((place + size + 2 * step) / core), most)
+    rows = rows.select("*", F.explode(F.sequence(low, high)).alias("piece"))
 
     def run(table: pa.Table) -> pa.Table:
-        k, first, last, final = (table[c][0].as_py() for c in ("window", "first", "last", "final"))
-        start = first + k * step
-        length = last + 1 - start if k == final else size
-        order = np.argsort(table["ch"].to_numpy(zero_copy_only=False), kind="stable")
-        table = table.take(pa.array(order))
-        x = np.zeros((table.num_rows, length))
-        lists = table["x"].combine_chunks()
-        row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten()
-        x[row, flat.field("samp").to_numpy() - start] = flat.field("value").to_numpy()
-        y = process(x, table["ch"].to_pylist(), start) * weights(w, step, length, k == 0, k == final)
-        hops = [(a, y[:, a - start : a - start + step]) for a in range(start, start + length, step)]
-        n = table.num_rows
-        return pa.table([table[rec].take(pa.array(np.tile(np.arange(n), len(hops)))), table["ch"].take(pa.array(np.tile(np.arange(n), len(hops)))), pa.array(np.repeat([a for a, _ in hops], n)), pa.array([v.tolist() for _, piece in hops for v in piece], pa.list_(pa.float64()))], [rec, "ch", "hop", "piece"])
-
-    pieces = rows.groupBy(rec, "window").applyInArrow(run, f"{rec} {kinds[rec]}, ch {kinds['ch']}, hop long, piece array<double>")
-    # at most size / step pieces of a hop, and its length
-    summed = pieces.groupBy(rec, "ch", "hop").agg(F.collect_list("piece").alias("p")).select(rec, "ch", "hop", F.posexplode(F.reduce("p", F.array().cast("array<double>"), lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))).alias("i", "value"))
-    return summed.select(rec, "ch", (F.col("hop") + F.col("i")).alias("samp"), "value")
+        piece, first, last = (table[c][0].as_py() for c in ("piece", "first", "last"))
+        final = max((last - first + 1 - size) // step, 0)
+        a, z = first + piece * core, min(first + (piece + 1) * core, last + 1)
+        windows = range(max(min(piece * core // step - back, final), 0), min((z - 1 - first) // step, final) + 1)
+        table = table.combine_chunks()
+        of = table["ch"].chunk(0).dictionary_encode()
+        ch, at = of.indices.to_numpy(zero_copy_only=False), table["samp"].to_numpy() - first
+        names = of.dictionary.take(pc.array_sort_indices(of.dictionary))
+        ch = pc.index_in(of.dictionary, names).to_numpy(zero_copy_only=False)[ch]
+        low = windows[0] * step
+        high = max(last + 1 - first if windows[-1] == final else windows[-1] * step + size, z - first)
+        inside = (at >= low) & (at < high)
+        x, there = np.zeros((len(names), high - low)), np.zeros((len(names), high - low + 1), np.int64)
+        x[ch[inside], at[inside] - low] = table["value"].to_numpy()[inside]
+        there[ch[inside], at[inside] - low + 1] = 1
+        there, out, made = there.cumsum(1), np.zeros_like(x), np.zeros(x.shape, bool)
+        listed = np.array(names.to_pylist(), object)
+        for k in windows:
+            b = k * step - low
+            e = high - low if k == final else b + size
+            have = there[:, e] > there[:, b]  # the channels with samples in the window
+            if have.any():
+                out[have, b:e] += process(x[have, b:e], listed[have].tolist(), first + k * step) * weights(w, step, e - b, k == 0, k == final)
+                made[have, b:e] = True
+        row, col = np.nonzero(made[:, a - first - low : z - first - low])
+        recs = table[rec].chunk(0).take(pa.array(np.zeros(len(row), np.int64)))
+        return pa.table([recs, names.take(pa.array(row)), pa.array(col + a), pa.array(out[row, col + a - first - low])], [rec, "ch", "samp", "value"])
+
+    return rows.groupBy(rec, "piece").applyInArrow(run, f"{rec} {kinds[rec]}, ch {kinds['ch']}, samp long, value double")
 
 
 def leave_one_out(x: np.ndarray, good: np.ndarray) -> np.ndarray:
