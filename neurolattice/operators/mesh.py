@@ -10,6 +10,10 @@ Matrices of vertices by vertices are tables (row, col, weight) of their elements
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,71 @@ def shortest(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), lim
         known = known.union(frontier)
 
 
+def relaxed(a: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: np.ndarray, offers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and seed of each of nodes (sorted) by edges within them, from offers (node, dist, seed)."""
+    order = np.argsort(a, kind="stable")
+    a, w, to = np.searchsorted(nodes, a[order]), w[order], np.searchsorted(nodes, b[order])
+    start = np.searchsorted(a, np.arange(len(nodes) + 1))
+    dist, seed = np.full(len(nodes), np.inf), np.full(len(nodes), np.iinfo(np.int64).max)
+    at, d, s = offers
+    while len(at):
+        best = np.lexsort((s, d, at))
+        best = best[np.r_[True, at[best][1:] != at[best][:-1]]]
+        at, d, s = at[best], d[best], s[best]
+        better = (d < dist[at]) | ((d == dist[at]) & (s < seed[at]))
+        at, d, s = at[better], d[better], s[better]
+        dist[at], seed[at] = d, s
+        many = start[at + 1] - start[at]
+        edge = np.repeat(start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        d, s, at = np.repeat(d, many) + w[edge], np.repeat(s, many), to[edge]
+    return dist, seed
+
+
+def nearest_seeds(edges: DataFrame, seeds: DataFrame, size: int = 1 << 17) -> DataFrame:
+    """node, dist, seed: shortest() without a limit, of nodes that are whole numbers, whose numbers should lie near where
+    the nodes do. A block is the edges from size numbers; it goes on by itself until nothing in it improves, then hands
+    offers over its border. A round reads the blocks with new offers, so rounds are as many as blocks that the longest
+    of the shortest paths passes through, not its hops. Offers, a table of border nodes, are all that is kept."""
+    block = F.floor(F.col("node") / size)
+    packed = cut(edges.select(F.floor(F.col("a") / size).alias("block"), F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("w")).alias("e")).groupBy("block").agg(F.collect_list("e").alias("e")))
+    told = cut(seeds.groupBy(F.col("node").cast("long").alias("node")).agg(F.struct(F.lit(0.0).alias("dist"), F.min("seed").cast("long").alias("seed")).alias("best")).withColumn("block", block))
+
+    def solve(over: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    e, o = (batch.column(c).slice(i, 1).flatten() for c in ("e", "offers"))
+                    a, b, w = (e.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "w"))
+                    node, d, s = (o.field(c).to_numpy(zero_copy_only=False) for c in ("node", "dist", "seed"))
+                    own = b // size == batch.column("block")[i].as_py()
+                    nodes = np.unique(np.concatenate([a, b[own], node]))
+                    dist, seed = relaxed(a[own], b[own], w[own], nodes, (np.searchsorted(nodes, node), d, s))
+                    if over:
+                        at = np.searchsorted(nodes, a[~own])
+                        nodes, dist, seed = b[~own], dist[at] + w[~own], seed[at]
+                    some = np.isfinite(dist)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (nodes, dist, seed)], ["node", "dist", "seed"])
+
+        return run
+
+    def reached(blocks: DataFrame, over: bool) -> DataFrame:
+        given = blocks.groupBy("block").agg(F.collect_list(F.struct("node", "best.dist", "best.seed")).alias("offers"))
+        made = packed.join(given, "block").mapInArrow(solve(over), "node long, dist double, seed long")
+        return made.select("node", F.struct("dist", "seed").alias("best"))
+
+    new = told
+    while True:
+        active = told.join(new.select("block").distinct(), "block", "left_semi")
+        offers = reached(active, True).groupBy("node").agg(F.min("best").alias("best")).withColumn("block", block)
+        had = told.select("node", F.col("best").alias("had"))
+        new = cut(offers.join(had, "node", "left").filter(F.col("had").isNull() | (F.col("best") < F.col("had"))).select("node", "best", "block"))
+        if new.isEmpty():
+            break
+        told = cut(told.union(new).groupBy("node", "block").agg(F.min("best").alias("best")).select("node", "best", "block"))
+    found = reached(told, False).union(told.select("node", "best")).groupBy("node").agg(F.min("best").alias("best"))
+    return found.select("node", "best.dist", "best.seed")
+
+
 def distances(edges: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     """a, b, dist: for each of nodes (node) all nodes within limit of it."""
     own = nodes.select(F.col("node").alias("a"), "node", F.col("node").alias("seed"))
@@ -62,15 +131,13 @@ def random_parcellation(edges: DataFrame, nodes: DataFrame, n: int, order: Colum
     """label, node: the mesh dealt to the nearest of n nodes, those that come first in order (a hash of node). A node
     that no seed reaches has a null label."""
     seeds = nodes.orderBy(order, "node").limit(n).select(F.col("node").alias("label"), "node")
-    found = shortest(edges, seeds.select("node", F.col("label").alias("seed")))
+    found = nearest_seeds(edges, seeds.select("node", F.col("label").alias("seed")))
     return nodes.select("node").join(found, "node", "left").select(F.col("seed").alias("label"), "node")
 
 
 def split_label(points: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     """node, part: members (node) of a label in parts of even length along their main axis (the points' first principal
     direction, its largest component positive). points: node, x, y, z."""
-    import numpy as np
-
     own = points.join(members.select("node"), "node")
     sums = own.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"), *(F.covar_pop(c, d).alias(c + d) for c in "xyz" for d in "xyz")).first()
     if not sums["n"]:
