@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .events import bucketed
 
+PARTS = 64  # that recordings are dealt to
+
 
 def is_bad(description: Column, kinds: tuple[str, ...] = ("bad", "edge")) -> Column:
     out = F.lit(False)
@@ -49,7 +51,8 @@ def crop(annots: DataFrame, tmin: float, tmax: float) -> DataFrame:
 def merged(annots: DataFrame) -> DataFrame:
     """rec, start, stop of the unions of overlapping or touching intervals (one sort a recording)."""
     w = Window.partitionBy("rec").orderBy("onset", "event_id")
-    stop = annots.withColumn("stop", F.col("onset") + F.col("duration"))
+    # a given number of parts, since adaptive execution would put many narrow ones into one task, which then sorts all
+    stop = annots.select("rec", "onset", "event_id", (F.col("onset") + F.col("duration")).alias("stop")).repartition(PARTS, "rec")
     so_far = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = stop.withColumn("new", F.when(so_far.isNull() | (F.col("onset") > so_far), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
     return runs.groupBy("rec", "run").agg(F.min("onset").alias("start"), F.max("stop").alias("stop")).drop("run")
