@@ -164,14 +164,16 @@ def optical_density(df: DataFrame, keys: tuple[str, ...] = ("ch",), repair: bool
     """-ln(x / mean |x|); a channel with values that are not positive takes absolute values, zeros the least positive one.
     Without repair -ln(x / mean) of the values as they are: infinite where x is 0, NaN where x / mean is negative."""
     size = F.abs("value")
+    of = [F.col(k).alias(f"_of_{k}") for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]  # samples without a channel are one, too
     if not repair:
-        own = df.join(df.groupBy(*keys).agg(F.avg("value").alias("m")), list(keys))
+        own = df.join(df.groupBy(*of).agg(F.avg("value").alias("m")), on)
         ratio = F.when(F.col("m") != 0, F.try_divide("value", "m")).when(F.col("value") > 0, math.inf).when(F.col("value") <= 0, math.nan)
         density = F.when(ratio > 0, -F.log(ratio)).when(ratio == 0, math.inf).when(ratio < 0, math.nan)
-        return own.withColumn("value", density).drop("m")
-    own = df.groupBy(*keys).agg(F.min(F.when(size > 0, size)).alias("least"), F.avg(F.abs("value")).alias("m"), F.min("value").alias("low"))
+        return own.withColumn("value", density).select(*df.columns)
+    own = df.groupBy(*of).agg(F.min(F.when(size > 0, size)).alias("least"), F.avg(F.abs("value")).alias("m"), F.min("value").alias("low"))
     v = F.when(F.col("low") > 0, F.col("value")).otherwise(F.greatest(size, F.col("least")))
-    return df.join(own, list(keys)).withColumn("value", -F.log(F.try_divide(v, F.col("m")))).drop("least", "m", "low")
+    return df.join(own, on).withColumn("value", -F.log(F.try_divide(v, F.col("m")))).select(*df.columns)
 
 
 def beer_lambert(df: DataFrame, coefficients: tuple[tuple[float, float], tuple[float, float]], distance: Column, ppf: float = 6.0) -> DataFrame:

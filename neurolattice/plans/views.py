@@ -30,8 +30,8 @@ def seconds():
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ch, samp, value, code: each user's events in order are a channel's samples."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """ch, samp, value, code: each user's events in order are a channel's samples, those without a time or id last."""
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("ch"), (F.row_number().over(w) - 1).cast("long").alias("samp"), "value", codes({"view": 0, "click": 1, "signup": 2, "purchase": 3}, 5).alias("code"))
 
 
